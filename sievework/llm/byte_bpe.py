@@ -10,7 +10,6 @@ encoded each; other columns are ignored; a token's length has no bound (merging
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import struct
 from collections.abc import Iterator
@@ -145,7 +144,6 @@ class Codec:
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    gc.disable()  # no cycles arise here, and tracing hundreds of thousands of remembered tuples costs a third of the time
     return Codec(path)
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from sievework.llm.byte_bpe import op2_byte_bpe
+from sievework.llm.simhash import op3_simhash
+from sievework.llm.warc import op10_warc
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe,)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_simhash, op10_warc)}
 ORACLES: dict[str, str] = {}
