@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from sievework.llm.byte_bpe import op2_byte_bpe
+from sievework.llm.packing import op6_packing
 from sievework.llm.simhash import op3_simhash
+from sievework.llm.toxicity import op9_toxicity
 from sievework.llm.warc import op10_warc
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_simhash, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_simhash, op6_packing, op9_toxicity, op10_warc)}
 ORACLES: dict[str, str] = {}
