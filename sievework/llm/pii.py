@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sievework.llm.common import stored, table
 
@@ -34,9 +35,10 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MAYBE = re.compile(r"[0-9@]|[\[({]at[\])}]", re.I)
-#: Digit groups, and tokens with a digit or an at sign, which may be identifiers.
-LOOSE = re.compile(r"[(+]?[0-9](?:[\x20().\-/]{0,3}[0-9])+|[^\s,;<>\"']*(?:@|[\[({]at[\])}]|[0-9])[^\s,;<>\"']*", re.I)
-ROW = "row long, n array<long>, base string, seen array<struct<first:int,last:int,instance:string,kind:string,fits:array<string>,patterns:array<string>>>"
+#: Digit groups, and tokens; those with a digit or an at sign may be identifiers.
+LOOSE = re.compile(r"[(+]?[0-9](?:[\x20().\-/]{0,3}[0-9])+|[^\s,;<>\"']++")
+#: Names that no table has, for what reading adds.
+ROW = "_pii_row long, _pii_n array<long>, _pii_base string, _pii_seen array<struct<first:int,last:int,instance:string,kind:string,fits:array<string>,patterns:array<string>>>"
 
 
 def luhn(digits: str) -> bool:
@@ -100,49 +102,49 @@ def patterns(text: str, start: int, end: int) -> list[str]:
 
 
 def read(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with row, n, base and seen at the end: a number for the row, base counts and spans, and all instances with their patterns."""
-    names = [*docs.columns, "row", "n", "base", "seen"]
-    at = docs.columns.index(text)
-    schema = docs.schema
-    spark = docs.sparkSession
-    out_schema = spark.createDataFrame([], ROW).schema
+    """docs with the columns of ROW at the end: a number for the row, base counts and spans, and all instances with their patterns."""
+    added = docs.sparkSession.createDataFrame([], ROW).schema
+    names, at = [*docs.columns, *added.names], docs.columns.index(text)
     seen_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("instance", pa.string()), ("kind", pa.string()), ("fits", pa.list_(pa.string())), ("patterns", pa.list_(pa.string()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         for b in batches:
-            rows, ns, bases, all_seen = [], [], [], []
+            ns, bases, all_seen = [], [], []
             for t in b.column(at):
-                t, n, base, seen = t.as_py() or "", [0] * 4, [], []
-                if MAYBE.search(t):
-                    base = base_spans(t)
-                    for kind, a, z in base:
-                        n[KINDS.index(kind)] += 1
-                        seen.append({"first": a, "last": z, "instance": t[a:z], "kind": kind, "fits": [], "patterns": patterns(t, a, z)})
-                    taken = sorted((a, z) for _, a, z in base)
-                    k = 0
-                    for m in LOOSE.finditer(t):
-                        a, z = m.span()
-                        z = a + len(m[0].rstrip(".:!?)]}|-"))
-                        while k < len(taken) and taken[k][1] <= a:
-                            k += 1
-                        if a < z and not any(x < z and a < y for x, y in taken[k : k + 8]):
-                            seen.append({"first": a, "last": z, "instance": t[a:z][:200], "kind": None, "fits": fits(t[a:z]) if z - a <= 200 else [], "patterns": patterns(t, a, z)})
-                rows.append(row)
-                row += 1
+                n, base, seen = instances(t.as_py() or "")
                 ns.append(n)
-                bases.append(",".join(f"{k}:{a}:{z}" for k, a, z in base))
+                bases.append(base)
                 all_seen.append(seen)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.int64()), pa.array(ns, pa.list_(pa.int64())), pa.array(bases), pa.array(all_seen, seen_type)], names)
-
-    for f in out_schema:
-        schema = schema.add(f)
-    return docs.mapInArrow(run, type(schema)([f for f in schema if f.name in names]))
+            rows = pa.array(range(row, row + b.num_rows), pa.int64())
+            row += b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, rows, pa.array(ns, pa.list_(pa.int64())), pa.array(bases, pa.string()), pa.array(all_seen, seen_type)], names)
+
+    return docs.mapInArrow(run, StructType([*docs.schema, *added]))
+
+
+def instances(t: str) -> tuple[list[int], str, list[dict]]:
+    """Base counts, base spans, and all instances of a text."""
+    n, base, seen = [0] * len(KINDS), [], []
+    if MAYBE.search(t):
+        base = base_spans(t)
+        for kind, a, z in base:
+            n[KINDS.index(kind)] += 1
+            seen.append({"first": a, "last": z, "instance": t[a:z], "kind": kind, "fits": [], "patterns": patterns(t, a, z)})
+        taken, k = sorted((a, z) for _, a, z in base), 0
+        for m in filter(lambda m: MAYBE.search(m[0]), LOOSE.finditer(t)):
+            a = m.start()
+            z = a + len(m[0].rstrip(".:!?)]}|-"))
+            while k < len(taken) and taken[k][1] <= a:
+                k += 1
+            if a < z and not any(x < z and a < y for x, y in taken[k : k + 8]):
+                seen.append({"first": a, "last": z, "instance": t[a:z][:200], "kind": None, "fits": fits(t[a:z]) if z - a <= 200 else [], "patterns": patterns(t, a, z)})
+    return n, ",".join(f"{k}:{a}:{z}" for k, a, z in base), seen
 
 
 def discovered(rows: DataFrame, rounds: int = 3, least_support: int = 8, least_share: float = 0.9) -> DataFrame | None:
     """(instance, kind) of instances that the graph finds and no base pattern does; None where no pattern is good enough."""
-    each = rows.select(F.explode("seen").alias("s")).select("s.instance", "s.kind", "s.fits", "s.patterns")
+    each = rows.select(F.explode("_pii_seen").alias("s")).select("s.instance", "s.kind", "s.fits", "s.patterns")
     links = stored(each.select("instance", F.explode("patterns").alias("pattern")).distinct(), "links")
     of_kind = each.filter("kind is not null").select("instance", "kind").distinct()
     shapes = each.filter("kind is null").select("instance", F.explode("fits").alias("kind")).distinct()
@@ -169,15 +171,16 @@ def discovered(rows: DataFrame, rounds: int = 3, least_support: int = 8, least_s
 
 
 def found(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns of keep, and n (base counts by KINDS), base (base spans as text), added (array of kind:start:end)."""
+    """The columns of keep, and _pii_n (base counts by KINDS), _pii_base (base spans as text), _pii_added (kind:start:end each)."""
+    nothing = F.array().cast("array<string>")
     read_rows = read(docs.select(*dict.fromkeys([*keep, text])), text)
-    rows = stored(read_rows.select(*keep, "row", "n", "base", "seen"), "read")
+    rows = stored(read_rows.select(*keep, "_pii_row", "_pii_n", "_pii_base", "_pii_seen"), "read")
     new = discovered(rows)
     if new is None:
-        return rows.select(*keep, "n", "base", F.array().cast("array<string>").alias("added"))
-    loose = rows.select("row", F.explode(F.filter("seen", lambda s: s["kind"].isNull())).alias("s")).select("row", "s.instance", "s.first", "s.last")
-    added = loose.join(new, "instance").groupBy("row").agg(F.collect_list(F.concat_ws(":", "kind", "first", "last")).alias("added"))
-    return rows.drop("seen").join(added, "row", "left").select(*keep, "n", "base", F.coalesce("added", F.array().cast("array<string>")).alias("added"))
+        return rows.select(*keep, "_pii_n", "_pii_base", nothing.alias("_pii_added"))
+    loose = rows.select("_pii_row", F.explode(F.filter("_pii_seen", lambda s: s["kind"].isNull())).alias("s")).select("_pii_row", "s.instance", "s.first", "s.last")
+    added = loose.join(new, "instance").groupBy("_pii_row").agg(F.collect_list(F.concat_ws(":", "kind", "first", "last")).alias("_pii_added"))
+    return rows.drop("_pii_seen").join(added, "_pii_row", "left").select(*keep, "_pii_n", "_pii_base", F.coalesce("_pii_added", nothing).alias("_pii_added"))
 
 
 def in_order(base: str, added: list[str]) -> str:
@@ -206,7 +209,7 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
                 out.append(t)
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(out, pa.string()), *b.columns[at + 1 : len(columns)]], columns)
 
-    return rows.select(*columns, "base", "added").mapInArrow(run, docs.schema)
+    return rows.select(*columns, "_pii_base", "_pii_added").mapInArrow(run, docs.schema)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,4 +222,4 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
             n = list(zip(*b.column(1).to_pylist(), strict=True))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in n), pa.array(sha), pa.array([in_order(x, y) for x, y in zip(base, added, strict=True)])], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
-    return rows.select("doc_id", "n", "base", "added").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.select("doc_id", "_pii_n", "_pii_base", "_pii_added").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
