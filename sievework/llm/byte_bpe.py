@@ -118,6 +118,20 @@ class Codec:
                 each[-1] += self.tokens[token]
         self.after_space.update(zip(parts, map(tuple, each), strict=True))
 
+    def encode_after_space(self, parts: list[str]) -> list[tuple[int, ...]]:
+        """Ids of each part with a space before it, each for itself."""
+        if len(self.after_space) > REMEMBERED:
+            self.after_space.clear()
+        new = list(set(parts).difference(self.after_space))
+        if plain := [p for p in new if p and p == p.strip()]:
+            self._remember(plain)
+        for p in new:
+            if p not in self.after_space:
+                found = self.find(" " + p)
+                self._learn([found])
+                self.after_space[p] = tuple(chain.from_iterable(map(self.tokens.__getitem__, found)))
+        return list(map(self.after_space.__getitem__, parts))
+
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text.
 

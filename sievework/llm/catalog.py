@@ -5,6 +5,7 @@ from __future__ import annotations
 from sievework.llm.byte_bpe import op2_byte_bpe
 from sievework.llm.embed_dedup import op5_embed_dedup
 from sievework.llm.html_text import op8_html_text
+from sievework.llm.lm_score import op1_lm_score
 from sievework.llm.packing import op6_packing
 from sievework.llm.pii import op7_pii
 from sievework.llm.simhash import op3_simhash
@@ -12,7 +13,7 @@ from sievework.llm.topk import op4_topk
 from sievework.llm.toxicity import op9_toxicity
 from sievework.llm.warc import op10_warc
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_simhash, op4_topk, op5_embed_dedup, op6_packing, op7_pii, op8_html_text, op9_toxicity, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_byte_bpe, op3_simhash, op4_topk, op5_embed_dedup, op6_packing, op7_pii, op8_html_text, op9_toxicity, op10_warc)}
 ORACLES = {
     "op4_topk": """
         WITH v AS (
