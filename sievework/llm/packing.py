@@ -15,6 +15,7 @@ packed like others, each row by itself; an empty table gives no rows; other colu
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,23 +37,52 @@ BUCKETS, DIMENSIONS, DEPTH = 512, 4, 12
 REMEMBERED = 600_000
 
 
+#: Parts whose normal form is plain: visible ASCII and Latin-1 letters.
+PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+").fullmatch
+#: The tokenizer's own cut of such parts in lower case, and line ends.
+CUT = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+").findall
+
+
 class WordTokens:
     """Ids of whole texts by a tokenizer file that drops white space, so that no token spans a space or line end.
 
-    Texts are cut there, and the ids of each part are remembered.
+    Texts are cut there, and the ids of each part are remembered. New plain parts are encoded together: each of their
+    cuts ends with the one id that is marked as a word's end.
     """
 
     def __init__(self, path: str):
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True
-        self.known: dict[str, tuple[int, ...]] = {}
+        vocabulary = self.own.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, tuple[int, ...]] = {"": ()}
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [p for p in new if PLAIN(p)]
+        if plain:
+            joined = "\n".join(plain)
+            counts, n = [], 0
+            for c in CUT(joined.lower()):
+                if c == "\n":
+                    counts.append(n)
+                else:
+                    n += 1
+            counts.append(n)
+            ids = self.own.encode_batch_fast([joined], add_special_tokens=False)[0].ids
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(counts) == len(plain) and len(stops) == n:
+                at = [0, *stops[np.array(counts) - 1].tolist()]
+                self.known.update(zip(plain, (tuple(ids[i:j]) for i, j in zip(at, at[1:])), strict=True))  # noqa: B905
+        rest = [p for p in new if p not in self.known]
+        self.known.update(zip(rest, (tuple(e.ids) for e in self.own.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known = {"": ()}
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set(chain.from_iterable(cut)).difference(self.known))
-        self.known.update(zip(new, (tuple(e.ids) for e in self.own.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        if new := list(set(chain.from_iterable(cut)).difference(self.known)):
+            self._learn(new)
         return [np.fromiter(chain.from_iterable(map(self.known.__getitem__, x)), np.uint32) for x in cut]
 
 
