@@ -6,10 +6,9 @@ import numpy as np
 import public_tokenizers
 
 from sievework.llm import lm_score as L
-from sievework.llm.byte_bpe import codec
 from sievework.llm.common import words
 
-PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PATH = public_tokenizers.path("piece_bpe_32k.model")
 DOCS = "doc_id long, text string, score string, chunk int"
 
 
@@ -71,6 +70,9 @@ def test_no_training_rows(spark):
 
 
 def test_word_probabilities_sum_to_one_at_most():
-    begins = np.array([*(codec(PATH).bytes_of[i][:1] == b" " for i in range(50_256)), True])
-    of, starts = L.classes(np.arange(50_257), begins)
-    assert of[50_256] == 0 and all((of < starts) == begins) and len(np.unique(of)) == L.CLASSES
+    own = L.pieces(PATH)
+    n = own.get_piece_size()
+    begins = np.array([*(own.id_to_piece(i).startswith("\u2581") for i in range(n)), True])
+    of, starts = L.classes(np.arange(n + 1), begins)
+    assert of[n] == 0 and all((of < starts) == begins) and len(np.unique(of)) == L.CLASSES
+    assert all(begins[x[0]] and not begins[x[1:]].any() for x in own.encode(["the", "thndor", "Été!", "日本", "x\u00a0y", "|"]))
