@@ -8,6 +8,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sievework.functions import images as I
 from sievework.functions import scalars as S
 from sievework.functions import text_time as T
 from sievework.functions import vectors as V
@@ -601,3 +602,36 @@ def report_rows(p, spark, sf):
 def output_names(p, spark, sf):
     named = _chosen(p).withColumn("path", F.expr("concat('/lib/', string(id % 3), '/img_', string(id % 5), '.png')"))
     return selection.report(named).select("id", "filename")
+
+
+# -- images, landmarks, boxes -----------------------------------------------------------------------------------------
+
+PIXELS = "px AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(128 + 200 * x::DOUBLE) AS DOUBLE)) AS v FROM embeddings), lap AS (SELECT vec_id, v, list_transform(range(36), lambda k: v[(k // 6 + 1) * 8 + k % 6 + 1] + v[(k // 6 + 1) * 8 + k % 6 + 3] + v[(k // 6) * 8 + k % 6 + 2] + v[(k // 6 + 2) * 8 + k % 6 + 2] - 4 * v[(k // 6 + 1) * 8 + k % 6 + 2]) AS l FROM px)"
+
+
+@query("SELECT vec_id, round(list_var_pop(l), 4) AS blur, round(list_avg(v) / 255, 6) AS exposure, round(list_stddev_pop(v), 4) AS detail FROM lap", PIXELS)
+def image_luma_metrics(p, spark, sf):
+    """The 64 components as an image of 8 by 8 grey pixels."""
+    grey = F.transform(V.doubles(F.col("embedding")), lambda x: F.lpad(F.hex(F.floor(128 + 200 * x)), 2, "0"))
+    px = table(spark, sf, "embeddings").select("vec_id", F.unhex(F.concat_ws("", grey)).alias("pixels"))
+    m = px.select("vec_id", I.image_metrics(F.lit(8), F.lit(8), "pixels").alias("m"))
+    return m.select("vec_id", F.round("m.blur", 4).alias("blur"), R6("m.exposure").alias("exposure"), F.round("m.detail", 4).alias("detail"))
+
+
+POINTS = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), f AS (SELECT vec_id, least(greatest(((abs(v[18] - v[22]) + abs(v[19] - v[21])) / (2 * abs(v[1] - v[4]) + 1e-8) + (abs(v[24] - v[28]) + abs(v[25] - v[27])) / (2 * abs(v[7] - v[10]) + 1e-8)) / 2 / 0.2, 0), 1) AS eyes, least(greatest((v[31] - (v[29] + v[30]) / 2) * 25 + 0.5, 0), 1) AS smile FROM e)"
+
+
+@query("SELECT vec_id, round(0.55 * eyes + 0.45 * smile, 6) AS sentiment FROM f", POINTS)
+def landmark_sentiment(p, spark, sf):
+    """The components as the coordinates of 16 points: x first, then y."""
+    v = V.doubles(F.col("embedding"))
+    points = F.zip_with(F.slice(v, 1, 16), F.slice(v, 17, 16), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    told = I.sentiment(F.col("points"), (0, 1, 2, 3, 4, 5), (6, 7, 8, 9, 10, 11), {"left": 12, "right": 13, "upper": 14})
+    return table(spark, sf, "embeddings").select("vec_id", points.alias("points")).select("vec_id", R6(told).alias("sentiment"))
+
+
+@query("SELECT l_orderkey AS id, CAST(count(*) FILTER (WHERE good) AS INTEGER) AS count, round(least(1, coalesce(sum(l_quantity) FILTER (WHERE good), 0) / 200), 6) AS prominence, round(coalesce(avg(l_discount) FILTER (WHERE good), 0), 6) AS confidence FROM (SELECT *, l_discount >= 0.04 AND l_quantity >= 10 AS good FROM lineitem) GROUP BY l_orderkey")
+def face_boxes(p, spark, sf):
+    boxes = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_quantity").alias("area"), F.col("l_discount").alias("p"))).alias("b"))
+    s = boxes.select(F.col("l_orderkey").alias("id"), I.face_summary(F.col("b"), F.lit(200.0), 0.04, 0.05).alias("s"))
+    return s.select("id", "s.count", R6("s.prominence").alias("prominence"), R6("s.confidence").alias("confidence"))
