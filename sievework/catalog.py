@@ -12,7 +12,7 @@ from sievework.functions import images as I
 from sievework.functions import scalars as S
 from sievework.functions import text_time as T
 from sievework.functions import vectors as V
-from sievework.operators import gates, graphs, ordered, ranking, selection, similarity
+from sievework.operators import features, gates, graphs, ordered, ranking, selection, similarity
 from sievework.plans.bridge import PHOTOS, photos, table
 from sievework.sources import store
 
@@ -635,3 +635,9 @@ def face_boxes(p, spark, sf):
     boxes = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_quantity").alias("area"), F.col("l_discount").alias("p"))).alias("b"))
     s = boxes.select(F.col("l_orderkey").alias("id"), I.face_summary(F.col("b"), F.lit(200.0), 0.04, 0.05).alias("s"))
     return s.select("id", "s.count", R6("s.prominence").alias("prominence"), R6("s.confidence").alias("confidence"))
+
+
+@query("SELECT id, round(CASE WHEN timestamp > 0 THEN (timestamp - (SELECT min(timestamp) FROM photos WHERE timestamp > 0)) / 3600 * 2 ELSE 1e6 + 100 * id END, 4) AS t, round(CASE WHEN lat <> 0 OR lon <> 0 THEN lat ELSE (SELECT avg(lat) FROM photos WHERE lat <> 0 OR lon <> 0) END * 200, 3) AS la, round(CASE WHEN lat <> 0 OR lon <> 0 THEN lon ELSE (SELECT avg(lon) FROM photos WHERE lat <> 0 OR lon <> 0) END * 200, 3) AS lo FROM photos")
+def event_features(p, spark, sf):
+    x = features.scaled(p, F.col("id"))
+    return x.select("id", F.round("f_time", 4).alias("t"), F.round("f_lat", 3).alias("la"), F.round("f_lon", 3).alias("lo"))

@@ -105,3 +105,31 @@ def face_summary(boxes: Column, image_area: Column, least_p: float = 0.80, least
     total = lambda k: F.aggregate(good, F.lit(0.0), lambda s, b: s + b[k])
     n = F.size(good)
     return F.struct(n.alias("count"), F.least(F.lit(1.0), total("area") / image_area).alias("prominence"), F.when(n > 0, total("p") / n).otherwise(0.0).alias("confidence"))
+
+
+def shrink(luma: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Means of about equal blocks; a smaller image repeats its pixels."""
+    rows, cols = ((np.arange(n) * size / n).astype(int) for n, size in ((height, luma.shape[0]), (width, luma.shape[1])))
+    if luma.shape[0] < height or luma.shape[1] < width:
+        return luma[np.ix_(rows, cols)].astype(np.float64)
+    total = np.add.reduceat(np.add.reduceat(luma.astype(np.float64), rows, 0), cols, 1)
+    return total / np.outer(np.diff([*rows, luma.shape[0]]), np.diff([*cols, luma.shape[1]]))
+
+
+def cosine_basis(n: int) -> np.ndarray:
+    return np.cos(np.pi * np.outer(np.arange(n), 2 * np.arange(n) + 1) / (2 * n))
+
+
+def sketch(luma: np.ndarray, kind: str = "phash") -> str:
+    """A 64-bit sketch as 16 hex digits: ahash above the mean, dhash rising to the right, phash low cosine terms above their median."""
+    if kind == "ahash":
+        x = shrink(luma, 8, 8)
+        bits = x > x.mean()
+    elif kind == "dhash":
+        x = shrink(luma, 8, 9)
+        bits = x[:, 1:] > x[:, :-1]
+    else:
+        b = cosine_basis(32)
+        x = (b @ shrink(luma, 32, 32) @ b.T)[:8, :8]
+        bits = x > np.median(x)
+    return f"{int(''.join('01'[int(v)] for v in bits.ravel()), 2):016x}"
