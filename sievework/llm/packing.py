@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from sievework.llm.byte_bpe import byte_characters
 from sievework.llm.common import stored, table
 
 END_ID = 1
@@ -46,44 +48,44 @@ CUT = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-
 class WordTokens:
     """Ids of whole texts by a tokenizer file that drops white space, so that no token spans a space or line end.
 
-    Texts are cut there, and the ids of each part are remembered. New plain parts are encoded together: each of their
-    cuts ends with the one id that is marked as a word's end.
+    Texts are cut there, and the ids of each part are remembered, as the bytes of 32-bit numbers. New plain parts are
+    cut as the tokenizer would, and each new cut goes to its merges alone.
     """
 
     def __init__(self, path: str):
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True
-        vocabulary = self.own.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, tuple[int, ...]] = {"": ()}
+        self.merge = self.own.model.tokenize
+        self.to_chars = dict(enumerate(byte_characters()))
+        self.cuts: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
     def _learn(self, new: list[str]) -> None:
         plain = [p for p in new if PLAIN(p)]
         if plain:
-            joined = "\n".join(plain)
-            counts, n = [], 0
-            for c in CUT(joined.lower()):
-                if c == "\n":
-                    counts.append(n)
+            cuts = CUT("\n".join(plain).lower())
+            if fresh := list(set(cuts).difference(self.cuts, ("\n",))):
+                mapped = "\n".join(fresh).encode().decode("latin-1").translate(self.to_chars).split(self.to_chars[10])
+                self.cuts.update(zip(fresh, (array("I", [t.id for t in self.merge(word)]).tobytes() for word in mapped), strict=True))
+            held: list[bytes] = []
+            each = iter(plain)
+            for cut in cuts:
+                if cut == "\n":
+                    self.known[next(each)] = b"".join(held)
+                    held = []
                 else:
-                    n += 1
-            counts.append(n)
-            ids = self.own.encode_batch_fast([joined], add_special_tokens=False)[0].ids
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(counts) == len(plain) and len(stops) == n:
-                at = [0, *stops[np.array(counts) - 1].tolist()]
-                self.known.update(zip(plain, (tuple(ids[i:j]) for i, j in zip(at, at[1:])), strict=True))  # noqa: B905
+                    held.append(self.cuts[cut])
+            self.known[next(each)] = b"".join(held)
         rest = [p for p in new if p not in self.known]
-        self.known.update(zip(rest, (tuple(e.ids) for e in self.own.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+        self.known.update(zip(rest, (np.array(e.ids, np.uint32).tobytes() for e in self.own.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > REMEMBERED:
-            self.known = {"": ()}
+            self.known, self.cuts = {"": b""}, {}
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         if new := list(set(chain.from_iterable(cut)).difference(self.known)):
             self._learn(new)
-        return [np.fromiter(chain.from_iterable(map(self.known.__getitem__, x)), np.uint32) for x in cut]
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, x)), np.uint32) for x in cut]
 
 
 @lru_cache(maxsize=2)
