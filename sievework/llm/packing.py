@@ -36,7 +36,7 @@ from sievework.llm.common import stored, table
 END_ID = 1
 BUCKETS, DIMENSIONS, DEPTH = 512, 4, 12
 #: Words whose ids a Python worker remembers; beyond it the memory is emptied, results stay the same.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 
 
 #: Parts whose normal form is plain: visible ASCII and Latin-1 letters.

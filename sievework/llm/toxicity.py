@@ -32,7 +32,7 @@ PREFIXES = (4, 5, 6)
 FOLDS = 5
 find_words = re.compile(r"[^\W\d_]+").findall
 #: Words a Python worker remembers the features of; beyond it the memory is emptied.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 def features_of(word: str) -> tuple[int, ...]:
