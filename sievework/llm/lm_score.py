@@ -1,7 +1,7 @@
 """Language-model scores: a causal self-attention model over subword ids, trained in numpy, beside a word unigram base.
 
 The corpus is read once into chunks: the words of some documents, numbered within the chunk, with their subword ids.
-Word counts meet by joins on the word; a word has one row per chunk, so no word is hot, and nothing of the size of the
+Counts of a word meet in a window over its rows; it has one per chunk, so no word is hot, and nothing of the size of the
 vocabulary of words is broadcast or collected.
 
 The model gives the next subword in two steps: a class, by self-attention over the window added to the logarithms of
@@ -22,22 +22,24 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import sentencepiece
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.byte_bpe import codec
 from sievework.llm.common import stored, table, words
 
 #: Bytes of text in a chunk, about.
-CHUNK = 8_000_000
-WINDOW, OVERLAP, WIDTH, CLASSES, SINGLE = 32, 8, 16, 96, 84
-ROUNDS, PHASES, BATCH, RATE = 3, 32, 64, 0.003
+CHUNK = 12_000_000
+WINDOW, OVERLAP, WIDTH, CLASSES, SINGLE = 32, 4, 16, 64, 52
+ROUNDS, PHASES, BATCH, RATE = 3, 48, 64, 0.003
 CHUNK_ROW = "chunk long, doc_ids array<long>, held_out array<boolean>, ends array<int>, words array<string>, counts array<int>, seq binary, sub binary, sub_ends binary"
 
 
@@ -49,16 +51,22 @@ def unsqueeze(blob: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
 
 
+@lru_cache(maxsize=2)
+def pieces(path: str) -> sentencepiece.SentencePieceProcessor:
+    """A sentencepiece model with byte fallback; a word's first piece carries the mark of a word's begin."""
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
 def held_out(doc_id: int | None, folds: int) -> bool:
     return zlib.crc32(str("" if doc_id is None else doc_id).encode()) % folds == 0
 
 
-def chunks(docs: DataFrame, ranks_path: str, folds: int) -> DataFrame:
+def chunks(docs: DataFrame, model_path: str, folds: int) -> DataFrame:
     """Rows of CHUNK_ROW: the documents of a chunk as numbers of its words, the end token as number len(words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, chunk = codec(ranks_path), TaskContext.get().partitionId() << 33
-        end_id = len(own.ranks)
+        own, chunk = pieces(model_path), TaskContext.get().partitionId() << 33
+        end_id = own.get_piece_size()
 
         def close(ids: list, docs_words: list[list[bytes]]) -> pa.RecordBatch:
             nonlocal chunk
@@ -74,9 +82,10 @@ def chunks(docs: DataFrame, ranks_path: str, folds: int) -> DataFrame:
             train = ~np.repeat(out, sizes)
             counts = np.bincount(seq[train], minlength=len(number) + 1)[: len(number)]
             unique = [w.decode("utf-8", "replace") for w in number]
-            sub = [*own.encode_after_space(unique), (end_id,)]
+            sub = [*(own.encode(unique, num_threads=1) if unique else []), [end_id]]
             sub_ends = np.cumsum([len(x) for x in sub])
-            sub_flat = np.array([i for x in sub for i in x], np.uint16)
+            sub_flat = np.fromiter(chain.from_iterable(sub), np.uint16, int(sub_ends[-1]))
+            del sub, flat
             columns = [[chunk], [ids], [out], [ends.tolist()], [unique], [counts.tolist()], [squeeze(seq, "<u4")], [squeeze(sub_flat, "<u2")], [squeeze(sub_ends, "<u4")]]
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary())
             chunk += 1
@@ -101,9 +110,8 @@ def chunks(docs: DataFrame, ranks_path: str, folds: int) -> DataFrame:
 class Chunk:
     """Subword ids of a chunk's documents, one after the other, and where each ends."""
 
-    def __init__(self, ends: list[int], seq: bytes, sub: bytes, sub_ends: bytes):
-        self.seq, self.ends = unsqueeze(seq, "<u4").astype(np.int64), np.array(ends, np.int64)
-        sub, stop = unsqueeze(sub, "<u2"), unsqueeze(sub_ends, "<u4").astype(np.int64)
+    def __init__(self, ends: np.ndarray, seq: np.ndarray, sub: np.ndarray, stop: np.ndarray):
+        self.seq, self.ends = seq.astype(np.int64), ends
         start = np.concatenate([[0], stop[:-1]])
         sizes = (stop - start)[self.seq]
         after = np.cumsum(sizes)
@@ -128,6 +136,10 @@ def inputs(y: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return x
 
 
+def opened(ends: list[int], seq: bytes, sub: bytes, sub_ends: bytes) -> Chunk:
+    return Chunk(np.array(ends, np.int64), unsqueeze(seq, "<u4"), unsqueeze(sub, "<u2"), unsqueeze(sub_ends, "<u4").astype(np.int64))
+
+
 class Attention:
     """One causal self-attention layer over a window, added to the bigrams; weights are one flat vector."""
 
@@ -268,7 +280,7 @@ def _counted(read: DataFrame, f, size: int) -> np.ndarray:
         total = np.zeros(size, np.int64)
         for b in batches:
             for out, ends, seq, sub, sub_ends in zip(*b.columns, strict=True):
-                ids, stops = _train_only(Chunk(ends.as_py(), seq.as_py(), sub.as_py(), sub_ends.as_py()), out.as_py())
+                ids, stops = _train_only(opened(ends.as_py(), seq.as_py(), sub.as_py(), sub_ends.as_py()), out.as_py())
                 if len(ids):
                     total += np.bincount(f(ids, stops), minlength=size)
         at = np.flatnonzero(total)
@@ -313,7 +325,7 @@ def train(read: DataFrame, begins: np.ndarray) -> tuple[Attention, np.ndarray, n
             weights, total = 0.0, 0
             for b in batches:
                 for out, ends, seq, sub, sub_ends in zip(*b.columns, strict=True):
-                    ids, stops = _train_only(Chunk(ends.as_py(), seq.as_py(), sub.as_py(), sub_ends.as_py()), out.as_py())
+                    ids, stops = _train_only(opened(ends.as_py(), seq.as_py(), sub.as_py(), sub_ends.as_py()), out.as_py())
                     if len(ids):
                         flat, n = train_task(model, [(of[ids], stops)], phase)
                         weights, total = weights + n * flat.astype(np.float64), total + n
@@ -327,23 +339,27 @@ def train(read: DataFrame, begins: np.ndarray) -> tuple[Attention, np.ndarray, n
     return model, of, within, starts
 
 
-def scores(docs: DataFrame, ranks_path: str, folds: int = 10, mix: float = 0.7) -> DataFrame:
+def scores(docs: DataFrame, model_path: str, folds: int = 10, mix: float = 0.7) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs; mix: the unigram's weight."""
-    read = stored(chunks(docs, ranks_path, folds), "chunks")
-    tokens = codec(ranks_path).bytes_of
-    model, of, within, starts = train(read, np.array([*(tokens[i][:1] == b" " for i in range(len(tokens))), True]))
+    read = stored(chunks(docs, model_path, folds), "chunks")
+    own = pieces(model_path)
+    model, of, within, starts = train(read, np.array([*(own.id_to_piece(i).startswith("\u2581") for i in range(own.get_piece_size())), True]))
     each = read.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select("chunk", "pos", "w.words", "w.counts")
-    counts = stored(each.groupBy("words").agg(F.sum("counts").alias("c")), "counts")
-    train_docs = read.select(F.explode("held_out").alias("h")).filter("not h").count()
-    n, v = counts.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    n, v = n + train_docs, v + (train_docs > 0)
+    same = Window.partitionBy("words").orderBy("chunk", "pos")
+    everywhere = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counts = each.select("chunk", "pos", F.sum("counts").over(everywhere).alias("c"), F.row_number().over(same).alias("r"))
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows ordered by chunk and place: the counts of a chunk's words in one row."""
-        batch = lambda: pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([squeeze(np.concatenate(held), "<i8")], pa.binary())], ["chunk", "c"])
+        """Rows ordered by chunk and place: a chunk's counts in one row, with the sum and number of those met here first."""
+
+        def batch() -> pa.RecordBatch:
+            c, r = (np.concatenate(x) for x in zip(*held, strict=True))
+            own = c[(r == 1) & (c > 0)]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((key, pa.int64()), (squeeze(c, "<i8"), pa.binary()), (int(own.sum()), pa.int64()), (len(own), pa.int64()))], ["chunk", "c", "n", "v"])
+
         key, held = None, []
         for b in batches:
-            chunk, c = b.column(0).to_numpy(), b.column(1).to_numpy()
+            chunk, c, r = (x.to_numpy() for x in b.columns)
             cut = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1), len(chunk)]
             for i, j in zip(cut, cut[1:]):  # noqa: B905
                 if i < j:
@@ -351,30 +367,42 @@ def scores(docs: DataFrame, ranks_path: str, folds: int = 10, mix: float = 0.7)
                         yield batch()
                         held = []
                     key = int(chunk[i])
-                    held.append(c[i:j])
+                    held.append((c[i:j], r[i:j]))
         if held:
             yield batch()
 
-    of_chunk = each.select("chunk", "pos", "words").join(counts, "words").select("chunk", "c", "pos").repartition("chunk").sortWithinPartitions("chunk", "pos").select("chunk", "c").mapInArrow(gathered, "chunk long, c binary")
-    both = read.select("chunk", "doc_ids", "held_out", "ends", "seq", "sub", "sub_ends").join(of_chunk, "chunk", "left").drop("chunk")
+    in_order = counts.repartition("chunk").sortWithinPartitions("chunk", "pos").select("chunk", "c", "r")
+    of_chunk = stored(in_order.mapInArrow(gathered, "chunk long, c binary, n long, v long"), "counts")
+    train_docs = read.select(F.explode("held_out").alias("h")).filter("not h").count()
+    n, v = of_chunk.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    n, v = n + train_docs, v + (train_docs > 0)
+    both = read.select("chunk", "doc_ids", "held_out", "ends", "seq", "sub", "sub_ends").join(of_chunk.select("chunk", "c"), "chunk", "left").drop("chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         for b in batches:
             for doc_ids, out, ends, seq, sub, sub_ends, c in zip(*b.columns, strict=True):
-                k = Chunk(ends.as_py(), seq.as_py(), sub.as_py(), sub_ends.as_py())
+                ids, out, ends, whole = doc_ids.as_py(), out.as_py(), np.array(ends.as_py(), np.int64), unsqueeze(seq.as_py(), "<u4")
+                sub, sub_ends = unsqueeze(sub.as_py(), "<u2"), unsqueeze(sub_ends.as_py(), "<u4").astype(np.int64)
                 known = np.append(unsqueeze(c.as_py(), "<i8") if c.is_valid else np.zeros(0, np.int64), train_docs)
-                begin = np.concatenate([[0], k.ends[:-1]])
-                uni = np.log((known + 0.1) / (n + 0.1 * (v + 1)))[k.seq]
-                told, began = score_chunk(model, of[k.ids], k.id_ends, starts)
-                word = word_scores(k, told + within[inputs(of[k.ids], k.id_ends), k.ids], began)
-                ln = np.logaddexp(np.log(mix) + uni, np.log(1 - mix) + word)
-                columns = (doc_ids.as_py(), out.as_py(), k.ends - begin, np.add.reduceat((known > 0)[k.seq].astype(np.int64), begin), np.full(len(begin), n), np.add.reduceat(uni, begin) / np.log(10), np.add.reduceat(ln, begin) / np.log(10))
-                kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names)
+                ln_uni = np.log((known + 0.1) / (n + 0.1 * (v + 1)))
+                first = 0
+                while first < len(ids):  # as many documents at a time as keep the arrays small
+                    begin = int(ends[first - 1]) if first else 0
+                    last = max(first + 1, int(np.searchsorted(ends, begin + 100_000)))
+                    k = Chunk(ends[first:last] - begin, whole[begin : ends[last - 1]], sub, sub_ends)
+                    begins = np.concatenate([[0], k.ends[:-1]])
+                    uni = ln_uni[k.seq]
+                    told, began = score_chunk(model, of[k.ids], k.id_ends, starts)
+                    word = word_scores(k, told + within[inputs(of[k.ids], k.id_ends), k.ids], began)
+                    ln = np.logaddexp(np.log(mix) + uni, np.log(1 - mix) + word)
+                    columns = (ids[first:last], out[first:last], k.ends - begins, np.add.reduceat((known > 0)[k.seq].astype(np.int64), begins), np.full(len(begins), n), np.add.reduceat(uni, begins) / np.log(10), np.add.reduceat(ln, begins) / np.log(10))
+                    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names)
+                    first = last
 
     return both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
