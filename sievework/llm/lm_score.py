@@ -235,7 +235,7 @@ def train_task(model: Attention, data: list[tuple[np.ndarray, np.ndarray]], phas
     return flat, seen
 
 
-def score_chunk(model: Attention, y: np.ndarray, ends: np.ndarray, starts: int, together: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+def score_chunk(model: Attention, y: np.ndarray, ends: np.ndarray, starts: int, together: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """ln P of every token's class, and of a word's begin at its place, each from the one window that scores it."""
     out, begin, x = np.zeros(len(y)), np.zeros(len(y)), inputs(y, ends)
     start, stop, first, _ = windows(y, ends)
