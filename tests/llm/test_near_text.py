@@ -48,3 +48,11 @@ def test_one_edited_word_of_two_hundred_goes(spark):
     other = [*text[:90], "edited", *text[91:]]
     docs = spark.createDataFrame([(7, " ".join(other)), (3, " ".join(text)), (9, "another text of its own words")], "doc_id long, text string")
     assert sorted(r.doc_id for r in C.drop_near_copies(spark, docs, "").collect()) == [3, 9]
+
+
+def test_rows_without_or_with_shared_ids_stay(spark):
+    """Rows are told apart by their own numbers, so only copies go."""
+    rows = [(None, "alone without an id here now"), (None, "copied text of some six words"), (4, "copied text of some six words"), (5, "one text of five words more"), (5, "other words under the same id"), (6, "one text of five words more"), (5, "one text of five words more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in C.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([rows[0], rows[2], rows[3], rows[4]], key=str)
