@@ -1,12 +1,8 @@
-"""Embedding near-duplicates by NN-descent: a neighbour graph is refined through neighbours of neighbours.
+"""Embedding near-duplicates: every pair of vectors of a label is compared, by blocks.
 
-Exact copies become one class. The graph starts from neighbours in several orders by the signs of random projections,
-within a label. Each round joins every node's neighbours with one another and keeps a node's best ``k``; a list whose
-members all reach the threshold is saturated and grows. The graph is audited against brute force on a bounded set of
-nodes and refined until its recall is good. Its edges at the threshold give components; inside each, links are then
-counted exactly by blocks, so long lists need not be stored.
-
-Bounded by documented parameters: the ``audited`` nodes. All rows are indexed.
+Exact copies become one class. The distinct vectors of a label and width are dealt to blocks, and each pair of blocks is
+compared whole: it counts every link and returns a forest of its links, of which the components are made. So no list is
+cut and no link is guessed; the work grows with the square of a label's distinct vectors.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without label or id,
 link with nothing and are kept; rows of other widths don't link; repeated rows are copies of each other and count as
@@ -23,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.llm.common import stored, table
-from sievework.llm.components import components
+from sievework.llm.components import components, forest
 
 CODE_BITS = 31
 EDGE = "a long, b long, s double"
@@ -170,9 +166,10 @@ def audit(graph: DataFrame, nodes: DataFrame, threshold: float, audited: int) ->
     return hit / n if n else 1.0
 
 
-def counted(members: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
-    """(node, n): for each node of (root, node, vector, copies) the rows of other nodes of its root that reach the threshold.
+def compared(members: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+    """(node, n, least) for each node of (root, node, vector, copies) and each pair of blocks of its root that it is in.
 
+    n is how many rows of other nodes there reach the threshold, least the smallest node that such links connect there.
     The members of a root are dealt to blocks; each pair of blocks is one group, so no group exceeds two blocks.
     """
     sizes = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
@@ -183,36 +180,38 @@ def counted(members: DataFrame, threshold: float, block: int = 1024) -> DataFram
         for (_, i, j), rows in groups(batches, 3):
             x, copies, own = units([r[6] for r in rows]), np.array([r[5] for r in rows]), np.array([r[3] for r in rows])
             n = np.zeros(len(rows), np.int64)
-            for a in range(0, len(rows), 512):
-                hit = x[a : a + 512] @ x.T >= threshold
-                hit &= (own[a : a + 512, None] != own[None, :]) if i != j else True
-                n[a : a + 512] = hit @ copies
+
+            def links(i=i, j=j, x=x, copies=copies, own=own, n=n) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for a in range(0, len(x), 512):
+                    hit = x[a : a + 512] @ x.T >= threshold
+                    hit &= (own[a : a + 512, None] != own[None, :]) if i != j else True
+                    n[a : a + 512] = hit @ copies
+                    one, other = np.nonzero(hit)
+                    yield one + a, other
+
+            least = forest(len(rows), links())
             if i == j:
                 n -= copies  # a node meets itself
-            yield pa.RecordBatch.from_arrays([pa.array([r[4] for r in rows], pa.int64()), pa.array(n)], ["node", "n"])
+            ids = np.array([r[4] for r in rows], np.int64)  # in order, so the smallest position is the smallest node
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(ids[least])], ["node", "n", "least"])
 
-    return keyed.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    return keyed.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(run, "node long, n long, least long")
+
+
+def counted(members: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+    """(node, n): for each node of (root, node, vector, copies) the rows of other nodes of its root that reach the threshold."""
+    return compared(members, threshold, block).groupBy("node").agg(F.sum("n").alias("n"))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = 12, orders: int = 12, window: int = 6, rounds: int = 4, audited: int = 400, least_recall: float = 0.97) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, block: int = 1024) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of (vec_id, embedding, label)."""
     rows = stored(classes(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.coalesce(F.col("embedding").cast("array<double>"), F.array().cast("array<double>")).alias("v"))), "vectors")
     taking_part = rows.filter("vec_id is not null and label is not null and vector is not null")
     nodes = stored(taking_part.groupBy("label", "vector").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    graph = stored(best(started(nodes, orders, window, k, 1), k, threshold, 2 * k), "graph")
-    for i in range(1, rounds + 1):
-        more = refined(graph, nodes, threshold)
-        if i > 1:
-            more = more.union(started(nodes, orders, window, k, i))
-        graph = stored(best(graph.union(more), k, threshold, k << (i + 1)), "graph")
-        links = graph.filter(F.col("s") >= threshold)
-        roots = stored(components(links.select("a", "b")), "roots")
-        members = roots.join(nodes, "node").select("root", "node", "vector", "copies")
-        # A link within a component is counted below whether its edge is in the graph or not.
-        together = roots.alias("x").select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        if audit_components(together, nodes, threshold, audited) >= least_recall:
-            break
-    n = counted(members, threshold)
+    members = nodes.select(F.concat_ws(":", F.length("vector"), "label").alias("root"), "node", "vector", "copies")
+    met = stored(compared(members, threshold, block), "compared")
+    n = met.groupBy("node").agg(F.sum("n").alias("n"))
+    roots = stored(components(met.filter("least <> node").select(F.col("node").alias("a"), F.col("least").alias("b"))), "roots")
     of_node = nodes.join(roots, "node", "left").join(n, "node", "left").select("label", "vector", "first", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("n", F.lit(0)).alias("n"))
     of_node = stored(of_node, "linked")
     least = of_node.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -57,3 +57,22 @@ def test_blocks_count_alike(spark):
 
 def test_empty_table(spark):
     assert E.near_duplicates(spark.createDataFrame([], ROWS)).collect() == []
+
+
+def bridged(dense, rnd):
+    """Two dense groups of distinct vectors, joined by the one link between a member of each, at a lower cosine than any inside."""
+    angle = np.arccos(0.94)
+    ends = np.zeros((2, 32))
+    ends[0, 0], ends[1, :2] = 1, [np.cos(angle), np.sin(angle)]
+    out = [ends]
+    for way, e in zip((-1, 1), ends, strict=True):
+        along = np.array([-e[1], e[0], *np.zeros(30)]) * way
+        out.append(e * np.cos(0.2) + along * np.sin(0.2) + 0.004 * rnd.standard_normal((dense, 32)))
+    return np.concatenate(out)
+
+
+def test_a_weak_link_joins_dense_groups(spark):
+    x = bridged(500, np.random.default_rng(8)).astype(np.float32)
+    rows = [(i, v.tolist(), 1, "x", 1) for i, v in enumerate(x)]
+    got = sorted((tuple(r) for r in E.near_duplicates(spark.createDataFrame(rows, ROWS)).collect()), key=str)
+    assert {r[2] for r in got} == {0} and got == brute(rows)
