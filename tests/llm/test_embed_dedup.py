@@ -76,3 +76,16 @@ def test_a_weak_link_joins_dense_groups(spark):
     rows = [(i, v.tolist(), 1, "x", 1) for i, v in enumerate(x)]
     got = sorted((tuple(r) for r in E.near_duplicates(spark.createDataFrame(rows, ROWS)).collect()), key=str)
     assert {r[2] for r in got} == {0} and got == brute(rows)
+
+
+def test_rare_links_beside_a_dense_group(spark):
+    """One dense component doesn't hide what is missing elsewhere: the few links of other labels and groups are all found."""
+    rnd = np.random.default_rng(9)
+    x = rnd.standard_normal((1500, 16))
+    x[:600] = x[0] + 0.1 * rnd.standard_normal((600, 16))
+    for i in range(600, 1500, 100):
+        x[i + 1] = x[i] * np.sqrt(1 - 0.35**2) + 0.33 * np.linalg.norm(x[i]) * np.eye(16)[i % 16]
+    rows = [(i, v.tolist(), 1 + i // 900, "x", 1) for i, v in enumerate(x.astype(np.float32))]
+    got = sorted((tuple(r) for r in E.near_duplicates(spark.createDataFrame(rows, ROWS), block=256).collect()), key=str)
+    want = [r for r in brute(rows)]
+    assert got == want and sum(1 for r in want if r[0] >= 600 and r[1]) >= 4
