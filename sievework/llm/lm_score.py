@@ -10,8 +10,8 @@ Frequent subwords are classes of their own; the others share classes of about eq
 word and those that go on with one. So the chance that a word ends is known, and the product over a word's subwords is a
 probability of the word; the score interpolates it, word by word, with the unigram of the base. Windows overlap: each token
 is scored once, with at least ``OVERLAP`` tokens before it in its window wherever the document has them. Tasks train on
-their own chunks from common weights, which are averaged after each round; every training document takes part, each
-round with every ``PHASES``-th window of it. Counts cover all of them.
+their own chunks from common weights, which are averaged after each round; every window of every training document
+trains in exactly one of the rounds, so documents of ``ROUNDS`` windows and more take part in each. Counts cover all of them.
 
 Defined cases: a null text is empty; an empty text is the end token alone; very long texts are chunks of their own;
 repeated rows are scored each; without training rows all counts are 0; an empty table gives no rows; other columns are
@@ -39,7 +39,7 @@ from sievework.llm.common import stored, table, words
 #: Bytes of text in a chunk, about.
 CHUNK = 12_000_000
 WINDOW, OVERLAP, WIDTH, CLASSES, SINGLE = 32, 4, 16, 64, 52
-ROUNDS, PHASES, BATCH, RATE = 3, 48, 64, 0.003
+ROUNDS, BATCH, RATE = 3, 64, 0.003
 CHUNK_ROW = "chunk long, doc_ids array<long>, held_out array<boolean>, ends array<int>, words array<string>, counts array<int>, seq binary, sub binary, sub_ends binary"
 
 
@@ -215,15 +215,20 @@ def _placed(y: np.ndarray, x: np.ndarray, start: np.ndarray, stop: np.ndarray) -
     return x[at], y[at], inside
 
 
+def in_round(k: np.ndarray, phase: int) -> np.ndarray:
+    """The windows that train in a round, from their numbers within their documents; each document begins at another round."""
+    return np.flatnonzero((k + np.cumsum(k == 0)) % ROUNDS == phase)
+
+
 def train_task(model: Attention, data: list[tuple[np.ndarray, np.ndarray]], phase: int) -> tuple[np.ndarray, int]:
-    """Adam over every PHASES-th window of each document, from the model's weights."""
+    """Adam over the windows of a round, from the model's weights."""
     flat = model.flat.copy()
     own = Attention(model.bigrams, flat)
     m, s, step, seen = np.zeros_like(flat), np.zeros_like(flat), 0, 0
     for y, ends in data:
         x = inputs(y, ends)
         start, stop, _, k = windows(y, ends)
-        mine = np.flatnonzero((k + np.arange(len(k))) % PHASES == phase)
+        mine = in_round(k, phase)
         mine = mine[np.random.default_rng(phase).permutation(len(mine))]
         for i in range(0, len(mine), BATCH):
             part = mine[i : i + BATCH]
@@ -333,9 +338,8 @@ def train(read: DataFrame, begins: np.ndarray) -> tuple[Attention, np.ndarray, n
                 yield pa.RecordBatch.from_arrays([pa.array([np.append(weights, total)], pa.list_(pa.float64()))], ["x"])
 
         sums = _collected(read.select("held_out", "ends", "seq", "sub", "sub_ends").mapInArrow(run, "x array<double>").select(F.posexplode("x").alias("i", "v")), len(model.flat) + 1)
-        if not sums[-1]:
-            break
-        model = Attention(bigrams, sums[:-1] / sums[-1])
+        if sums[-1]:
+            model = Attention(bigrams, sums[:-1] / sums[-1])
     return model, of, within, starts
 
 

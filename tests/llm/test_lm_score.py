@@ -76,3 +76,12 @@ def test_word_probabilities_sum_to_one_at_most():
     of, starts = L.classes(np.arange(n + 1), begins)
     assert of[n] == 0 and all((of < starts) == begins) and len(np.unique(of)) == L.CLASSES
     assert all(begins[x[0]] and not begins[x[1:]].any() for x in own.encode(["the", "thndor", "Été!", "日本", "x\u00a0y", "|"]))
+
+
+def test_every_window_trains_in_one_round():
+    ends = np.cumsum([1, 20, 40, 200, 33, 1500, 7])
+    k = L.windows(np.zeros(ends[-1], np.int64), ends)[3]
+    rounds = [L.in_round(k, r) for r in range(L.ROUNDS)]
+    assert sorted(np.concatenate(rounds).tolist()) == list(range(len(k)))
+    document = np.cumsum(k == 0)
+    assert all(set(document[np.isin(document, np.flatnonzero(np.bincount(document) >= L.ROUNDS))]) <= set(document[r]) for r in rounds)
