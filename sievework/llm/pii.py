@@ -2,8 +2,9 @@
 
 Every text is read once. Base matches and other tokens that look like identifiers are instances; the words around an
 instance are its patterns. Spark scores the graph between both: a pattern is as good for a kind as the share of its
-distinct instances that are of this kind, an instance without base match as its good patterns together; some rounds
-are run, as new instances support further patterns. Instances of high confidence and of the kind's shape are added.
+distinct instances that are of this kind, among those whose kind is known or whose shape is another; those that have the
+kind's shape and may be what is sought weigh ``OPEN`` each. An instance without base match is as good as its good
+patterns together; rounds are run until no new instance appears, as new ones support further patterns. Instances of high confidence and of the kind's shape are added.
 
 The graph is joined by its own keys and never collected; instances and patterns are counted once however often they
 occur, so one identifier in a third of all rows does no harm.
@@ -37,6 +38,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MAYBE = re.compile(r"[0-9@]|[\[({]at[\])}]", re.I)
 #: Digit groups, and tokens; those with a digit or an at sign may be identifiers.
 LOOSE = re.compile(r"[(+]?[0-9](?:[\x20().\-/]{0,3}[0-9])+|[^\s,;<>\"']++")
+#: What an instance of the kind's shape and of unknown kind counts against a pattern.
+OPEN = 0.1
 #: Names that no table has, for what reading adds.
 ROW = "_pii_row long, _pii_n array<long>, _pii_base string, _pii_seen array<struct<first:int,last:int,instance:string,kind:string,fits:array<string>,patterns:array<string>>>"
 
@@ -142,7 +145,7 @@ def instances(t: str) -> tuple[list[int], str, list[dict]]:
     return n, ",".join(f"{k}:{a}:{z}" for k, a, z in base), seen
 
 
-def discovered(rows: DataFrame, rounds: int = 3, least_support: int = 8, least_share: float = 0.9) -> DataFrame | None:
+def discovered(rows: DataFrame, least_support: int = 8, least_share: float = 0.9) -> DataFrame | None:
     """(instance, kind) of instances that the graph finds and no base pattern does; None where no pattern is good enough."""
     each = rows.select(F.explode("_pii_seen").alias("s")).select("s.instance", "s.kind", "s.fits", "s.patterns")
     links = stored(each.select("instance", F.explode("patterns").alias("pattern")).distinct(), "links")
@@ -153,20 +156,23 @@ def discovered(rows: DataFrame, rounds: int = 3, least_support: int = 8, least_s
     if shapes.isEmpty():
         return None
     sizes = stored(links.groupBy("pattern").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= least_support), "sizes")
-    new = None
-    for _ in range(rounds):
+    new, before, open_ = None, 0, shapes
+    while True:
         hits = links.join(believed, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("hits"))
-        good = hits.filter(F.col("hits") >= least_support).join(sizes, "pattern").withColumn("share", F.col("hits") / F.col("size")).filter(F.col("share") >= least_share)
+        unknown = links.join(open_, "instance").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("unknown"))
+        of = hits.filter(F.col("hits") >= least_support).join(sizes, "pattern").join(unknown, ["pattern", "kind"], "left")
+        good = of.withColumn("share", F.col("hits") / (F.col("size") - (1 - OPEN) * F.coalesce("unknown", F.lit(0)))).filter(F.col("share") >= least_share)
         good = stored(good.select("pattern", "kind", "share"), "good")
         if good.isEmpty():
-            return new
+            return None
         doubt = F.exp(F.sum(F.log1p(-F.least("share", F.lit(0.99)))))
         found = links.join(good, "pattern").groupBy("instance", "kind").agg((1 - doubt).alias("score")).filter(F.col("score") >= least_share).join(shapes, ["instance", "kind"], "left_semi")
-        before = 0 if new is None else new.count()
         new = stored(found, "new")
-        if new.count() <= before:
+        if (now := new.count()) <= before:
             break
-        believed = of_kind.withColumn("score", F.lit(1.0)).union(new)
+        before = now
+        believed = of_kind.withColumn("score", F.lit(1.0)).union(new.select("instance", "kind", "score"))
+        open_ = shapes.join(new, ["instance", "kind"], "left_anti")
     return new.groupBy("instance").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
 
 

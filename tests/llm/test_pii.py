@@ -46,3 +46,12 @@ def test_contexts_find_more(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], DOCS)
     assert P.found(empty, ["doc_id"]).collect() == [] and P.redacted(empty).collect() == []
+
+
+def test_contexts_with_many_unseen(spark):
+    """40 % of the numbers in a context miss the base and are found; a context of mostly other numbers stays."""
+    texts = [f"alpha call me: +1 ({200 + i}) 555-{1000 + i} beta" for i in range(60)] + [f"alpha call me: {200 + i}-555-{2000 + i} beta" for i in range(40)]
+    texts += [f"order number: +1 ({300 + i}) 555-{1000 + i} gamma" for i in range(10)] + [f"order number: {5000000 + 37 * i} gamma" for i in range(200)]
+    docs = spark.createDataFrame([(i, t, "b", 1, "n") for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id for r in P.found(docs, ["doc_id"]).collect() if r._pii_added}
+    assert got == set(range(60, 100))
