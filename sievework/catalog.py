@@ -12,7 +12,7 @@ from sievework.functions import images as I
 from sievework.functions import scalars as S
 from sievework.functions import text_time as T
 from sievework.functions import vectors as V
-from sievework.operators import features, gates, graphs, ordered, ranking, selection, similarity
+from sievework.operators import density, features, gates, graphs, ordered, ranking, selection, similarity
 from sievework.plans.bridge import PHOTOS, photos, table
 from sievework.sources import store
 
@@ -142,10 +142,10 @@ LABELS = "lab AS (SELECT vec_id, unnest(range(10)) AS label, unnest([" + ", ".jo
 
 def _labelled(spark, sf):
     """vec_id, tags: the three best labels, those with a share of 0.05 and more."""
-    shares = V.softmax(V.dots(F.col("embedding"), _prompts(spark, sf)))
-    pairs = F.transform(shares, lambda x, i: F.struct((-x).alias("neg"), i.alias("label")))
+    x = V.with_shares(table(spark, sf, "embeddings"), V.dots(F.col("embedding"), _prompts(spark, sf)))
+    pairs = F.transform("shares", lambda x, i: F.struct((-x).alias("neg"), i.alias("label")))
     top = F.filter(F.slice(F.array_sort(pairs), 1, 3), lambda t: -t["neg"] >= 0.05)
-    return table(spark, sf, "embeddings").select("vec_id", F.transform(top, lambda t: F.struct(t["label"].alias("label"), (-t["neg"]).alias("confidence"))).alias("tags"))
+    return x.select("vec_id", top.alias("top")).select("vec_id", F.transform("top", lambda t: F.struct(t["label"].alias("label"), (-t["neg"]).alias("confidence"))).alias("tags"))
 
 
 @query("SELECT vec_id, label, round(share, 6) AS confidence FROM top WHERE r <= 3 AND share >= 0.05", LABELS)
@@ -197,20 +197,21 @@ SHARES = "s AS (SELECT vec_id, list_transform(x, lambda y: exp(100 * (y - list_m
 
 @query("SELECT vec_id, list_max(p[1:5]) > 0.4 AND list_max(p[1:5]) >= 3 * greatest(p[6], 1e-6) AS private FROM q", SHARES)
 def private_prob_gate(p, spark, sf):
-    shares = V.softmax(V.dots(F.col("embedding"), _prompts(spark, sf)[:6]))
-    return table(spark, sf, "embeddings").select("vec_id", V.private_by(shares, 0.4, 3).alias("private"))
+    x = V.with_shares(table(spark, sf, "embeddings"), V.dots(F.col("embedding"), _prompts(spark, sf)[:6]))
+    return x.select("vec_id", V.private_by(F.col("shares"), 0.4, 3).alias("private"))
 
 
 @query("SELECT vec_id, list_max(p[1:5]) > 0.25 AND list_max(p[1:5]) >= 20 * greatest(p[6], 1e-6) AS boring FROM q", SHARES)
 def boring_ratio_gate(p, spark, sf):
-    shares = V.softmax(V.dots(F.col("embedding"), _prompts(spark, sf)[:6]))
-    return table(spark, sf, "embeddings").select("vec_id", V.private_by(shares, 0.25, 20).alias("boring"))
+    x = V.with_shares(table(spark, sf, "embeddings"), V.dots(F.col("embedding"), _prompts(spark, sf)[:6]))
+    return x.select("vec_id", V.private_by(F.col("shares"), 0.25, 20).alias("boring"))
 
 
 @query("SELECT vec_id, greatest(" + ", ".join(f"1 / (1 + exp(100 * ({_dot(9, 'embedding')} - {_dot(i, 'embedding')})))" for i in range(6)) + ") >= 0.55 AS heavy FROM embeddings")
 def text_heavy_binary_max(p, spark, sf):
     a = _prompts(spark, sf)
-    return table(spark, sf, "embeddings").select("vec_id", (V.binary_max(F.col("embedding"), a[:6], a[9]) >= 0.55).alias("heavy"))
+    x = V.with_binary_max(table(spark, sf, "embeddings"), F.col("embedding"), a[:6], a[9], "share")
+    return x.select("vec_id", (F.col("share") >= 0.55).alias("heavy"))
 
 
 # -- gates ------------------------------------------------------------------------------------------------------------
@@ -307,13 +308,12 @@ TIMES = "named AS (SELECT p.id, p.timestamp, p.path, CAST(CASE p.id % 8 WHEN 1 T
 
 @query("SELECT id, t AS seconds FROM named", TIMES)
 def filename_timestamp(p, spark, sf):
-    return p.select("id", T.filename_timestamp("path").alias("seconds"))
+    return T.captured(p.select("id", "path"), "path", "seconds").select("id", "seconds")
 
 
 @query("SELECT id, CASE WHEN timestamp <= 0 AND t > 0 THEN t ELSE timestamp END AS timestamp FROM named", TIMES)
 def timestamp_backfill(p, spark, sf):
-    found = T.filename_timestamp("path")
-    return p.select("id", "timestamp", found.alias("t")).select("id", F.when((F.coalesce("timestamp", F.lit(0.0)) <= 0) & (F.col("t") > 0), F.col("t")).otherwise(F.col("timestamp")).alias("timestamp"))
+    return T.captured(p.select("id", "timestamp", "path"), "path", "t").select("id", F.when((F.coalesce("timestamp", F.lit(0.0)) <= 0) & (F.col("t") > 0), F.col("t")).otherwise(F.col("timestamp")).alias("timestamp"))
 
 
 @query("SELECT id, CASE WHEN id % 17 = 0 THEN 0 WHEN id % 20 > 14 OR (id % 20 = 14 AND id % 70 > 0) OR id % 70 > 59 THEN NULL ELSE (id % 20 * 60 + id % 70) * CASE WHEN id % 2 = 0 THEN 1 ELSE -1 END END AS minutes FROM photos")
@@ -488,22 +488,29 @@ def dup_union_burst(p, spark, sf):
 
 
 # With two samples a cluster is what reaches on, so events in one dimension of scaled time split at gaps over eps.
-EVENTS = "timed AS (SELECT event_id AS id, (epoch(ts) - (SELECT min(epoch(ts)) FROM events))::DOUBLE / 3600 AS x FROM events), marks AS (SELECT *, CASE WHEN x - lag(x) OVER (ORDER BY x, id) <= 0.05 THEN 0 ELSE 1 END AS new FROM timed), runs AS (SELECT *, sum(new) OVER (ORDER BY x, id ROWS UNBOUNDED PRECEDING) AS run FROM marks)"
+EVENTS = "timed AS (SELECT event_id AS id, epoch(ts)::DOUBLE AS x FROM events), marks AS (SELECT *, CASE WHEN x - lag(x) OVER (ORDER BY x, id) <= 180 THEN 0 ELSE 1 END AS new FROM timed), runs AS (SELECT *, sum(new) OVER (ORDER BY x, id ROWS UNBOUNDED PRECEDING) AS run FROM marks)"
 
 
 @query("SELECT id, CASE WHEN count(*) OVER (PARTITION BY run) > 1 THEN min(id) OVER (PARTITION BY run) ELSE -1 END AS cluster FROM runs", EVENTS)
 def event_clusters(p, spark, sf):
-    """DBSCAN over scaled time: pairs within eps come from neighbouring time buckets, then components."""
-    eps = 0.05
-    e = _timed(spark, sf)
-    first = e.agg(F.min("t").alias("t0"))
-    x = e.crossJoin(F.broadcast(first)).select(F.col("event_id").alias("id"), ((F.col("t") - F.col("t0")) / 3600).alias("x"))
-    x = store.stored(x.withColumn("b", F.floor(F.col("x") / eps)), "scaled")
-    # Inside a bucket all are within reach: a chain to the bucket's first suffices; next buckets meet by their ends and starts.
-    chain = x.withColumn("prev", F.lag("id").over(Window.partitionBy("b").orderBy("x", "id"))).filter("prev is not null").select(F.col("prev").alias("a"), F.col("id").alias("b"))
-    ends = x.groupBy("b").agg(F.max(F.struct("x", "id")).alias("last"), F.min(F.struct("x", "id")).alias("first"))
-    across = ends.select((F.col("b") + 1).alias("b"), "last").join(ends.select("b", "first"), "b").filter(F.col("first.x") - F.col("last.x") <= eps).select(F.col("last.id").alias("a"), F.col("first.id").alias("b"))
-    return graphs.dbscan_pairs(x, chain.union(across)).select("id", "cluster")
+    """Density clusters in the one dimension of time are its gap sessions, so no graph is needed."""
+    s = ordered.gap_sessions(_timed(spark, sf), "t", 180, "event_id").select(F.col("event_id").alias("id"), "session")
+    ends = s.groupBy("session").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    return s.join(ends, "session").select("id", F.when(F.col("n") > 1, F.col("first")).otherwise(F.lit(-1)).alias("cluster"))
+
+
+PLACED = """feat AS (SELECT id, CASE WHEN timestamp > 0 THEN (timestamp - (SELECT min(timestamp) FROM photos WHERE timestamp > 0)) / 3600 ELSE 1e6 + 100 * id END AS t,
+  CASE WHEN lat <> 0 OR lon <> 0 THEN lat ELSE (SELECT avg(lat) FROM photos WHERE lat <> 0 OR lon <> 0) END * 2 AS la, CASE WHEN lat <> 0 OR lon <> 0 THEN lon ELSE (SELECT avg(lon) FROM photos WHERE lat <> 0 OR lon <> 0) END * 2 AS lo FROM photos),
+pairs AS (SELECT a.id AS a, b.id AS b FROM feat a JOIN feat b ON a.id <> b.id AND pow(a.t - b.t, 2) + pow(a.la - b.la, 2) + pow(a.lo - b.lo, 2) <= 36),
+reach(id, root) AS (SELECT id, id FROM feat UNION SELECT p.b, r.root FROM reach r JOIN pairs p ON p.a = r.id),
+placed AS (SELECT id, min(root) AS root FROM reach GROUP BY id)"""
+
+
+@query("SELECT id, CASE WHEN count(*) OVER (PARTITION BY root) > 1 THEN root ELSE -1 END AS cluster FROM placed", PLACED)
+def event_clusters_in_space(p, spark, sf):
+    """Density clusters over scaled time and place, by an eps join over grid cells."""
+    x = features.scaled(p, F.col("id"), gps_weight=0.02)
+    return density.clusters(x.select("id", F.array("f_time", "f_lat", "f_lon").alias("f")), 6.0).select("id", "cluster")
 
 
 IDENTITY = """pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.42),
@@ -585,11 +592,11 @@ def select_bytes_mode(p, spark, sf):
     return selection.select(_candidates(p, spark, sf), selection.Rules(max_bytes=100_000_000))
 
 
-CHOSEN = RANKED + ", chosen AS (SELECT *, row_number() OVER (ORDER BY ranked.score DESC, path) AS pick FROM ranked WHERE id % 4 < 2)"
+CHOSEN = RANKED + ", chosen AS (SELECT *, row_number() OVER (ORDER BY ranked.score DESC, path) AS pick FROM ranked)"
 
 
 def _chosen(p):
-    top = ranking.score(p).filter("id % 4 < 2")
+    top = ranking.score(p)
     return ordered.running(top, F.floor(-F.col("score") * 1000), [F.desc("score"), F.col("path")], F.lit(1), "pick")
 
 
@@ -637,7 +644,7 @@ def face_boxes(p, spark, sf):
     return s.select("id", "s.count", R6("s.prominence").alias("prominence"), R6("s.confidence").alias("confidence"))
 
 
-@query("SELECT id, round(CASE WHEN timestamp > 0 THEN (timestamp - (SELECT min(timestamp) FROM photos WHERE timestamp > 0)) / 3600 * 2 ELSE 1e6 + 100 * id END, 4) AS t, round(CASE WHEN lat <> 0 OR lon <> 0 THEN lat ELSE (SELECT avg(lat) FROM photos WHERE lat <> 0 OR lon <> 0) END * 200, 3) AS la, round(CASE WHEN lat <> 0 OR lon <> 0 THEN lon ELSE (SELECT avg(lon) FROM photos WHERE lat <> 0 OR lon <> 0) END * 200, 3) AS lo FROM photos")
+@query("SELECT id, round(CASE WHEN timestamp > 0 THEN (timestamp - (SELECT min(timestamp) FROM photos WHERE timestamp > 0)) / 3600 ELSE 1e6 + 100 * id END, 4) AS t, round(CASE WHEN lat <> 0 OR lon <> 0 THEN lat ELSE (SELECT avg(lat) FROM photos WHERE lat <> 0 OR lon <> 0) END * 200, 3) AS la, round(CASE WHEN lat <> 0 OR lon <> 0 THEN lon ELSE (SELECT avg(lon) FROM photos WHERE lat <> 0 OR lon <> 0) END * 200, 3) AS lo FROM photos")
 def event_features(p, spark, sf):
     x = features.scaled(p, F.col("id"))
     return x.select("id", F.round("f_time", 4).alias("t"), F.round("f_lat", 3).alias("la"), F.round("f_lon", 3).alias("lo"))

@@ -1,84 +1,73 @@
-"""Capture times from file names and EXIF offsets."""
+"""Capture times from file names and EXIF offsets, as columns.
 
-from __future__ import annotations
+A name may hold several shapes of a time. Each shape is one projection that lists its matches and keeps the plausible
+ones; the first match of the most exact shape counts.
+"""
 
-import calendar
-import datetime as dt
-import re
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+
+from sievework.functions.scalars import stem
 
 # The shapes of dates and times in file names, and the ranges that count as plausible.
-FULL = re.compile(r"(?<!\d)((?:19|20)\d{2})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})(?:\d{3})?(?!\d)")
-MINUTES = re.compile(r"(?<!\d)((?:19|20)\d{2})(\d{2})(\d{2})(\d{2})(\d{2})(?!\d)")
-DATE = re.compile(r"(?<!\d)((?:19|20)\d{2})[-_.]?(\d{2})[-_.]?(\d{2})(?!\d)")
-TIME = re.compile(r"\D{0,6}(\d{1,2})[-_:.\s]?(\d{2})[-_:.\s]?(\d{2})(?:\d{3})?(?!\d)(?:\s*([AaPp])[Mm])?")
-SHORT_TIME = re.compile(r"[-_:.\sT]+(?:(\d{2})(\d{2})|(\d{1,2})[-_:.](\d{2}))(?!\d)")
-SEQUENCES = (re.compile(r"WA(\d{1,4})", re.I), re.compile(r"\((\d{1,4})\)"), re.compile(r"[_-](\d{1,4})(?=\D|$)"))
-EPOCH = re.compile(r"(?<!\d)(\d{13}|\d{10})(?!\d)")
+FULL = r"(?<!\d)((?:19|20)\d{12})(?:\d{3})?(?!\d)"
+MINUTES = r"(?<!\d)((?:19|20)\d{10})(?!\d)"
+DATE = r"(?<!\d)((?:19|20)\d{2}[-_.]?\d{2}[-_.]?\d{2})(?!\d)(?=(.*))"
+TIME = r"^\D{0,6}(\d{1,2})[-_:.\s]?(\d{2})[-_:.\s]?(\d{2})(?:\d{3})?(?!\d)(?:\s*([AaPp])[Mm])?"
+SHORT_TIME = r"^[-_:.\sT]+(?:(\d{2})(\d{2})|(\d{1,2})[-_:.](\d{2}))(?!\d)"
+SEQUENCES = (r"[Ww][Aa](\d{1,4})", r"\((\d{1,4})\)", r"[_-](\d{1,4})(?=\D|$)")
+EPOCH = r"(?<!\d)(\d{13}|\d{10})(?!\d)"
 FIRST_YEAR, LAST_YEAR = 1990, 2100
 FIRST_EPOCH, LAST_EPOCH = 946_684_800, 4_102_444_800
-
-
-def _seconds(y: int, mo: int, d: int, h: int = 0, mi: int = 0, s: int = 0) -> float | None:
-    try:
-        when = dt.datetime(y, mo, d, h, mi, s)
-    except ValueError:
-        return None
-    return float(calendar.timegm(when.timetuple())) if FIRST_YEAR <= y <= LAST_YEAR else None
-
-
-def _clock(rest: str) -> tuple[int, int, int] | None:
-    if m := TIME.match(rest):
-        h, mi, s, half = int(m[1]), int(m[2]), int(m[3]), (m[4] or "").lower()
-        if half and 1 <= h <= 12:
-            h = h % 12 + 12 * (half == "p")
-        if h < 24 and mi < 60 and s < 60:
-            return h, mi, s
-    if m := SHORT_TIME.match(rest):
-        h, mi = int(m[1] or m[3]), int(m[2] or m[4])
-        if h < 24 and mi < 60:
-            return h, mi, 0
-    return None
-
-
-def _sequence(rest: str) -> int:
-    for p in SEQUENCES:
-        if m := p.search(rest):
-            return int(m[1]) if int(m[1]) < 60 else 0
-    return 0
-
-
-def name_to_seconds(name: str | None) -> float:
-    """UTC epoch seconds of the first plausible time in a file name, the most exact shape first; 0 without one."""
-    stem = re.sub(r"\.[^.]*$", "", (name or "").rsplit("/", 1)[-1])
-    for shape in (FULL, MINUTES):
-        for m in shape.finditer(stem):
-            if (t := _seconds(*map(int, m.groups()))) is not None:
-                return t
-    for m in DATE.finditer(stem):
-        y, mo, d = map(int, m.groups())
-        if _seconds(y, mo, d) is not None:
-            rest = stem[m.end() :]
-            return _seconds(y, mo, d, *(_clock(rest) or (12, 0, _sequence(rest))))
-    if (m := EPOCH.search(stem)) and m[1][0] == "1":
-        t = int(m[1]) / (1000 if len(m[1]) == 13 else 1)
-        if FIRST_EPOCH <= t <= LAST_EPOCH:
-            return t
-    return 0.0
-
-
-@F.pandas_udf(DoubleType())
-def filename_timestamp(names: pd.Series) -> pd.Series:
-    """``name_to_seconds`` for whole batches; the order of shapes and matches can't be told in one expression."""
-    return names.map(name_to_seconds)
+NOON = 12 * 3600
+
+
+def _number(text: Column, start: int, size: int) -> Column:
+    return F.substring(text, start, size).cast("int")
+
+
+def _epoch(digits: Column, places: int) -> Column:
+    """Seconds of yyyyMMdd, then HH, mm and ss as far as places go; null for what no calendar has or years out of range."""
+    part = lambda at: _number(digits, at, 2) if at < places else F.lit(0)
+    year = _number(digits, 1, 4)
+    when = F.try_make_timestamp_ntz(year, part(5), part(7), part(9), part(11), part(13).cast("decimal(16,6)"))
+    seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), when)
+    return F.when(year.between(FIRST_YEAR, LAST_YEAR) & (part(13) < 60), seconds.cast("double"))
+
+
+def _found(text: Column, pattern: str, group: int) -> Column:
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+
+
+def captured(df: DataFrame, name: str, out: str) -> DataFrame:
+    """df with UTC epoch seconds of the first plausible time in a file name, the most exact shape first; 0 without one."""
+    x = df.withColumn("_stem", F.coalesce(stem(F.col(name)), F.lit("")))
+    each = lambda pattern, group: F.regexp_extract_all("_stem", F.lit(pattern), F.lit(group))
+    first = lambda times: F.get(F.filter(times, lambda t: t.isNotNull()), F.lit(0))
+    x = x.withColumn("_14", first(F.transform(each(FULL, 1), lambda m: _epoch(m, 14))))
+    x = x.withColumn("_12", first(F.transform(each(MINUTES, 1), lambda m: _epoch(m, 12))))
+    days = F.zip_with(each(DATE, 1), each(DATE, 2), lambda d, rest: F.struct(_epoch(F.regexp_replace(d, "[-_.]", ""), 8).alias("day"), rest.alias("rest")))
+    x = x.withColumn("_day", F.get(F.filter(days, lambda d: d["day"].isNotNull()), F.lit(0)))
+    x = x.withColumns({"_rest": F.col("_day.rest"), "_day": F.col("_day.day")})
+    x = x.withColumns({"_h": _found(F.col("_rest"), TIME, 1).cast("int"), "_half": F.lower(F.regexp_extract("_rest", TIME, 4))})
+    hour = F.when((F.col("_half") != "") & F.col("_h").between(1, 12), F.col("_h") % 12 + F.when(F.col("_half") == "p", 12).otherwise(0)).otherwise(F.col("_h"))
+    x = x.withColumns({"_h": hour, "_m": _found(F.col("_rest"), TIME, 2).cast("int"), "_s": _found(F.col("_rest"), TIME, 3).cast("int")})
+    x = x.withColumns({f"_{k}": F.coalesce(_found(F.col("_rest"), SHORT_TIME, i), _found(F.col("_rest"), SHORT_TIME, i + 2)).cast("int") for k, i in (("h2", 1), ("m2", 2))})
+    exact = F.when((F.col("_h") < 24) & (F.col("_m") < 60) & (F.col("_s") < 60), F.col("_h") * 3600 + F.col("_m") * 60 + F.col("_s"))
+    short = F.when((F.col("_h2") < 24) & (F.col("_m2") < 60), F.col("_h2") * 3600 + F.col("_m2") * 60)
+    number = F.coalesce(*(_found(F.col("_rest"), p, 1).cast("int") for p in SEQUENCES), F.lit(0))
+    clock = F.coalesce(exact, short, NOON + F.when(number < 60, number).otherwise(0))
+    digits = F.regexp_extract("_stem", EPOCH, 1)
+    stamp = F.when(digits.startswith("1"), digits.cast("double") / F.when(F.length(digits) == 13, 1000.0).otherwise(1.0))
+    since = F.when(stamp.between(FIRST_EPOCH, LAST_EPOCH), stamp)
+    return x.withColumn(out, F.coalesce("_14", "_12", F.col("_day") + clock, since, F.lit(0.0))).drop("_stem", "_14", "_12", "_day", "_rest", "_h", "_half", "_m", "_s", "_h2", "_m2")
 
 
 def exif_offset_minutes(s: Column) -> Column:
-    """Minutes of Z or a signed HH:MM; null where malformed, beyond 14:00, or with 60 minutes and more."""
-    h, m = F.regexp_extract(s, r"^[+-](\d{2}):?(\d{2})$", 1), F.regexp_extract(s, r"^[+-](\d{2}):?(\d{2})$", 2)
+    """Minutes of Z or a signed HH:MM, in any case and with space around; null where malformed, beyond 14:00, or with 60 minutes and more."""
+    own = F.upper(F.trim(s))
+    h, m = F.regexp_extract(own, r"^[+-](\d{2}):?(\d{2})$", 1), F.regexp_extract(own, r"^[+-](\d{2}):?(\d{2})$", 2)
     n = h.try_cast("int") * 60 + m.try_cast("int")
-    return F.when(s == "Z", 0).when((h != "") & (m.try_cast("int") < 60) & (n <= 14 * 60), F.when(s.startswith("-"), -n).otherwise(n))
+    return F.when(own == "Z", 0).when((h != "") & (m.try_cast("int") < 60) & (n <= 14 * 60), F.when(own.startswith("-"), -n).otherwise(n))

@@ -1,10 +1,12 @@
-"""Columns over vectors (arrays of numbers), in double precision, folded from left to right."""
+"""Columns over vectors (arrays of numbers), in double precision; products with many prompts are one matrix product a batch."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,20 +35,36 @@ def usable(a: Column, least: float = 1e-6) -> Column:
     return a.isNotNull() & (F.size(a) > 0) & (norm(a) >= least)
 
 
-def softmax(scores: Column, scale: float = 100.0) -> Column:
-    """The shares exp(scale * (x - max)) of an array."""
-    e = F.transform(scores, lambda x: F.exp(F.lit(scale) * (x - F.array_max(scores))))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+def dots(v: Column, prompts: Sequence[Sequence[float]]) -> Column:
+    """The products of each vector with all prompts, as one matrix product a batch; null for vectors of another width."""
+    m = np.array(prompts, np.float64)
 
+    @F.pandas_udf("array<double>")
+    def run(vectors: pd.Series) -> pd.Series:
+        fits = vectors.map(lambda x: x is not None and len(x) == m.shape[1]).to_numpy(bool)
+        out = pd.Series([None] * len(vectors), dtype=object)
+        if fits.any():
+            out[fits] = list(np.stack(vectors[fits].to_numpy()).astype(np.float64) @ m.T)
+        return out
 
-def dots(v: Column, prompts: Sequence[Sequence[float]]) -> Column:
-    return F.array(*(dot(v, literal(p)) for p in prompts))
+    return run(v)
+
+
+def with_shares(df: DataFrame, scores: Column, out: str = "shares", scale: float = 100.0) -> DataFrame:
+    """df with the shares exp(scale * (x - max)) of an array of scores.
+
+    Scores, their maximum and the sum are columns of their own: inside a lambda they would be worked out per element.
+    """
+    x = df.withColumn("_s", scores).withColumn("_top", F.array_max("_s"))
+    x = x.withColumn("_e", F.transform("_s", lambda s: F.exp(F.lit(scale) * (s - F.col("_top")))))
+    x = x.withColumn("_sum", F.aggregate("_e", F.lit(0.0), lambda s, y: s + y))
+    return x.withColumn(out, F.transform("_e", lambda y: y / F.col("_sum"))).drop("_s", "_top", "_e", "_sum")
 
 
-def binary_max(v: Column, variants: Sequence[Sequence[float]], baseline: Sequence[float], scale: float = 100.0) -> Column:
-    """The largest share of a variant against the baseline alone."""
-    base = dot(v, literal(baseline))
-    return F.array_max(F.transform(dots(v, variants), lambda s: 1 / (1 + F.exp(F.lit(scale) * (base - s)))))
+def with_binary_max(df: DataFrame, v: Column, variants: Sequence[Sequence[float]], baseline: Sequence[float], out: str, scale: float = 100.0) -> DataFrame:
+    """df with the largest share of a variant against the baseline alone."""
+    x = df.withColumns({"_base": dot(v, literal(baseline)), "_top": F.array_max(dots(v, variants))})
+    return x.withColumn(out, 1 / (1 + F.exp(F.lit(scale) * (F.col("_base") - F.col("_top"))))).drop("_base", "_top")
 
 
 def private_by(p: Column, threshold: float, ratio: float) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def scaled(items: DataFrame, index: Column, time_weight: float = 2.0, gps_weight: float = 2.0) -> DataFrame:
+def scaled(items: DataFrame, index: Column, time_weight: float = 1.0, gps_weight: float = 2.0) -> DataFrame:
     """items with f_time, f_lat and f_lon: hours since the first, hundredths of degrees, weighted.
 
     Items without place get the centre of the others; those without time lie far off and apart from each other.

@@ -26,19 +26,29 @@ def greedy_kept(items: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, root): the smallest id of each component, by contraction to smaller neighbours."""
+    """(id, root): the smallest id of each component.
+
+    In each round every node moves to the one of its closed neighbourhood that comes first by a hash, which changes from
+    round to round; so a chain in any numbering loses a fixed share of its nodes a round, and the rounds grow with the
+    logarithm of the longest path. The moves are followed once at the end.
+    """
     edges = stored(edges.select("a", "b").filter("a <> b").distinct(), "cc")
-    out = nodes.select("id", F.col("id").alias("root"))
+    moves: list[DataFrame] = []
     while not edges.isEmpty():
+        key = lambda c, salt=len(moves): F.struct(F.xxhash64(F.col(c), F.lit(salt)).alias("h"), F.col(c).alias("id"))
         both = edges.union(edges.select("b", "a"))
-        to = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("root"), F.least("a", "m").alias("to")), "cc")
-        # Two jumps shorten chains of pointers.
-        jump = to.join(to.toDF("to", "to2"), "to", "left").select("root", F.coalesce("to2", "to").alias("to"))
-        to = stored(jump, "cc")
-        out = stored(out.join(to, "root", "left").select("id", F.coalesce("to", "root").alias("root")), "cc")
-        moved = edges.join(to.toDF("a", "x"), "a").join(to.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        edges = stored(moved.filter("a <> b").distinct(), "cc")
-    return out
+        first = both.groupBy("a").agg(F.min(key("b")).alias("m"))
+        to = stored(first.select("a", F.least("m", key("a"))["id"].alias("to")), "cc")
+        moves.append(to)
+        moved = edges.join(to, "a").select(F.col("to").alias("x"), "b").join(to.toDF("b", "y"), "b")
+        edges = stored(moved.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc")
+    out = nodes.select("id", F.col("id").alias("at"))
+    for to in moves:
+        out = out.join(to.toDF("at", "to"), "at", "left").select("id", F.coalesce("to", "at").alias("at"))
+    if not moves:
+        return out.select("id", F.col("at").alias("root"))
+    out = stored(out, "cc")
+    return out.join(out.groupBy("at").agg(F.min("id").alias("root")), "at").select("id", "root")
 
 
 def dbscan_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:

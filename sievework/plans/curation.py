@@ -10,7 +10,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievework.operators import graphs, ordered, ranking, selection, similarity
+from sievework.operators import density, features, graphs, ordered, ranking, selection, similarity
 
 STAGES = ("dedup", "cluster", "score", "select", "report")
 
@@ -29,13 +29,12 @@ def dedup(items: DataFrame, cosine: float = 0.92, gap: float = 3.0) -> DataFrame
     return items.drop("is_duplicate").join(gone, "id", "left").withColumn("is_duplicate", F.coalesce("_gone", F.lit(0))).drop("_gone")
 
 
-def cluster(items: DataFrame, gap: float = 3600.0) -> DataFrame:
-    """cluster_id by gaps in time over the kept items; items without time, and alone, are -1."""
-    timed = items.filter("is_duplicate = 0 and timestamp > 0")
-    s = ordered.gap_sessions(timed, "timestamp", gap, "id").select("id", "session")
-    sized = s.withColumn("n", F.count("*").over(Window.partitionBy("session")))
-    found = sized.select("id", F.when(F.col("n") > 1, F.col("session")).otherwise(-1).cast("int").alias("_c"))
-    return items.join(found, "id", "left").withColumn("cluster_id", F.coalesce("_c", F.lit(-1))).drop("_c")
+def cluster(items: DataFrame, eps: float = 3.0, min_samples: int = 2, components: int = 32) -> DataFrame:
+    """cluster_id: density clusters of the kept items over scaled time, place and the vector's principal components; -1 for those alone."""
+    kept = items.filter("is_duplicate = 0")
+    x = features.reduced(features.scaled(kept.select("id", "timestamp", "lat", "lon", "clip_emb"), F.col("id")), "clip_emb", components)
+    found = density.clusters(x.select("id", F.concat(F.array("f_time", "f_lat", "f_lon"), "f_visual").alias("f")), eps, min_samples).withColumnRenamed("cluster", "_c")
+    return items.drop("cluster_id").join(found, "id", "left").withColumn("cluster_id", F.coalesce("_c", F.lit(-1))).drop("_c")
 
 
 def run(spark: SparkSession, items: DataFrame, out: str, from_stage: str = STAGES[0], rules: selection.Rules = selection.Rules(percentage=0.15), dry_run: bool = False) -> DataFrame:

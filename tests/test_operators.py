@@ -6,31 +6,62 @@ from pyspark.sql import functions as F
 
 from sievework.functions import scalars as S
 from sievework.functions import text_time as T
-from sievework.operators import graphs, ordered, selection
+from sievework.operators import density, graphs, ordered, selection
 from sievework.sources import store
 
 
-@pytest.mark.parametrize(
-    ("name", "told"),
-    [
-        ("IMG_20190413_101112.jpg", "2019-04-13 10:11:12"), ("20190518152454789.mp4", "2019-05-18 15:24:54"), ("IMG_201905181524.jpg", "2019-05-18 15:24:00"),
-        ("IMG_20190413_990000.jpg", "2019-04-13 12:00:00"), ("IMG-20190518-WA9999.jpg", "2019-05-18 12:00:00"), ("IMG-20190518-WA0007.jpg", "2019-05-18 12:00:07"),
-        ("a 20190230 b 20190301.jpg", "2019-03-01 12:00:00"), ("Screen Shot 2024-01-15 at 3.45.00 PM.png", "2024-01-15 15:45:00"), ("2019-05-18 15:24.jpg", "2019-05-18 15:24:00"),
-        ("2019.05.18.jpg", "2019-05-18 12:00:00"), ("x/1568579433.jpg", "2019-09-15 20:30:33"), ("mmexport1568579433476.jpeg", "2019-09-15 20:30:33.476"), ("DSC00012.JPG", None), (None, None), ("9568579433.jpg", None),
-    ],
-)
-def test_file_names(name, told):
+NAMES = {
+    "trip_20170902_081530.jpg": "2017-09-02 08:15:30", "20211130235958123.mov": "2021-11-30 23:59:58", "p_202111302359.jpg": "2021-11-30 23:59:00",
+    "trip_20170902_990000.jpg": "2017-09-02 12:00:00", "pic-20170902-WA8888.jpg": "2017-09-02 12:00:00", "pic-20170902-WA0031.jpg": "2017-09-02 12:00:31",
+    "x 20180230 y 20180331.jpg": "2018-03-31 12:00:00", "Capture 2022-02-03 at 4.05.06 PM.png": "2022-02-03 16:05:06", "Capture 2022-02-03 at 12.05.06 am.png": "2022-02-03 00:05:06", "2017-09-02 07:08.jpg": "2017-09-02 07:08:00",
+    "2017_09_02.jpg": "2017-09-02 12:00:00", "20170902 (7).jpg": "2017-09-02 12:00:07", "y/1500000000.jpg": "2017-07-14 02:40:00", "export1500000000250.jpeg": "2017-07-14 02:40:00.250", "20171399 20170902101112.jpg": "2017-09-02 10:11:12",
+    "DSC00044.JPG": None, "": None, "9500000000.jpg": None, "18990101.jpg": None, "20170902_24.jpg": "2017-09-02 12:00:24",
+}
+
+
+def test_file_names(spark):
     import datetime as dt
 
-    want = dt.datetime.fromisoformat(told).replace(tzinfo=dt.timezone.utc).timestamp() if told else 0.0
-    assert abs(T.name_to_seconds(name) - want) < 1e-3
+    rows = [(n, dt.datetime.fromisoformat(t).replace(tzinfo=dt.timezone.utc).timestamp() if t else 0.0) for n, t in NAMES.items()] + [(None, 0.0)]
+    got = T.captured(spark.createDataFrame(rows, "n string, want double"), "n", "t").collect()
+    assert [r for r in got if abs(r.t - r.want) > 1e-3] == []
+
+
+def test_a_chain_in_order_takes_few_rounds(spark, monkeypatch):
+    """A path of 5,000 nodes numbered in order, two rings, and a star."""
+    rounds = []
+    monkeypatch.setattr(graphs, "stored", lambda df, name: (rounds.append(name), store.stored(df, name))[1])
+    edges = [(i, i + 1) for i in range(4999)] + [(6000 + i, 6000 + (i + 1) % 50) for i in range(50)] + [(7000, 7001 + i) for i in range(500)]
+    nodes = spark.createDataFrame([(i,) for i in sorted({x for e in edges for x in e} | {9999})], "id long")
+    got = {r.id: r.root for r in graphs.connected(nodes, spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 if i < 5000 else 6000 if i < 7000 else 7000 if i < 9999 else 9999 for i in got}
+    assert len(rounds) <= 2 * 20
+
+
+def test_density_against_brute_force(spark):
+    rnd = np.random.default_rng(5)
+    x = np.concatenate([rnd.uniform(-8, 8, (150, 5)) * [1, 1, 0.3, 0.1, 0.1], rnd.normal(3, 0.2, (80, 5)), np.zeros((20, 5))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, f array<double>")
+    near = np.square(x[:, None] - x[None]).sum(2) <= 1
+    for least, block in ((2, 1024), (2, 16), (4, 16)):
+        core = near.sum(1) >= least
+        label = {}
+        for i in np.flatnonzero(core):
+            stack = [] if i in label else [i]
+            while stack:
+                if (k := stack.pop()) not in label:
+                    label[k] = i
+                    stack += np.flatnonzero(near[k] & core).tolist()
+        want = {i: label[i] if core[i] else min((label[k] for k in np.flatnonzero(near[i] & core)), default=-1) for i in range(len(x))}
+        got = {r.id: r.cluster for r in density.clusters(df, 1.0, least, block=block).collect()}
+        assert got == want
 
 
 def test_hamming_and_offsets(spark):
     df = spark.createDataFrame([("00000000000000ff", "0000000000000000"), ("ffffffffffffffff", "0000000000000000"), ("", "0000000000000000"), ("zzzz", "zzzz"), ("ff", "00")], "a string, b string")
     assert [r[0] for r in df.select(S.hamming(F.col("a"), F.col("b"))).collect()] == [8, 64, 64, 64, 64]
-    off = spark.createDataFrame([("Z",), ("+05:30",), ("-0800",), ("+14:01",), ("+01:60",), ("x",), (None,)], "s string")
-    assert [r[0] for r in off.select(T.exif_offset_minutes(F.col("s"))).collect()] == [0, 330, -480, None, None, None, None]
+    off = spark.createDataFrame([("Z",), (" z ",), ("+05:30",), ("-0800",), ("+14:01",), ("+01:60",), ("x",), (None,)], "s string")
+    assert [r[0] for r in off.select(T.exif_offset_minutes(F.col("s"))).collect()] == [0, 0, 330, -480, None, None, None, None]
 
 
 def test_gap_sessions_keep_the_equal_gap(spark):
