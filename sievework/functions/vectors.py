@@ -41,11 +41,12 @@ def dots(v: Column, prompts: Sequence[Sequence[float]]) -> Column:
 
     @F.pandas_udf("array<double>")
     def run(vectors: pd.Series) -> pd.Series:
-        fits = vectors.map(lambda x: x is not None and len(x) == m.shape[1]).to_numpy(bool)
-        out = pd.Series([None] * len(vectors), dtype=object)
-        if fits.any():
-            out[fits] = list(np.stack(vectors[fits].to_numpy()).astype(np.float64) @ m.T)
-        return out
+        out: list = [None] * len(vectors)
+        at = [i for i, x in enumerate(vectors) if x is not None and len(x) == m.shape[1]]
+        if at:
+            for i, x in zip(at, np.stack([vectors.iloc[i] for i in at]).astype(np.float64) @ m.T, strict=True):
+                out[i] = x
+        return pd.Series(out, dtype=object)
 
     return run(v)
 
