@@ -9,15 +9,12 @@ ROWS = "vec_id long, embedding array<float>, label int, score string"
 
 
 def brute(rows, every, k):
-    good = sorted({(i, tuple(math.floor(64 * float(x)) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)})
-    queries = {}
-    for i, v in good:
-        if i % every == 0:
-            queries.setdefault(i, v)
+    good = [(n, i, tuple(math.floor(64 * float(x)) for x in v)) for n, (i, v) in enumerate(rows) if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i, q in queries.items():
-        s = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in good if j != i)[:k]  # noqa: B905
-        out += [(i, r + 1, j, -x) for r, (x, j) in enumerate(s)]
+    for n, i, q in good:
+        if i % every == 0:
+            s = sorted((-sum(a * b for a, b in zip(q, v)), j, m) for m, j, v in good if m != n)[:k]  # noqa: B905
+            out += [(i, r + 1, j, -x) for r, (x, j, _) in enumerate(s)]
     return sorted(out)
 
 
@@ -41,13 +38,19 @@ def test_few_and_none_and_large(spark):
     assert got == [(q, r, i, max(-(2**63), min(2**63 - 1, s))) for q, r, i, s in brute(as_float, 20, 20)]
 
 
-def test_pruning_is_exact():
+def test_pruning_is_exact_and_prunes():
     rnd = np.random.default_rng(9)
-    c = np.floor(64 * rnd.standard_normal((3000, 64)) * np.linspace(2, 0.01, 64))
-    ids = rnd.permutation(3000)
-    q = ids[:70]
-    got = sorted(zip(*(x.tolist() for x in T.bounded(q, c[:70], ids, c, 20)), strict=True))
-    want = []
-    for i, v in zip(q.tolist(), c[:70], strict=True):
-        want += [(i, j, s) for s, j in sorted((-int(s), j) for s, j in zip(c @ v, ids.tolist(), strict=True) if j != i)[:20]]
-    assert got == sorted((a, b, -s) for a, b, s in want)
+    for spread in (np.linspace(2, 0.01, 64), np.ones(64)):
+        turn = np.linalg.qr(rnd.standard_normal((64, 64)))[0]
+        c = np.floor(64 * (rnd.standard_normal((3000, 64)) * spread) @ turn)
+        rows, ids = np.arange(3000), rnd.permutation(3000) // 2
+        q, axes, told = c[:70], np.linalg.eigh(c.T @ c)[1][:, ::-1].copy(), {}
+        least = T.kth_best(q, c[1000:2000], 20)
+        got = sorted(zip(*(x.tolist() for x in T.bounded(rows[:70], q, least, rows, ids, T.Columnar(c, axes), 20, told=told)), strict=True))
+        want = []
+        for n, v in enumerate(q):
+            s = sorted((-int(x), j, r) for x, j, r in zip(c @ v, ids.tolist(), rows.tolist(), strict=True) if r != n)[:20]
+            want += [(n, -x, j) for x, j, r in s]
+        assert sorted((a, s, j) for a, _, j, s in got) == sorted(want)
+        share = {cut: n / (70 * 3000) for cut, n in told.items()}
+        assert min(share.values()) < 0.1, share
