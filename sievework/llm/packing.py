@@ -20,24 +20,25 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sievework.llm.byte_bpe import byte_characters
-from sievework.llm.common import stored, table
+from sievework.llm.common import release_memory, stored, table
 
 END_ID = 1
 BUCKETS, DIMENSIONS, DEPTH = 512, 4, 12
-#: Words whose ids a Python worker remembers; beyond it the memory is emptied, results stay the same.
-REMEMBERED = 250_000
-
+#: Words whose ids a task remembers, and their bytes; beyond either the memory is emptied, results stay the same.
+REMEMBERED, REMEMBERED_BYTES = 250_000, 40_000_000
+#: Characters of text that are cut into words at a time.
+TOGETHER = 4_000_000
 
 #: Parts whose normal form is plain: visible ASCII and Latin-1 letters.
 PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+").fullmatch
@@ -48,20 +49,24 @@ CUT = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-
 class WordTokens:
     """Ids of whole texts by a tokenizer file that drops white space, so that no token spans a space or line end.
 
-    Texts are cut there, and the ids of each part are remembered, as the bytes of 32-bit numbers. New plain parts are
-    cut as the tokenizer would, and each new cut goes to its merges alone.
+    Texts are cut there and their distinct parts numbered by Arrow; only these are looked up, and the ids are gathered by
+    number. The ids of each part are remembered, as the bytes of 32-bit numbers. New plain parts are cut as the
+    tokenizer would, and each new cut goes to its merges alone; parts that may hold a special token go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         self.own = Tokenizer.from_file(path)
-        self.own.encode_special_tokens = True
         self.merge = self.own.model.tokenize
         self.to_chars = dict(enumerate(byte_characters()))
-        self.cuts: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {"": b""}
+        self.cuts: dict[str, bytes] = {}
+        self.size = 0
 
     def _learn(self, new: list[str]) -> None:
-        plain = [p for p in new if PLAIN(p)]
+        plain = [p for p in new if PLAIN(p) and "<|" not in p]
         if plain:
             cuts = CUT("\n".join(plain).lower())
             if fresh := list(set(cuts).difference(self.cuts, ("\n",))):
@@ -78,14 +83,28 @@ class WordTokens:
             self.known[next(each)] = b"".join(held)
         rest = [p for p in new if p not in self.known]
         self.known.update(zip(rest, (np.array(e.ids, np.uint32).tobytes() for e in self.own.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
-
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known, self.cuts = {"": b""}, {}
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        if new := list(set(chain.from_iterable(cut)).difference(self.known)):
+        self.size += 2 * sum(map(len, new))
+
+    def encode_batch(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        if not len(texts):
+            return []
+        if len(self.known) > REMEMBERED or self.size > REMEMBERED_BYTES:
+            self.forget()
+        parts = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+        numbered = parts.flatten().dictionary_encode()
+        words = numbered.dictionary.to_pylist()
+        if new := [w for w in words if w not in self.known]:
             self._learn(new)
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, x)), np.uint32) for x in cut]
+        found = list(map(self.known.__getitem__, words))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        number = numbered.indices.to_numpy()
+        flat, n = np.frombuffer(b"".join(found), np.uint32), sizes[number]
+        after = np.cumsum(n)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[number] - after + n, n) + np.arange(int(after[-1]))]
+        ends = np.concatenate([[0], after])[np.cumsum(pc.list_value_length(parts).to_numpy())]
+        return np.split(ids, ends[:-1])
 
 
 @lru_cache(maxsize=2)
@@ -151,17 +170,21 @@ def tokenised(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = word_tokens(path)
-        for b in batches:
-            start, size, part = 0, 0, []
-            for i, t in enumerate(b.column(1)):
-                part.append(t.as_py() or "")
-                size += len(part[-1])
-                if size < 500_000 and i < b.num_rows - 1:
-                    continue
-                ids = [np.append(x, np.uint32(END_ID)) for x in own.encode_batch(part)]
-                keys = hilbert_keys(points(ids))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(part)), pa.array(keys), pa.array([len(x) for x in ids], pa.int64()), pa.array([pack_ids(x) for x in ids], pa.binary())], ["doc_id", "key", "n", "ids"])
-                start, size, part = i + 1, 0, []
+        try:
+            for b in batches:
+                all_texts = b.column(1).fill_null("")
+                sizes = np.cumsum(pc.binary_length(all_texts).to_numpy())
+                start = 0
+                while start < b.num_rows:
+                    before = int(sizes[start - 1]) if start else 0
+                    end = max(start + 1, int(np.searchsorted(sizes, before + TOGETHER)))
+                    ids = [np.append(x, np.uint32(END_ID)) for x in own.encode_batch(all_texts.slice(start, end - start))]
+                    keys = np.concatenate([hilbert_keys(points(ids[i : i + 256])) for i in range(0, len(ids), 256)])
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(start, end - start), pa.array(keys), pa.array([len(x) for x in ids], pa.int64()), pa.array([pack_ids(x) for x in ids], pa.binary())], ["doc_id", "key", "n", "ids"])
+                    start = end
+        finally:
+            own.forget()
+            release_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, key long, n long, ids binary")
 

@@ -12,7 +12,6 @@ DOCS = "doc_id long, text string, start string, ids int"
 
 
 OWN = Tokenizer.from_file(PATH)
-OWN.encode_special_tokens = True
 
 
 def own_ids(text):
