@@ -1,17 +1,18 @@
 """Language-model scores: a causal self-attention model over subword ids, trained in numpy, beside a word unigram base.
 
-The corpus is read once into chunks: the words of some documents, numbered within the chunk, with their subword ids.
-Counts of a word meet in a window over its rows; it has one per chunk, so no word is hot, and nothing of the size of the
+The corpus is read once into chunks: the words of some documents, numbered within the chunk by Arrow, with their subword
+ids. Counts of a word meet in a window over its rows. A word has one row per chunk, as chunks are summed first; so of the
+rows that are shuffled no word has more than one in as many as a chunk has distinct words, and nothing of the size of the
 vocabulary of words is broadcast or collected.
 
-The model gives the next subword in two steps: a class, by self-attention over the window added to the logarithms of
-the class bigrams of the whole training corpus, and the subword within its class by its share of the training counts after the class before.
-Frequent subwords are classes of their own; the others share classes of about equal mass, apart for subwords that begin a
-word and those that go on with one. So the chance that a word ends is known, and the product over a word's subwords is a
-probability of the word; the score interpolates it, word by word, with the unigram of the base. Windows overlap: each token
-is scored once, with at least ``OVERLAP`` tokens before it in its window wherever the document has them. Tasks train on
-their own chunks from common weights, which are averaged after each round; every window of every training document
-trains in exactly one of the rounds, so documents of ``ROUNDS`` windows and more take part in each. Counts cover all of them.
+The model gives the next subword in two steps: a class, by self-attention over the window added to the logarithms of the
+class trigrams of the whole training corpus, and the subword within its class by its share of the training counts after
+the class before. Frequent subwords are classes of their own; the others share classes of about equal mass, apart for
+subwords that begin a word and those that go on with one. ``score`` is the logarithm of the product over a text's subwords
+and its end, and nothing else is mixed in. Windows overlap: each token is scored once, with at least ``OVERLAP`` tokens
+before it in its window wherever the document has them. Training windows lie side by side, so that each training token
+is a target once; every window of every training document trains in exactly one of the rounds. Tasks train on their own
+chunks from common weights, which are averaged after each round. Counts cover all training documents.
 
 Defined cases: a null text is empty; an empty text is the end token alone; very long texts are chunks of their own;
 repeated rows are scored each; without training rows all counts are 0; an empty table gives no rows; other columns are
@@ -28,17 +29,18 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.common import stored, table, words
+from sievework.llm.common import release_memory, stored, table
 
-#: Bytes of text in a chunk, about.
-CHUNK = 12_000_000
-WINDOW, OVERLAP, WIDTH, CLASSES, SINGLE = 32, 4, 16, 64, 52
+#: Bytes of text in a chunk, about, and words of a chunk that are opened at a time.
+CHUNK, OPEN = 12_000_000, 150_000
+WINDOW, OVERLAP, WIDTH, CLASSES, SINGLE = 32, 8, 24, 64, 52
 ROUNDS, BATCH, RATE = 3, 64, 0.003
 CHUNK_ROW = "chunk long, doc_ids array<long>, held_out array<boolean>, ends array<int>, words array<string>, counts array<int>, seq binary, sub binary, sub_ends binary"
 
@@ -61,6 +63,17 @@ def held_out(doc_id: int | None, folds: int) -> bool:
     return zlib.crc32(str("" if doc_id is None else doc_id).encode()) % folds == 0
 
 
+def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(words of each text, number of each word, distinct words) of texts; A-Z in lower case."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+    flat, sizes = parts.flatten(), pc.list_value_length(parts).to_numpy()
+    full = pc.greater(pc.binary_length(flat), 0)  # white space at an end leaves an empty part
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    ends = np.cumsum(sizes)
+    coded = flat.filter(full).dictionary_encode()
+    return before[ends] - before[ends - sizes], coded.indices.to_numpy(), coded.dictionary
+
+
 def chunks(docs: DataFrame, model_path: str, folds: int) -> DataFrame:
     """Rows of CHUNK_ROW: the documents of a chunk as numbers of its words, the end token as number len(words)."""
 
@@ -68,88 +81,113 @@ def chunks(docs: DataFrame, model_path: str, folds: int) -> DataFrame:
         own, chunk = pieces(model_path), TaskContext.get().partitionId() << 33
         end_id = own.get_piece_size()
 
-        def close(ids: list, docs_words: list[list[bytes]]) -> pa.RecordBatch:
+        def close(ids: list, texts: list[pa.Array]) -> pa.RecordBatch:
             nonlocal chunk
-            flat = [w for d in docs_words for w in d]
-            number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-            sizes = np.array([len(d) + 1 for d in docs_words])
-            ends = np.cumsum(sizes)
-            seq = np.full(int(ends[-1]), len(number), np.uint32)
+            sizes, number, unique = numbered(pa.concat_arrays(texts))
+            ends = np.cumsum(sizes + 1)
+            seq = np.full(int(ends[-1]), len(unique), np.uint32)
             inside = np.ones(len(seq), bool)
             inside[ends - 1] = False
-            seq[inside] = np.fromiter(map(number.__getitem__, flat), np.uint32, len(flat))
+            seq[inside] = number
             out = [held_out(i, folds) for i in ids]
-            train = ~np.repeat(out, sizes)
-            counts = np.bincount(seq[train], minlength=len(number) + 1)[: len(number)]
-            unique = [w.decode("utf-8", "replace") for w in number]
-            sub = [*(own.encode(unique, num_threads=1) if unique else []), [end_id]]
-            sub_ends = np.cumsum([len(x) for x in sub])
+            counts = np.bincount(seq[~np.repeat(out, sizes + 1)], minlength=len(unique) + 1)[: len(unique)]
+            sub = [*(own.encode(unique.to_pylist(), num_threads=1) if len(unique) else []), [end_id]]
+            sub_ends = np.cumsum(np.fromiter(map(len, sub), np.int64, len(sub)))
             sub_flat = np.fromiter(chain.from_iterable(sub), np.uint16, int(sub_ends[-1]))
-            del sub, flat
-            columns = [[chunk], [ids], [out], [ends.tolist()], [unique], [counts.tolist()], [squeeze(seq, "<u4")], [squeeze(sub_flat, "<u2")], [squeeze(sub_ends, "<u4")]]
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary())
+            one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
+            blobs = [pa.array([squeeze(x, kind)], pa.binary()) for x, kind in ((seq, "<u4"), (sub_flat, "<u2"), (sub_ends, "<u4"))]
+            columns = [pa.array([chunk], pa.int64()), one(ids, pa.int64()), one(out, pa.bool_()), one(ends, pa.int32()), one(unique.cast(pa.string()), pa.string()), one(counts, pa.int32()), *blobs]
             chunk += 1
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["chunk", "doc_ids", "held_out", "ends", "words", "counts", "seq", "sub", "sub_ends"])
+            return pa.RecordBatch.from_arrays(columns, ["chunk", "doc_ids", "held_out", "ends", "words", "counts", "seq", "sub", "sub_ends"])
 
-        ids, docs_words, size = [], [], 0
+        ids, texts, size = [], [], 0
         for b in batches:
-            for i, t in zip(b.column(0), b.column(1), strict=True):
-                text = t.as_py() or ""
-                ids.append(i.as_py())
-                docs_words.append(words(text))
-                size += len(text)
+            all_texts, first = b.column(1).fill_null(""), 0
+            ends = np.cumsum(pc.binary_length(all_texts).to_numpy().astype(np.int64))
+            while first < b.num_rows:
+                before = int(ends[first - 1]) if first else 0
+                last = min(b.num_rows, int(np.searchsorted(ends, before + CHUNK - size)) + 1)
+                ids += b.column(0).slice(first, last - first).to_pylist()
+                texts.append(all_texts.slice(first, last - first))
+                size += int(ends[last - 1]) - before
+                first = last
                 if size >= CHUNK:
-                    yield close(ids, docs_words)
-                    ids, docs_words, size = [], [], 0
+                    yield close(ids, texts)
+                    ids, texts, size = [], [], 0
         if ids:
-            yield close(ids, docs_words)
+            yield close(ids, texts)
+        del texts
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, CHUNK_ROW)
 
 
 class Chunk:
-    """Subword ids of a chunk's documents, one after the other, and where each ends."""
+    """Subword ids of some documents of a chunk, one after the other, and where each ends."""
 
     def __init__(self, ends: np.ndarray, seq: np.ndarray, sub: np.ndarray, stop: np.ndarray):
-        self.seq, self.ends = seq.astype(np.int64), ends
         start = np.concatenate([[0], stop[:-1]])
-        sizes = (stop - start)[self.seq]
+        sizes = (stop - start)[seq]
         after = np.cumsum(sizes)
-        self.first = after - sizes  # of each word
-        self.ids = sub[np.repeat(start[self.seq] - after + sizes, sizes) + np.arange(int(after[-1]))].astype(np.int64)
-        self.id_ends = after[self.ends - 1]
+        self.ids = sub[np.repeat(start[seq] - after + sizes, sizes) + np.arange(int(after[-1]))].astype(np.int32)
+        self.id_ends = after[ends - 1]
+
+
+def opened(ends: np.ndarray, seq: bytes, sub: bytes, sub_ends: bytes) -> Iterator[tuple[int, int, np.ndarray, Chunk]]:
+    """(first, last, numbers of the words, ids) of as many documents at a time as keep the arrays small."""
+    whole, sub, stop = unsqueeze(seq, "<u4"), unsqueeze(sub, "<u2"), unsqueeze(sub_ends, "<u4").astype(np.int64)
+    first = 0
+    while first < len(ends):
+        begin = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, begin + OPEN)))
+        own = whole[begin : ends[last - 1]]
+        yield first, last, own, Chunk(ends[first:last] - begin, own, sub, stop)
+        first = last
+
 
+def train_parts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, ends) of documents that aren't held out, of rows (held_out, ends, seq, sub, sub_ends)."""
+    for out, ends, seq, sub, sub_ends in zip(*batch.columns, strict=True):
+        out = np.asarray(out.values)
+        for first, last, _, c in opened(np.asarray(ends.values).astype(np.int64), seq.as_py(), sub.as_py(), sub_ends.as_py()):
+            sizes, mine = np.diff(c.id_ends, prepend=0), ~out[first:last]
+            if mine.any():
+                yield c.ids[np.repeat(mine, sizes)], np.cumsum(sizes[mine])
 
-def windows(y: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+
+def windows(ends: np.ndarray, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(window's first place, document's end, first place scored, number within its document) of every window."""
     begins = np.concatenate([[0], ends[:-1]])
-    n = 1 + np.maximum(0, -(-(ends - begins - WINDOW) // (WINDOW - OVERLAP)))
+    n = 1 + np.maximum(0, -(-(ends - begins - WINDOW) // (WINDOW - overlap)))
     k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    start = np.repeat(begins, n) + k * (WINDOW - OVERLAP)
-    return start, np.repeat(ends, n), start + np.where(k > 0, OVERLAP, 0), k
+    start = np.repeat(begins, n) + k * (WINDOW - overlap)
+    return start, np.repeat(ends, n), start + np.where(k > 0, overlap, 0), k
 
 
-def inputs(y: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """What stands before each token; CLASSES at the start of a document."""
-    x = np.concatenate([[CLASSES], y[:-1]])
-    x[np.concatenate([[0], ends[:-1]])] = CLASSES
+def inputs(y: np.ndarray, ends: np.ndarray, back: int = 1) -> np.ndarray:
+    """What stands so many places before each token; CLASSES before the start of a document."""
+    x = np.concatenate([np.full(back, CLASSES, y.dtype), y[:-back]])[: len(y)]
+    begins = np.concatenate([[0], ends[:-1]])
+    for k in range(back):
+        at = begins + k
+        x[at[at < ends]] = CLASSES
     return x
 
 
-def opened(ends: list[int], seq: bytes, sub: bytes, sub_ends: bytes) -> Chunk:
-    return Chunk(np.array(ends, np.int64), unsqueeze(seq, "<u4"), unsqueeze(sub, "<u2"), unsqueeze(sub_ends, "<u4").astype(np.int64))
-
-
 class Attention:
-    """One causal self-attention layer over a window, added to the bigrams; weights are one flat vector."""
+    """One causal self-attention layer over a window, added to the trigrams; weights are one flat vector."""
 
-    SHAPES = {"E": (CLASSES + 1, WIDTH), "P": (WINDOW, WIDTH), "Q": (WIDTH, WIDTH), "K": (WIDTH, WIDTH), "V": (WIDTH, WIDTH), "O": (WIDTH, WIDTH), "U": (WIDTH, CLASSES)}
-    MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+    SHAPES = {"E": (CLASSES + 1, WIDTH), "P": (WINDOW, WIDTH), "Q": (WIDTH, WIDTH), "K": (WIDTH, WIDTH), "V": (WIDTH, WIDTH), "U": (WIDTH, CLASSES)}
+    MASK = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
-    def __init__(self, bigrams: np.ndarray, flat: np.ndarray | None = None):
-        self.bigrams = bigrams.astype(np.float32)
+    def __init__(self, trigrams: np.ndarray, flat: np.ndarray | None = None):
+        """trigrams: ln P(class | the two before), by (CLASSES + 1) * second before + the one before."""
+        self.trigrams = trigrams.astype(np.float32)
         self.flat = self.start() if flat is None else flat.astype(np.float32)
-        self.view(self.flat)
+        at = 0
+        for k, s in self.SHAPES.items():
+            setattr(self, k, self.flat[at : at + s[0] * s[1]].reshape(s))
+            at += s[0] * s[1]
 
     @classmethod
     def start(cls) -> np.ndarray:
@@ -157,62 +195,67 @@ class Attention:
         scale = {"E": 0.5, "P": 0.2, "U": 0.02}
         return np.concatenate([(rnd.standard_normal(s) * scale.get(k, WIDTH**-0.5)).ravel() for k, s in cls.SHAPES.items()]).astype(np.float32)
 
-    def view(self, flat: np.ndarray) -> None:
-        at = 0
-        for k, s in self.SHAPES.items():
-            setattr(self, k, flat[at : at + s[0] * s[1]].reshape(s))
-            at += s[0] * s[1]
-
-    def forward(self, x: np.ndarray) -> tuple:
-        e = self.E[x] + self.P
-        q, k, v = e @ self.Q, e @ self.K, e @ self.V
-        a = q @ k.transpose(0, 2, 1)
-        a *= WIDTH**-0.5
-        a += self.MASK
-        a -= a.max(2, keepdims=True)
-        np.exp(a, out=a)
+    @staticmethod
+    def _exp(x: np.ndarray) -> np.ndarray:
+        """exp in place, up to a factor per row where it would overflow."""
+        if x.max() > 60:
+            x -= x.max(-1, keepdims=True)
+        return np.exp(x, out=x)
+
+    def forward(self, x: np.ndarray, before: np.ndarray) -> tuple:
+        """Arrays of windows: x the classes before each place, ``before`` those two places before."""
+        n, w = x.shape
+        e = self.E[x]
+        e += self.P
+        e2 = e.reshape(n * w, WIDTH)
+        q, k, v = (y.reshape(n, w, WIDTH) for y in (e2 @ (self.Q * np.float32(WIDTH**-0.5)), e2 @ self.K, e2 @ self.V))
+        a = self._exp(q @ k.transpose(0, 2, 1))
+        a *= self.MASK
         a /= a.sum(2, keepdims=True)
-        z = a @ v
-        h = e + z @ self.O
-        logits = (h.reshape(-1, WIDTH) @ self.U).reshape(*x.shape, CLASSES)
-        logits += self.bigrams[x]
-        logits -= logits.max(2, keepdims=True)
-        return e, q, k, v, a, z, h, logits
-
-    def log_p(self, x: np.ndarray, y: np.ndarray, starts: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
-        """ln P of each class y, and of the first ``starts`` classes together."""
-        logits = self.forward(x)[-1]
-        told = np.take_along_axis(logits, y[:, :, None], 2)[:, :, 0].copy()
-        np.exp(logits, out=logits)
-        begin, rest = logits[:, :, :starts].sum(2), logits[:, :, starts:].sum(2)
-        whole = np.log(begin + rest)
-        return told - whole, np.log(begin) - whole
-
-    def gradient(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray) -> np.ndarray:
-        e, q, k, v, a, z, h, d = self.forward(x)
-        np.exp(d, out=d)
-        d /= d.sum(2, keepdims=True)
-        np.put_along_axis(d, y[:, :, None], np.take_along_axis(d, y[:, :, None], 2) - 1, 2)
-        d *= (valid / max(1, valid.sum()))[:, :, None].astype(np.float32)
-        two = lambda m: m.reshape(-1, m.shape[2])
-        u = two(h).T @ two(d)
+        h = a @ v
+        h += e
+        logits = h.reshape(n * w, WIDTH) @ self.U
+        logits += self.trigrams[(before * (CLASSES + 1) + x).ravel()]
+        return e2, q, k, v, a, h.reshape(n * w, WIDTH), logits
+
+    def log_p(self, x: np.ndarray, before: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """ln P of each class y."""
+        logits = self.forward(x, before)[-1]
+        if logits.max() > 60:
+            logits -= logits.max(1, keepdims=True)
+        told = logits[np.arange(len(logits)), y.ravel()]
+        return (told - np.log(np.exp(logits, out=logits).sum(1))).reshape(x.shape)
+
+    def gradient(self, x: np.ndarray, before: np.ndarray, y: np.ndarray, valid: np.ndarray) -> np.ndarray:
+        """Of the mean of -ln P over valid places."""
+        n, w = x.shape
+        e2, q, k, v, a, h, d = self.forward(x, before)
+        every = np.arange(n * w)
+        self._exp(d)
+        d /= d.sum(1, keepdims=True)
+        d[every, y.ravel()] -= 1
+        d *= (valid.ravel() / np.float32(max(1, valid.sum())))[:, None].astype(np.float32)
+        u = h.T @ d
         dh = d @ self.U.T
-        dz = dh @ self.O.T
-        o = two(z).T @ two(dh)
-        da, dv = dz @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dz
-        ds = a * (da - (da * a).sum(2, keepdims=True)) * WIDTH**-0.5
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        e2 = two(e).T
-        de = dh + dq @ self.Q.T + dk @ self.K.T + dv @ self.V.T
-        grad_e = np.stack([np.bincount(x.ravel(), de[:, :, i].ravel(), CLASSES + 1) for i in range(WIDTH)], 1)
-        return np.concatenate([g.ravel() for g in (grad_e, de.sum(0), e2 @ two(dq), e2 @ two(dk), e2 @ two(dv), o, u)]).astype(np.float32)
-
-
-def _placed(y: np.ndarray, x: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at = start[:, None] + np.arange(WINDOW)
-    inside = at < stop[:, None]
-    at = np.minimum(at, len(y) - 1)
-    return x[at], y[at], inside
+        dz = dh.reshape(n, w, WIDTH)
+        dv = (a.transpose(0, 2, 1) @ dz).reshape(n * w, WIDTH)
+        ds = dz @ v.transpose(0, 2, 1)
+        ds *= a
+        ds -= a * ds.sum(2, keepdims=True)
+        dq, dk = (ds @ k).reshape(n * w, WIDTH), (ds.transpose(0, 2, 1) @ q).reshape(n * w, WIDTH)
+        dq *= np.float32(WIDTH**-0.5)
+        de = dh + dq @ self.Q.T
+        de += dk @ self.K.T
+        de += dv @ self.V.T
+        hot = np.zeros((CLASSES + 1, n * w), np.float32)
+        hot[x.ravel(), every] = 1
+        grads = (hot @ de, de.reshape(n, w, WIDTH).sum(0), e2.T @ dq, e2.T @ dk, e2.T @ dv, u)
+        return np.concatenate([g.ravel() for g in grads])
+
+
+def _placed(at: np.ndarray, *arrays: np.ndarray) -> list[np.ndarray]:
+    at = np.minimum(at, len(arrays[0]) - 1)
+    return [x[at] for x in arrays]
 
 
 def in_round(k: np.ndarray, phase: int) -> np.ndarray:
@@ -220,46 +263,38 @@ def in_round(k: np.ndarray, phase: int) -> np.ndarray:
     return np.flatnonzero((k + np.cumsum(k == 0)) % ROUNDS == phase)
 
 
-def train_task(model: Attention, data: list[tuple[np.ndarray, np.ndarray]], phase: int) -> tuple[np.ndarray, int]:
-    """Adam over the windows of a round, from the model's weights."""
-    flat = model.flat.copy()
-    own = Attention(model.bigrams, flat)
-    m, s, step, seen = np.zeros_like(flat), np.zeros_like(flat), 0, 0
-    for y, ends in data:
-        x = inputs(y, ends)
-        start, stop, _, k = windows(y, ends)
+class Adam:
+    def __init__(self, model: Attention):
+        self.own = Attention(model.trigrams, model.flat.copy())
+        self.m, self.s, self.step, self.seen = np.zeros_like(model.flat), np.zeros_like(model.flat), 0, 0
+
+    def train(self, y: np.ndarray, ends: np.ndarray, phase: int) -> None:
+        """Over the windows of a round."""
+        x, before = inputs(y, ends), inputs(y, ends, 2)
+        start, stop, _, k = windows(ends, 0)
         mine = in_round(k, phase)
         mine = mine[np.random.default_rng(phase).permutation(len(mine))]
         for i in range(0, len(mine), BATCH):
             part = mine[i : i + BATCH]
-            g = own.gradient(*_placed(y, x, start[part], stop[part]))
-            step += 1
-            m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
-            flat -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
-            seen += len(part)
-    return flat, seen
-
-
-def score_chunk(model: Attention, y: np.ndarray, ends: np.ndarray, starts: int, together: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """ln P of every token's class, and of a word's begin at its place, each from the one window that scores it."""
-    out, begin, x = np.zeros(len(y)), np.zeros(len(y)), inputs(y, ends)
-    start, stop, first, _ = windows(y, ends)
+            at = start[part][:, None] + np.arange(WINDOW)
+            xs, bs, ys = _placed(at, x, before, y)
+            g = self.own.gradient(xs, bs, ys, at < stop[part][:, None])
+            self.step += 1
+            self.m += 0.1 * (g - self.m)
+            self.s += 0.01 * (g * g - self.s)
+            self.own.flat -= RATE * (self.m / (1 - 0.9**self.step)) / (np.sqrt(self.s / (1 - 0.99**self.step)) + 1e-8)
+            self.seen += len(part)
+
+
+def score_classes(model: Attention, y: np.ndarray, ends: np.ndarray, together: int = 64) -> np.ndarray:
+    """ln P of every token's class, each from the one window that scores it."""
+    out, x, before = np.zeros(len(y)), inputs(y, ends), inputs(y, ends, 2)
+    start, stop, first, _ = windows(ends)
     for i in range(0, len(start), together):
-        a, z, f = start[i : i + together], stop[i : i + together], first[i : i + together]
-        xs, ys, inside = _placed(y, x, a, z)
-        at = a[:, None] + np.arange(WINDOW)
-        mine = inside & (at >= f[:, None])
-        told, began = model.log_p(xs, ys, starts)
-        out[at[mine]], begin[at[mine]] = told[mine], began[mine]
-    return out, begin
-
-
-def word_scores(c: Chunk, told: np.ndarray, began: np.ndarray) -> np.ndarray:
-    """ln P of every word: of its subwords, given that a word begins and that none goes on behind it; the end token ends alone."""
-    out = np.add.reduceat(told, c.first) - began[c.first]
-    last = np.zeros(len(out), bool)
-    last[c.ends - 1] = True
-    out[~last] += began[np.append(c.first[1:], 0)][~last]
+        at = start[i : i + together][:, None] + np.arange(WINDOW)
+        xs, bs, ys = _placed(at, x, before, y)
+        mine = (at < stop[i : i + together][:, None]) & (at >= first[i : i + together][:, None])
+        out[at[mine]] = model.log_p(xs, bs, ys)[mine]
     return out
 
 
@@ -271,31 +306,22 @@ def _collected(places: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def _train_only(c: Chunk, out: list[bool]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and ends of the documents that aren't held out."""
-    begins = np.concatenate([[0], c.id_ends[:-1]])
-    keep = np.repeat(~np.array(out, bool), c.id_ends - begins)
-    return c.ids[keep], np.cumsum((c.id_ends - begins)[~np.array(out, bool)])
-
-
 def _counted(read: DataFrame, f, size: int) -> np.ndarray:
     """How often each of ``size`` numbers occurs in f(ids, ends) of all training documents; tasks send what isn't zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for b in batches:
-            for out, ends, seq, sub, sub_ends in zip(*b.columns, strict=True):
-                ids, stops = _train_only(opened(ends.as_py(), seq.as_py(), sub.as_py(), sub_ends.as_py()), out.as_py())
-                if len(ids):
-                    total += np.bincount(f(ids, stops), minlength=size)
+            for ids, ends in train_parts(b):
+                total += np.bincount(f(ids, ends), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["i", "v"])
 
-    return _collected(read.select("held_out", "ends", "seq", "sub", "sub_ends").mapInArrow(run, "i long, v long"), size)
+    return _collected(read.mapInArrow(run, "i long, v long"), size)
 
 
-def classes(counts: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, int]:
-    """(class of each id, classes that begin words): these come first, the end token (the last id) as class 0."""
+def classes(counts: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The class of each id; those that begin words come first, the end token (the last id) as class 0."""
     end = len(counts) - 1
     order = np.lexsort((np.arange(len(counts)), -counts))
     order = np.concatenate([[end], order[order != end]])
@@ -305,56 +331,78 @@ def classes(counts: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, int]:
         share = np.cumsum(counts[ids] + 0.5)
         bins = np.minimum((share / share[-1] * ((CLASSES - SINGLE) // 2)).astype(int), (CLASSES - SINGLE) // 2 - 1)
         groups.append([*([i] for i in single if begins[i] == kind), *(ids[bins == k] for k in range((CLASSES - SINGLE) // 2))])
-    of = np.empty(len(counts), np.int64)
+    of = np.empty(len(counts), np.int32)
     for k, ids in enumerate(groups[0] + groups[1]):
         of[ids] = k
-    return of, len(groups[0])
+    return of
+
 
+class Model:
+    """The attention, the class of each id, and ln P(id | its class, class before)."""
 
-def train(read: DataFrame, begins: np.ndarray) -> tuple[Attention, np.ndarray, np.ndarray, int]:
-    """(model, class of each id, ln P(id | its class, class before), classes that begin words); the driver gets arrays of fixed sizes."""
-    n_ids = len(begins)
+    def __init__(self, attention: Attention, of: np.ndarray, within: np.ndarray):
+        self.attention, self.of, self.within = attention, of, within
+
+    def scores(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """ln P of every id."""
+        y = self.of[ids]
+        return score_classes(self.attention, y, ends) + self.within[inputs(y, ends), ids]
+
+
+def train(read: DataFrame, begins: np.ndarray) -> Model:
+    """The model of the training documents of chunks; the driver gets arrays of fixed sizes."""
+    read = read.select("held_out", "ends", "seq", "sub", "sub_ends")
+    n_ids, n = len(begins), CLASSES + 1
     counts = _counted(read, lambda ids, ends: ids, n_ids)
-    of, starts = classes(counts, begins)
+    of = classes(counts, begins)
     smooth = counts + 0.5
     own = smooth / np.bincount(of, smooth, CLASSES)[of]
-    after = _counted(read, lambda ids, ends: inputs(of[ids], ends) * n_ids + ids, (CLASSES + 1) * n_ids).reshape(CLASSES + 1, n_ids)
-    pairs = np.stack([np.bincount(of, row, CLASSES) for row in after])
-    within = np.log((after + 10 * own) / (pairs[:, of] + 10)).astype(np.float32)
+
+    def after(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Ids after classes, and classes after two classes, in one row of numbers."""
+        y = of[ids].astype(np.int64)
+        x, before = inputs(y, ends), inputs(y, ends, 2)
+        return np.concatenate([x * n_ids + ids, n * n_ids + (before * n + x) * CLASSES + y])
+
+    both = _counted(read, after, n * n_ids + n * n * CLASSES)
+    follow, three = both[: n * n_ids].reshape(n, n_ids), both[n * n_ids :].reshape(n, n, CLASSES)
+    pairs = np.stack([np.bincount(of, row, CLASSES) for row in follow])
+    within = np.log((follow + 10 * own) / (pairs[:, of] + 10)).astype(np.float32)
     single = (pairs.sum(0) + 0.5) / (pairs.sum() + 0.5 * CLASSES)
-    bigrams = np.log((pairs + 20 * single) / (pairs.sum(1, keepdims=True) + 20))
-    model = Attention(bigrams)
+    two = (pairs + 20 * single) / (pairs.sum(1, keepdims=True) + 20)
+    trigrams = np.log((three + 20 * two[None]) / (three.sum(2, keepdims=True) + 20)).reshape(n * n, CLASSES).astype(np.float32)
+    attention = Attention(trigrams)
     for phase in range(ROUNDS):
 
-        def run(batches: Iterator[pa.RecordBatch], model=model, phase=phase) -> Iterator[pa.RecordBatch]:
-            weights, total = 0.0, 0
+        def run(batches: Iterator[pa.RecordBatch], attention=attention, phase=phase) -> Iterator[pa.RecordBatch]:
+            task = Adam(attention)
             for b in batches:
-                for out, ends, seq, sub, sub_ends in zip(*b.columns, strict=True):
-                    ids, stops = _train_only(opened(ends.as_py(), seq.as_py(), sub.as_py(), sub_ends.as_py()), out.as_py())
-                    if len(ids):
-                        flat, n = train_task(model, [(of[ids], stops)], phase)
-                        weights, total = weights + n * flat.astype(np.float64), total + n
-            if total:
-                yield pa.RecordBatch.from_arrays([pa.array([np.append(weights, total)], pa.list_(pa.float64()))], ["x"])
-
-        sums = _collected(read.select("held_out", "ends", "seq", "sub", "sub_ends").mapInArrow(run, "x array<double>").select(F.posexplode("x").alias("i", "v")), len(model.flat) + 1)
+                for ids, ends in train_parts(b):
+                    task.train(of[ids], ends, phase)
+            if task.seen:
+                yield pa.RecordBatch.from_arrays([pa.array([np.append(task.seen * task.own.flat.astype(np.float64), task.seen)], pa.list_(pa.float64()))], ["x"])
+            release_memory()
+
+        sums = _collected(read.mapInArrow(run, "x array<double>").select(F.posexplode("x").alias("i", "v")), len(attention.flat) + 1)
         if sums[-1]:
-            model = Attention(bigrams, sums[:-1] / sums[-1])
-    return model, of, within, starts
+            attention = Attention(trigrams, sums[:-1] / sums[-1])
+    return Model(attention, of, within)
 
 
-def scores(docs: DataFrame, model_path: str, folds: int = 10, mix: float = 0.7) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs; mix: the unigram's weight."""
-    read = stored(chunks(docs, model_path, folds), "chunks")
+def trained(read: DataFrame, model_path: str) -> Model:
     own = pieces(model_path)
-    model, of, within, starts = train(read, np.array([*(own.id_to_piece(i).startswith("\u2581") for i in range(own.get_piece_size())), True]))
+    return train(read, np.array([*(own.id_to_piece(i).startswith("▁") for i in range(own.get_piece_size())), True]))
+
+
+def word_counts(read: DataFrame) -> DataFrame:
+    """(chunk, c, n, v): training counts of all words of a chunk, in their order; n and v are the sum and number of those that this chunk has first."""
     each = read.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select("chunk", "pos", "w.words", "w.counts")
     same = Window.partitionBy("words").orderBy("chunk", "pos")
     everywhere = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     counts = each.select("chunk", "pos", F.sum("counts").over(everywhere).alias("c"), F.row_number().over(same).alias("r"))
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows ordered by chunk and place: a chunk's counts in one row, with the sum and number of those met here first."""
+        """Rows ordered by chunk and place."""
 
         def batch() -> pa.RecordBatch:
             c, r = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -371,12 +419,19 @@ def scores(docs: DataFrame, model_path: str, folds: int = 10, mix: float = 0.7)
                         yield batch()
                         held = []
                     key = int(chunk[i])
-                    held.append((c[i:j], r[i:j]))
+                    held.append((c[i:j].copy(), r[i:j].copy()))
         if held:
             yield batch()
 
     in_order = counts.repartition("chunk").sortWithinPartitions("chunk", "pos").select("chunk", "c", "r")
-    of_chunk = stored(in_order.mapInArrow(gathered, "chunk long, c binary, n long, v long"), "counts")
+    return in_order.mapInArrow(gathered, "chunk long, c binary, n long, v long")
+
+
+def scores(docs: DataFrame, model_path: str, folds: int = 10) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
+    read = stored(chunks(docs, model_path, folds), "chunks")
+    model = trained(read, model_path)
+    of_chunk = stored(word_counts(read), "counts")
     train_docs = read.select(F.explode("held_out").alias("h")).filter("not h").count()
     n, v = of_chunk.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     n, v = n + train_docs, v + (train_docs > 0)
@@ -386,24 +441,16 @@ def scores(docs: DataFrame, model_path: str, folds: int = 10, mix: float = 0.7)
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         for b in batches:
             for doc_ids, out, ends, seq, sub, sub_ends, c in zip(*b.columns, strict=True):
-                ids, out, ends, whole = doc_ids.as_py(), out.as_py(), np.array(ends.as_py(), np.int64), unsqueeze(seq.as_py(), "<u4")
-                sub, sub_ends = unsqueeze(sub.as_py(), "<u2"), unsqueeze(sub_ends.as_py(), "<u4").astype(np.int64)
                 known = np.append(unsqueeze(c.as_py(), "<i8") if c.is_valid else np.zeros(0, np.int64), train_docs)
-                ln_uni = np.log((known + 0.1) / (n + 0.1 * (v + 1)))
-                first = 0
-                while first < len(ids):  # as many documents at a time as keep the arrays small
-                    begin = int(ends[first - 1]) if first else 0
-                    last = max(first + 1, int(np.searchsorted(ends, begin + 100_000)))
-                    k = Chunk(ends[first:last] - begin, whole[begin : ends[last - 1]], sub, sub_ends)
-                    begins = np.concatenate([[0], k.ends[:-1]])
-                    uni = ln_uni[k.seq]
-                    told, began = score_chunk(model, of[k.ids], k.id_ends, starts)
-                    word = word_scores(k, told + within[inputs(of[k.ids], k.id_ends), k.ids], began)
-                    ln = np.logaddexp(np.log(mix) + uni, np.log(1 - mix) + word)
-                    columns = (ids[first:last], out[first:last], k.ends - begins, np.add.reduceat((known > 0)[k.seq].astype(np.int64), begins), np.full(len(begins), n), np.add.reduceat(uni, begins) / np.log(10), np.add.reduceat(ln, begins) / np.log(10))
-                    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names)
-                    first = last
+                ln_base, seen = np.log((known + 0.1) / (n + 0.1 * (v + 1))), (known > 0).astype(np.int64)
+                all_ends = np.asarray(ends.values).astype(np.int64)
+                for first, last, words, k in opened(all_ends, seq.as_py(), sub.as_py(), sub_ends.as_py()):
+                    sizes = np.diff(all_ends[first:last], prepend=all_ends[first - 1] if first else 0)
+                    begins, id_begins = np.cumsum(sizes) - sizes, np.concatenate([[0], k.id_ends[:-1]])
+                    ln = model.scores(k.ids, k.id_ends)
+                    columns = [doc_ids.values.slice(first, last - first), out.values.slice(first, last - first), sizes, np.add.reduceat(seen[words], begins), np.full(len(sizes), n), np.add.reduceat(ln_base[words], begins) / np.log(10), np.add.reduceat(ln, id_begins) / np.log(10)]
+                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names)
+        release_memory()
 
     return both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

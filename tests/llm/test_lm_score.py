@@ -1,64 +1,99 @@
 import collections
 import math
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 
 from sievework.llm import lm_score as L
-from sievework.llm.common import words
+from sievework.llm.common import stored, words
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 DOCS = "doc_id long, text string, score string, chunk int"
 
 
+def some_model(rnd):
+    model = L.Attention(np.log(rnd.dirichlet(np.ones(L.CLASSES), (L.CLASSES + 1) ** 2)))
+    model.flat += 0.1 * rnd.standard_normal(len(model.flat)).astype(np.float32)
+    return model
+
+
+def plain_log_p(model, window, before, y):
+    """ln P of class y after a window of classes, by loops over places in double precision."""
+    f = {k: getattr(model, k).astype(float) for k in model.SHAPES}
+    e = [f["E"][c] + f["P"][i] for i, c in enumerate(window)]
+    q = e[-1] @ f["Q"]
+    weight = [math.exp(float(q @ (x @ f["K"])) / math.sqrt(L.WIDTH)) for x in e]
+    h = e[-1] + sum(w * (x @ f["V"]) for w, x in zip(weight, e, strict=True)) / sum(weight)
+    logits = h @ f["U"] + model.trigrams[before * (L.CLASSES + 1) + window[-1]].astype(float)
+    return float(logits[y] - np.log(np.exp(logits).sum()))
+
+
+def plain_scores(model, y):
+    """ln P of every class of a document: the token at t is scored in the window that holds OVERLAP tokens before it."""
+    out = []
+    for t in range(len(y)):
+        k = 0 if t < L.WINDOW else (t - L.OVERLAP) // (L.WINDOW - L.OVERLAP)
+        x = [L.CLASSES, *y]
+        begin = k * (L.WINDOW - L.OVERLAP)
+        out.append(plain_log_p(model, x[begin : t + 1], x[t - 1] if t else L.CLASSES, y[t]))
+    return out
+
+
 def test_gradient():
     rnd = np.random.default_rng(1)
-    model = L.Attention(np.log(rnd.dirichlet(np.ones(L.CLASSES), L.CLASSES + 1)))
-    x, y = rnd.integers(0, L.CLASSES, (2, 3, L.WINDOW))
+    model = some_model(rnd)
+    x, before, y = rnd.integers(0, L.CLASSES, (3, 3, L.WINDOW))
     valid = rnd.random((3, L.WINDOW)) < 0.8
-    g = model.gradient(x, y, valid)
-    loss = lambda f: -(L.Attention(model.bigrams, f).log_p(x, y)[0].astype(float) * valid).sum() / valid.sum()
-    for i in np.argsort(-np.abs(g))[[0, 5, 20, 60]]:
-        up, down = model.flat.copy(), model.flat.copy()
-        up[i] += 0.02
-        down[i] -= 0.02
-        assert abs((loss(up) - loss(down)) / 0.04 - g[i]) < 0.05 * abs(g[i]) + 1e-5
+    g = model.gradient(x, before, y, valid)
+    loss = lambda f: -(L.Attention(model.trigrams, f).log_p(x, before, y).astype(float) * valid).sum() / valid.sum()
+    at, ends = 0, {}
+    for k, s in L.Attention.SHAPES.items():
+        ends[k] = (at, at := at + s[0] * s[1])
+    for a, z in ends.values():
+        for i in a + np.argsort(-np.abs(g[a:z]))[:3]:
+            up, down = model.flat.copy(), model.flat.copy()
+            up[i] += 0.02
+            down[i] -= 0.02
+            assert abs((loss(up) - loss(down)) / 0.04 - g[i]) < 0.05 * abs(g[i]) + 1e-5
 
 
 def test_windows_score_each_token_once_as_a_plain_loop():
     rnd = np.random.default_rng(2)
-    model = L.Attention(np.log(rnd.dirichlet(np.ones(L.CLASSES), L.CLASSES + 1)))
-    sizes = [1, 31, 32, 33, 57, 56, 200]
+    model = some_model(rnd)
+    sizes = [1, 2, 31, 32, 33, 57, 56, 130]
     y, ends = rnd.integers(0, L.CLASSES, sum(sizes)), np.cumsum(sizes)
-    got, began = L.score_chunk(model, y, ends, 40, together=3)
-    x, begin = L.inputs(y, ends), 0
-    for end in ends:
-        for t in range(begin, end):
-            k = 0 if t - begin < L.WINDOW else (t - begin - L.OVERLAP) // (L.WINDOW - L.OVERLAP)
-            a = begin + k * (L.WINDOW - L.OVERLAP)
-            one = np.zeros((1, L.WINDOW), int)
-            one[0, : t - a + 1] = x[a : t + 1]
-            logits = model.forward(one)[-1][0, t - a].astype(float)
-            p = np.exp(logits) / np.exp(logits).sum()
-            assert abs(np.log(p[y[t]]) - got[t]) < 1e-4 and abs(np.log(p[:40].sum()) - began[t]) < 1e-4
-        begin = end
+    got = L.score_classes(model, y, ends, together=3)
+    want = [p for end, n in zip(ends, sizes, strict=True) for p in plain_scores(model, y[end - n : end].tolist())]
+    assert np.abs(got - want).max() < 1e-3
 
 
 def test_base_and_score(spark):
+    """All columns against plain loops; the score with the weights that the operator trains."""
     rnd = np.random.default_rng(3)
-    lines = [" ".join(rnd.choice(["The", "and", "ÉT", "thonnd", "erea", "x"], rnd.integers(1, 60))) for _ in range(80)] + [None, "", " \n", "new words here!", "a" * 100_000]
+    lines = [" ".join(rnd.choice(["The", "and", "ÉT", "thonnd", "erea", "x"], rnd.integers(1, 60))) for _ in range(80)] + [None, "", " \n", "new words here!", "a" * 3000, " tabs\tand\x0bmore x "]
     rows = [(i, t, "s", 1) for i, t in enumerate(lines)] + [(4, lines[4], "s", 1), (None, "no id", "s", 1)]
-    got = L.scores(spark.createDataFrame(rows, DOCS), PATH).collect()
+    df = spark.createDataFrame(rows, DOCS)
+    got = L.scores(df, PATH).collect()
     assert len(got) == len(rows)
     out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     count = collections.Counter(w for i, t, *_ in rows if not out(i) for w in [*words(t or ""), None])
     n, v = sum(count.values()), len(count)
     of = {i: [*words(t or ""), None] for i, t, *_ in rows}
+    model = L.trained(stored(L.chunks(df, PATH, 10), "chunks"), PATH)
+    assert np.abs(model.attention.flat - L.Attention.start()).max() > 0.001
+    own, end = L.pieces(PATH), L.pieces(PATH).get_piece_size()
     for r in got:
         w = of[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out(r.doc_id), len(w), sum(count[x] > 0 for x in w), n)
         assert abs(r.base_score - sum(math.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)) < 1e-6 * len(w)
+        ids = [i for x in w[:-1] for i in own.encode(x.decode())] + [end]
+        if len(ids) < 200:
+            y = [int(model.of[i]) for i in ids]
+            want = sum(plain_scores(model.attention, y)) + sum(float(model.within[x, i]) for x, i in zip([L.CLASSES, *y], ids, strict=False))
+            assert abs(r.score * math.log(10) - want) < 1e-3 * len(ids)
         assert math.isfinite(r.score) and r.score < 0
     assert L.scores(spark.createDataFrame([], DOCS), PATH).collect() == []
 
@@ -69,19 +104,35 @@ def test_no_training_rows(spark):
     assert (r.n_known, r.train_tokens, r.n_tokens) == (0, 0, 3) and math.isfinite(r.base_score) and math.isfinite(r.score)
 
 
-def test_word_probabilities_sum_to_one_at_most():
-    own = L.pieces(PATH)
+def test_words_as_python_cuts_them():
+    rnd = random.Random(4)
+    chars = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x85", " ", " ", "A", "z", "É", "İ", "\x00"]
+    texts = ["".join(rnd.choice(chars) for _ in range(rnd.randrange(12))) for _ in range(3000)]
+    sizes, number, unique = L.numbered(pa.array(texts))
+    unique = unique.to_pylist()
+    assert [unique[i].encode() for i in number] == [w for t in texts for w in words(t)] and sizes.tolist() == [len(words(t)) for t in texts]
+
+
+def test_the_model_is_a_distribution():
+    """Over all ids after any history the probabilities sum to one; classes tell words' begins apart."""
+    rnd, own = np.random.default_rng(5), L.pieces(PATH)
     n = own.get_piece_size()
-    begins = np.array([*(own.id_to_piece(i).startswith("\u2581") for i in range(n)), True])
-    of, starts = L.classes(np.arange(n + 1), begins)
-    assert of[n] == 0 and all((of < starts) == begins) and len(np.unique(of)) == L.CLASSES
-    assert all(begins[x[0]] and not begins[x[1:]].any() for x in own.encode(["the", "thndor", "Été!", "日本", "x\u00a0y", "|"]))
+    begins = np.array([*(own.id_to_piece(i).startswith("▁") for i in range(n)), True])
+    of = L.classes(np.arange(n + 1), begins)
+    assert of[n] == 0 and len(np.unique(of)) == L.CLASSES and not set(of[begins]) & set(of[~begins])
+    assert all(begins[x[0]] and not begins[x[1:]].any() for x in own.encode(["the", "thndor", "Été!", "日本", "x y", "|"]))
+    model = some_model(rnd)
+    x, before = rnd.integers(0, L.CLASSES, (2, 1, L.WINDOW))
+    total = sum(np.exp(model.log_p(x, before, np.full((1, L.WINDOW), c))) for c in range(L.CLASSES))
+    assert np.abs(total - 1).max() < 1e-4
 
 
 def test_every_window_trains_in_one_round():
     ends = np.cumsum([1, 20, 40, 200, 33, 1500, 7])
-    k = L.windows(np.zeros(ends[-1], np.int64), ends)[3]
+    start, stop, _, k = L.windows(ends, 0)
     rounds = [L.in_round(k, r) for r in range(L.ROUNDS)]
     assert sorted(np.concatenate(rounds).tolist()) == list(range(len(k)))
+    covered = np.concatenate([np.arange(a, min(a + L.WINDOW, z)) for a, z in zip(start, stop, strict=True)])
+    assert covered.tolist() == list(range(ends[-1]))  # each token is a target once
     document = np.cumsum(k == 0)
     assert all(set(document[np.isin(document, np.flatnonzero(np.bincount(document) >= L.ROUNDS))]) <= set(document[r]) for r in rounds)
