@@ -5,10 +5,11 @@ ids. Counts of a word meet in a window over its rows. A word has one row per chu
 rows that are shuffled no word has more than one in as many as a chunk has distinct words, and nothing of the size of the
 vocabulary of words is broadcast or collected.
 
-The model gives the next subword in two steps: a class, by self-attention over the window added to the logarithms of the
-class trigrams of the whole training corpus, and the subword within its class by its share of the training counts after
-the class before. Frequent subwords are classes of their own; the others share classes of about equal mass, apart for
-subwords that begin a word and those that go on with one. ``score`` is the logarithm of the product over a text's subwords
+The model gives the next subword in two steps: a class, by self-attention over the window added to the logarithm of the
+class's share, in the whole training corpus, after the subword before and the class before that; and the subword within its class by its
+share after the subword before, or after that one's class where counts are small. The most frequent subwords (``TOP``) are told apart as
+histories, the others are one. The ``SINGLE`` most frequent are classes of their own; the others share classes of about
+equal mass, apart for subwords that begin a word and those that go on with one. ``score`` is the logarithm of the product over a text's subwords
 and its end, and nothing else is mixed in. Windows overlap: each token is scored once, with at least ``OVERLAP`` tokens
 before it in its window wherever the document has them. Training windows lie side by side, so that each training token
 is a target once; every window of every training document trains in exactly one of the rounds. Tasks train on their own
@@ -40,7 +41,7 @@ from sievework.llm.common import release_memory, stored, table
 
 #: Bytes of text in a chunk, about, and words of a chunk that are opened at a time.
 CHUNK, OPEN = 12_000_000, 150_000
-WINDOW, OVERLAP, WIDTH, CLASSES, SINGLE = 32, 8, 24, 64, 52
+WINDOW, OVERLAP, WIDTH, CLASSES, SINGLE, TOP = 32, 8, 24, 64, 52, 1024
 ROUNDS, BATCH, RATE = 3, 64, 0.003
 CHUNK_ROW = "chunk long, doc_ids array<long>, held_out array<boolean>, ends array<int>, words array<string>, counts array<int>, seq binary, sub binary, sub_ends binary"
 
@@ -164,24 +165,24 @@ def windows(ends: np.ndarray, overlap: int = OVERLAP) -> tuple[np.ndarray, np.nd
     return start, np.repeat(ends, n), start + np.where(k > 0, overlap, 0), k
 
 
-def inputs(y: np.ndarray, ends: np.ndarray, back: int = 1) -> np.ndarray:
-    """What stands so many places before each token; CLASSES before the start of a document."""
-    x = np.concatenate([np.full(back, CLASSES, y.dtype), y[:-back]])[: len(y)]
+def inputs(y: np.ndarray, ends: np.ndarray, start: int, back: int = 1) -> np.ndarray:
+    """What stands so many places before each token; ``start`` before the begin of a document."""
+    x = np.concatenate([np.full(back, start, y.dtype), y[:-back]])[: len(y)]
     begins = np.concatenate([[0], ends[:-1]])
     for k in range(back):
         at = begins + k
-        x[at[at < ends]] = CLASSES
+        x[at[at < ends]] = start
     return x
 
 
 class Attention:
     """One causal self-attention layer over a window, added to the trigrams; weights are one flat vector."""
 
-    SHAPES = {"E": (CLASSES + 1, WIDTH), "P": (WINDOW, WIDTH), "Q": (WIDTH, WIDTH), "K": (WIDTH, WIDTH), "V": (WIDTH, WIDTH), "U": (WIDTH, CLASSES)}
+    SHAPES = {"E": (TOP + 2, WIDTH), "P": (WINDOW, WIDTH), "Q": (WIDTH, WIDTH), "K": (WIDTH, WIDTH), "V": (WIDTH, WIDTH), "U": (WIDTH, CLASSES)}
     MASK = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
     def __init__(self, trigrams: np.ndarray, flat: np.ndarray | None = None):
-        """trigrams: ln P(class | the two before), by (CLASSES + 1) * second before + the one before."""
+        """trigrams: ln P(class | class two places before, subword before), by (TOP + 2) * the first + the second."""
         self.trigrams = trigrams.astype(np.float32)
         self.flat = self.start() if flat is None else flat.astype(np.float32)
         at = 0
@@ -203,7 +204,7 @@ class Attention:
         return np.exp(x, out=x)
 
     def forward(self, x: np.ndarray, before: np.ndarray) -> tuple:
-        """Arrays of windows: x the classes before each place, ``before`` those two places before."""
+        """Arrays of windows: x the numbers of the subwords before each place, ``before`` the classes two places before."""
         n, w = x.shape
         e = self.E[x]
         e += self.P
@@ -215,7 +216,7 @@ class Attention:
         h = a @ v
         h += e
         logits = h.reshape(n * w, WIDTH) @ self.U
-        logits += self.trigrams[(before * (CLASSES + 1) + x).ravel()]
+        logits += self.trigrams[(before * (TOP + 2) + x).ravel()]
         return e2, q, k, v, a, h.reshape(n * w, WIDTH), logits
 
     def log_p(self, x: np.ndarray, before: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -247,9 +248,9 @@ class Attention:
         de = dh + dq @ self.Q.T
         de += dk @ self.K.T
         de += dv @ self.V.T
-        hot = np.zeros((CLASSES + 1, n * w), np.float32)
-        hot[x.ravel(), every] = 1
-        grads = (hot @ de, de.reshape(n, w, WIDTH).sum(0), e2.T @ dq, e2.T @ dk, e2.T @ dv, u)
+        across = np.ascontiguousarray(de.T)
+        grad_e = np.stack([np.bincount(x.ravel(), row, TOP + 2) for row in across], 1).astype(np.float32)
+        grads = (grad_e, de.reshape(n, w, WIDTH).sum(0), e2.T @ dq, e2.T @ dk, e2.T @ dv, u)
         return np.concatenate([g.ravel() for g in grads])
 
 
@@ -268,9 +269,8 @@ class Adam:
         self.own = Attention(model.trigrams, model.flat.copy())
         self.m, self.s, self.step, self.seen = np.zeros_like(model.flat), np.zeros_like(model.flat), 0, 0
 
-    def train(self, y: np.ndarray, ends: np.ndarray, phase: int) -> None:
+    def train(self, y: np.ndarray, x: np.ndarray, before: np.ndarray, ends: np.ndarray, phase: int) -> None:
         """Over the windows of a round."""
-        x, before = inputs(y, ends), inputs(y, ends, 2)
         start, stop, _, k = windows(ends, 0)
         mine = in_round(k, phase)
         mine = mine[np.random.default_rng(phase).permutation(len(mine))]
@@ -286,9 +286,9 @@ class Adam:
             self.seen += len(part)
 
 
-def score_classes(model: Attention, y: np.ndarray, ends: np.ndarray, together: int = 64) -> np.ndarray:
+def score_classes(model: Attention, y: np.ndarray, x: np.ndarray, before: np.ndarray, ends: np.ndarray, together: int = 64) -> np.ndarray:
     """ln P of every token's class, each from the one window that scores it."""
-    out, x, before = np.zeros(len(y)), inputs(y, ends), inputs(y, ends, 2)
+    out = np.zeros(len(y))
     start, stop, first, _ = windows(ends)
     for i in range(0, len(start), together):
         at = start[i : i + together][:, None] + np.arange(WINDOW)
@@ -310,12 +310,21 @@ def _counted(read: DataFrame, f, size: int) -> np.ndarray:
     """How often each of ``size`` numbers occurs in f(ids, ends) of all training documents; tasks send what isn't zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total, held, n = np.zeros(size, np.int64), [], 0
         for b in batches:
             for ids, ends in train_parts(b):
-                total += np.bincount(f(ids, ends), minlength=size)
+                held.append(f(ids, ends))
+                n += len(held[-1])
+                if n > 4_000_000:
+                    total += np.bincount(np.concatenate(held), minlength=size)
+                    held, n = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=size)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["i", "v"])
+        for k in range(0, len(at), 500_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 500_000]), pa.array(total[at[k : k + 500_000]])], ["i", "v"])
+        del total, at, held
+        release_memory()
 
     return _collected(read.mapInArrow(run, "i long, v long"), size)
 
@@ -337,48 +346,80 @@ def classes(counts: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return of
 
 
-class Model:
-    """The attention, the class of each id, and ln P(id | its class, class before)."""
+class Tables:
+    """What the counts tell: the class and the number of each id, and chances of ids within their classes."""
+
+    def __init__(self, of: np.ndarray, number: np.ndarray, within: np.ndarray, share: np.ndarray, rest: np.ndarray):
+        """within: P(id | its class, class before); share: of an id (by number) after another, within its class; rest: what is left to within, by number and class."""
+        self.of, self.number, self.within, self.share, self.rest = of, number, within, share, rest
+
+    def sequences(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(class, number of the id before, class two places before) of each id."""
+        y = self.of[ids]
+        return y, inputs(self.number[ids], ends, TOP + 1), inputs(y, ends, CLASSES, 2)
+
+    def ln_within(self, ids: np.ndarray, y: np.ndarray, x: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return np.log(self.share[x, self.number[ids]] + self.rest[x, y] * self.within[inputs(y, ends, CLASSES), ids])
+
 
-    def __init__(self, attention: Attention, of: np.ndarray, within: np.ndarray):
-        self.attention, self.of, self.within = attention, of, within
+class Model:
+    def __init__(self, attention: Attention, tables: Tables):
+        self.attention, self.tables = attention, tables
 
     def scores(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """ln P of every id."""
-        y = self.of[ids]
-        return score_classes(self.attention, y, ends) + self.within[inputs(y, ends), ids]
+        y, x, before = self.tables.sequences(ids, ends)
+        return score_classes(self.attention, y, x, before, ends) + self.tables.ln_within(ids, y, x, ends)
 
 
-def train(read: DataFrame, begins: np.ndarray) -> Model:
-    """The model of the training documents of chunks; the driver gets arrays of fixed sizes."""
-    read = read.select("held_out", "ends", "seq", "sub", "sub_ends")
-    n_ids, n = len(begins), CLASSES + 1
+def learn_tables(read: DataFrame, begins: np.ndarray) -> tuple[Tables, np.ndarray]:
+    """(tables, trigrams) of all training documents; the driver gets arrays of fixed sizes."""
+    n_ids, n, top = len(begins), CLASSES + 1, TOP + 2
     counts = _counted(read, lambda ids, ends: ids, n_ids)
     of = classes(counts, begins)
+    number = np.full(n_ids, TOP, np.int32)  # the others
+    number[np.lexsort((np.arange(n_ids), -counts))[:TOP]] = np.arange(TOP)
     smooth = counts + 0.5
     own = smooth / np.bincount(of, smooth, CLASSES)[of]
+    at = np.cumsum([0, n * n_ids, n * top * CLASSES, top * TOP])
 
-    def after(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Ids after classes, and classes after two classes, in one row of numbers."""
-        y = of[ids].astype(np.int64)
-        x, before = inputs(y, ends), inputs(y, ends, 2)
-        return np.concatenate([x * n_ids + ids, n * n_ids + (before * n + x) * CLASSES + y])
+    def seen(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Ids after classes, classes after class and number, and numbers after numbers, in one row of numbers."""
+        y, m = of[ids], number[ids]
+        x, before, told = inputs(m, ends, TOP + 1), inputs(y, ends, CLASSES, 2), m < TOP
+        return np.concatenate([inputs(y, ends, CLASSES) * np.int32(n_ids) + ids, at[1] + (before * top + x) * CLASSES + y, at[2] + (x * TOP + m)[told]])
 
-    both = _counted(read, after, n * n_ids + n * n * CLASSES)
-    follow, three = both[: n * n_ids].reshape(n, n_ids), both[n * n_ids :].reshape(n, n, CLASSES)
+    follow, three, next_ = (x.reshape(s) for x, s in zip(np.split(_counted(read, seen, int(at[-1])), at[1:-1]), ((n, n_ids), (n, top, CLASSES), (top, TOP)), strict=True))
     pairs = np.stack([np.bincount(of, row, CLASSES) for row in follow])
-    within = np.log((follow + 10 * own) / (pairs[:, of] + 10)).astype(np.float32)
+    within = ((follow + 10 * own) / (pairs[:, of] + 10)).astype(np.float32)
+    listed = np.flatnonzero(number < TOP)
+    class_of = np.empty(TOP, np.int64)  # of each number
+    class_of[number[listed]] = of[listed]
+    if len(listed) < TOP:
+        class_of[len(listed) :] = 0
+    inside = np.stack([np.bincount(class_of, row, CLASSES) for row in next_])
+    share = np.zeros((top, TOP + 1), np.float32)
+    share[:, :TOP] = next_ / (inside[:, class_of] + 20)
+    rest = (20 / (inside + 20)).astype(np.float32)
     single = (pairs.sum(0) + 0.5) / (pairs.sum() + 0.5 * CLASSES)
-    two = (pairs + 20 * single) / (pairs.sum(1, keepdims=True) + 20)
-    trigrams = np.log((three + 20 * two[None]) / (three.sum(2, keepdims=True) + 20)).reshape(n * n, CLASSES).astype(np.float32)
-    attention = Attention(trigrams)
+    two = three.sum(0)
+    two = (two + 20 * single) / (two.sum(1, keepdims=True) + 20)
+    trigrams = np.log((three + 20 * two[None]) / (three.sum(2, keepdims=True) + 20)).reshape(n * top, CLASSES).astype(np.float32)
+    return Tables(of, number, within, share, rest), trigrams
+
+
+def train(read: DataFrame, begins: np.ndarray) -> Model:
+    """The model of the training documents of chunks."""
+    read = read.select("held_out", "ends", "seq", "sub", "sub_ends")
+    tables, trigrams = learn_tables(read, begins)
+    attention, narrow = Attention(trigrams), Tables(tables.of, tables.number, *[np.zeros((0, 0))] * 3)
     for phase in range(ROUNDS):
 
         def run(batches: Iterator[pa.RecordBatch], attention=attention, phase=phase) -> Iterator[pa.RecordBatch]:
             task = Adam(attention)
             for b in batches:
                 for ids, ends in train_parts(b):
-                    task.train(of[ids], ends, phase)
+                    task.train(*narrow.sequences(ids, ends), ends, phase)
             if task.seen:
                 yield pa.RecordBatch.from_arrays([pa.array([np.append(task.seen * task.own.flat.astype(np.float64), task.seen)], pa.list_(pa.float64()))], ["x"])
             release_memory()
@@ -386,7 +427,7 @@ def train(read: DataFrame, begins: np.ndarray) -> Model:
         sums = _collected(read.mapInArrow(run, "x array<double>").select(F.posexplode("x").alias("i", "v")), len(attention.flat) + 1)
         if sums[-1]:
             attention = Attention(trigrams, sums[:-1] / sums[-1])
-    return Model(attention, of, within)
+    return Model(attention, tables)
 
 
 def trained(read: DataFrame, model_path: str) -> Model:

@@ -15,30 +15,30 @@ DOCS = "doc_id long, text string, score string, chunk int"
 
 
 def some_model(rnd):
-    model = L.Attention(np.log(rnd.dirichlet(np.ones(L.CLASSES), (L.CLASSES + 1) ** 2)))
+    model = L.Attention(np.log(rnd.dirichlet(np.ones(L.CLASSES), (L.CLASSES + 1) * (L.TOP + 2))))
     model.flat += 0.1 * rnd.standard_normal(len(model.flat)).astype(np.float32)
     return model
 
 
 def plain_log_p(model, window, before, y):
-    """ln P of class y after a window of classes, by loops over places in double precision."""
+    """ln P of class y after a window of numbers, by loops over places in double precision."""
     f = {k: getattr(model, k).astype(float) for k in model.SHAPES}
     e = [f["E"][c] + f["P"][i] for i, c in enumerate(window)]
     q = e[-1] @ f["Q"]
     weight = [math.exp(float(q @ (x @ f["K"])) / math.sqrt(L.WIDTH)) for x in e]
     h = e[-1] + sum(w * (x @ f["V"]) for w, x in zip(weight, e, strict=True)) / sum(weight)
-    logits = h @ f["U"] + model.trigrams[before * (L.CLASSES + 1) + window[-1]].astype(float)
+    logits = h @ f["U"] + model.trigrams[before * (L.TOP + 2) + window[-1]].astype(float)
     return float(logits[y] - np.log(np.exp(logits).sum()))
 
 
-def plain_scores(model, y):
+def plain_scores(model, y, numbers):
     """ln P of every class of a document: the token at t is scored in the window that holds OVERLAP tokens before it."""
     out = []
     for t in range(len(y)):
         k = 0 if t < L.WINDOW else (t - L.OVERLAP) // (L.WINDOW - L.OVERLAP)
-        x = [L.CLASSES, *y]
+        x = [L.TOP + 1, *numbers]
         begin = k * (L.WINDOW - L.OVERLAP)
-        out.append(plain_log_p(model, x[begin : t + 1], x[t - 1] if t else L.CLASSES, y[t]))
+        out.append(plain_log_p(model, x[begin : t + 1], y[t - 2] if t > 1 else L.CLASSES, y[t]))
     return out
 
 
@@ -46,6 +46,7 @@ def test_gradient():
     rnd = np.random.default_rng(1)
     model = some_model(rnd)
     x, before, y = rnd.integers(0, L.CLASSES, (3, 3, L.WINDOW))
+    x[:, ::5] += 900
     valid = rnd.random((3, L.WINDOW)) < 0.8
     g = model.gradient(x, before, y, valid)
     loss = lambda f: -(L.Attention(model.trigrams, f).log_p(x, before, y).astype(float) * valid).sum() / valid.sum()
@@ -64,9 +65,9 @@ def test_windows_score_each_token_once_as_a_plain_loop():
     rnd = np.random.default_rng(2)
     model = some_model(rnd)
     sizes = [1, 2, 31, 32, 33, 57, 56, 130]
-    y, ends = rnd.integers(0, L.CLASSES, sum(sizes)), np.cumsum(sizes)
-    got = L.score_classes(model, y, ends, together=3)
-    want = [p for end, n in zip(ends, sizes, strict=True) for p in plain_scores(model, y[end - n : end].tolist())]
+    y, m, ends = rnd.integers(0, L.CLASSES, sum(sizes)), rnd.integers(0, L.TOP + 1, sum(sizes)), np.cumsum(sizes)
+    got = L.score_classes(model, y, L.inputs(m, ends, L.TOP + 1), L.inputs(y, ends, L.CLASSES, 2), ends, together=3)
+    want = [p for end, n in zip(ends, sizes, strict=True) for p in plain_scores(model, y[end - n : end].tolist(), m[end - n : end].tolist())]
     assert np.abs(got - want).max() < 1e-3
 
 
@@ -84,6 +85,10 @@ def test_base_and_score(spark):
     of = {i: [*words(t or ""), None] for i, t, *_ in rows}
     model = L.trained(stored(L.chunks(df, PATH, 10), "chunks"), PATH)
     assert np.abs(model.attention.flat - L.Attention.start()).max() > 0.001
+    t = model.tables  # within each class the chances of all ids sum to one, after any history
+    for x, c in ((0, 3), (5, 60), (L.TOP, 1), (L.TOP + 1, L.CLASSES)):
+        p = t.share[x][t.number] + t.rest[x][t.of] * t.within[c]
+        assert np.abs(np.bincount(t.of, p) - 1).max() < 1e-3
     own, end = L.pieces(PATH), L.pieces(PATH).get_piece_size()
     for r in got:
         w = of[r.doc_id]
@@ -91,8 +96,12 @@ def test_base_and_score(spark):
         assert abs(r.base_score - sum(math.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)) < 1e-6 * len(w)
         ids = [i for x in w[:-1] for i in own.encode(x.decode())] + [end]
         if len(ids) < 200:
-            y = [int(model.of[i]) for i in ids]
-            want = sum(plain_scores(model.attention, y)) + sum(float(model.within[x, i]) for x, i in zip([L.CLASSES, *y], ids, strict=False))
+            t = model.tables
+            y, m = [int(t.of[i]) for i in ids], [int(t.number[i]) for i in ids]
+            want = sum(plain_scores(model.attention, y, m))
+            for k, i in enumerate(ids):
+                x, c = (m[k - 1], y[k - 1]) if k else (L.TOP + 1, L.CLASSES)
+                want += math.log(t.share[x, m[k]] + t.rest[x, y[k]] * t.within[c, i])
             assert abs(r.score * math.log(10) - want) < 1e-3 * len(ids)
         assert math.isfinite(r.score) and r.score < 0
     assert L.scores(spark.createDataFrame([], DOCS), PATH).collect() == []
