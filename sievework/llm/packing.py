@@ -17,9 +17,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -35,10 +35,10 @@ from sievework.llm.common import release_memory, stored, table
 
 END_ID = 1
 BUCKETS, DIMENSIONS, DEPTH = 512, 4, 12
-#: Words whose ids a task remembers, and their bytes; beyond either the memory is emptied, results stay the same.
-REMEMBERED, REMEMBERED_BYTES = 250_000, 40_000_000
-#: Characters of text that are cut into words at a time.
-TOGETHER = 4_000_000
+#: Words whose ids a task remembers, and their characters; beyond either the memory is emptied, results stay the same.
+REMEMBERED, REMEMBERED_CHARACTERS = 600_000, 20_000_000
+#: Bytes of text that are cut into words at a time.
+TOGETHER = 6_000_000
 
 #: Parts whose normal form is plain: visible ASCII and Latin-1 letters.
 PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+").fullmatch
@@ -65,39 +65,50 @@ class WordTokens:
         self.cuts: dict[str, bytes] = {}
         self.size = 0
 
-    def _learn(self, new: list[str]) -> None:
+    def _merged(self, cuts: set[str]) -> None:
+        fresh = list(cuts)
+        mapped = "\n".join(fresh).encode().decode("latin-1").translate(self.to_chars).split(self.to_chars[10])
+        for a in range(0, len(fresh), 10_000):
+            each = [[t.id for t in self.merge(word)] for word in mapped[a : a + 10_000]]
+            ends = (4 * np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))).tolist()
+            raw = np.fromiter(chain.from_iterable(each), np.uint32, ends[-1] >> 2).tobytes()
+            self.cuts.update(zip(fresh[a : a + 10_000], map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=False))
+
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """The ids of parts, which are remembered."""
+        if len(self.known) + len(new) > REMEMBERED or self.size > REMEMBERED_CHARACTERS:
+            self.forget()
         plain = [p for p in new if PLAIN(p) and "<|" not in p]
         if plain:
             cuts = CUT("\n".join(plain).lower())
-            if fresh := list(set(cuts).difference(self.cuts, ("\n",))):
-                mapped = "\n".join(fresh).encode().decode("latin-1").translate(self.to_chars).split(self.to_chars[10])
-                self.cuts.update(zip(fresh, (array("I", [t.id for t in self.merge(word)]).tobytes() for word in mapped), strict=True))
+            if fresh := set(cuts).difference(self.cuts, ("\n",)):
+                self._merged(fresh)
             held: list[bytes] = []
-            each = iter(plain)
+            each, ids = iter(plain), self.cuts
             for cut in cuts:
                 if cut == "\n":
-                    self.known[next(each)] = b"".join(held)
+                    self.known[next(each)] = held[0] if len(held) == 1 else b"".join(held)
                     held = []
                 else:
-                    held.append(self.cuts[cut])
+                    held.append(ids[cut])
             self.known[next(each)] = b"".join(held)
         rest = [p for p in new if p not in self.known]
         self.known.update(zip(rest, (np.array(e.ids, np.uint32).tobytes() for e in self.own.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
-        self.size += 2 * sum(map(len, new))
+        self.size += sum(map(len, new))
+        return list(map(self.known.__getitem__, new))
 
     def encode_batch(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         if not isinstance(texts, pa.Array):
             texts = pa.array(texts, pa.string())
         if not len(texts):
             return []
-        if len(self.known) > REMEMBERED or self.size > REMEMBERED_BYTES:
-            self.forget()
         parts = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
         numbered = parts.flatten().dictionary_encode()
-        words = numbered.dictionary.to_pylist()
-        if new := [w for w in words if w not in self.known]:
-            self._learn(new)
-        found = list(map(self.known.__getitem__, words))
+        words = numbered.dictionary.to_numpy(zero_copy_only=False)
+        found = list(map(self.known.get, words))
+        if new := [i for i, x in enumerate(found) if x is None]:
+            for i, x in zip(new, self._learn(words[new].tolist()), strict=True):
+                found[i] = x
         sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
         number = numbered.indices.to_numpy()
         flat, n = np.frombuffer(b"".join(found), np.uint32), sizes[number]
