@@ -41,8 +41,8 @@ from sievework.llm.common import release_memory, stored, table
 
 #: Bytes of text in a chunk, about, and words of a chunk that are opened at a time.
 CHUNK, OPEN = 12_000_000, 150_000
-WINDOW, OVERLAP, WIDTH, CLASSES, SINGLE, TOP = 32, 8, 24, 64, 52, 1024
-ROUNDS, BATCH, RATE = 3, 64, 0.003
+WINDOW, OVERLAP, WIDTH, CLASSES, SINGLE, TOP = 32, 6, 16, 64, 52, 1024
+ROUNDS, BATCH, RATE = 3, 96, 0.003
 CHUNK_ROW = "chunk long, doc_ids array<long>, held_out array<boolean>, ends array<int>, words array<string>, counts array<int>, seq binary, sub binary, sub_ends binary"
 
 
@@ -196,60 +196,62 @@ class Attention:
         scale = {"E": 0.5, "P": 0.2, "U": 0.02}
         return np.concatenate([(rnd.standard_normal(s) * scale.get(k, WIDTH**-0.5)).ravel() for k, s in cls.SHAPES.items()]).astype(np.float32)
 
-    @staticmethod
-    def _exp(x: np.ndarray) -> np.ndarray:
-        """exp in place, up to a factor per row where it would overflow."""
-        if x.max() > 60:
-            x -= x.max(-1, keepdims=True)
-        return np.exp(x, out=x)
-
     def forward(self, x: np.ndarray, before: np.ndarray) -> tuple:
-        """Arrays of windows: x the numbers of the subwords before each place, ``before`` the classes two places before."""
+        """Arrays of windows: x the numbers of the subwords before each place, ``before`` the classes two places before.
+
+        The attention's weights stay without their sums, by which the mixed values are divided.
+        """
         n, w = x.shape
         e = self.E[x]
         e += self.P
         e2 = e.reshape(n * w, WIDTH)
         q, k, v = (y.reshape(n, w, WIDTH) for y in (e2 @ (self.Q * np.float32(WIDTH**-0.5)), e2 @ self.K, e2 @ self.V))
-        a = self._exp(q @ k.transpose(0, 2, 1))
+        a = q @ k.transpose(0, 2, 1)
+        if a.max() > 60:
+            a -= a.max(2, keepdims=True)
+        np.exp(a, out=a)
         a *= self.MASK
-        a /= a.sum(2, keepdims=True)
-        h = a @ v
-        h += e
-        logits = h.reshape(n * w, WIDTH) @ self.U
+        over = np.float32(1) / (a.reshape(n * w, w) @ np.ones((w, 1), np.float32)).reshape(n, w, 1)
+        z = a @ v
+        z *= over
+        logits = (z + e).reshape(n * w, WIDTH) @ self.U
         logits += self.trigrams[(before * (TOP + 2) + x).ravel()]
-        return e2, q, k, v, a, h.reshape(n * w, WIDTH), logits
+        if logits.max() > 60:
+            logits -= logits.max(1, keepdims=True)
+        return e2, q, k, v, a, over, z, logits
+
+    ONES = np.ones(CLASSES, np.float32)
 
     def log_p(self, x: np.ndarray, before: np.ndarray, y: np.ndarray) -> np.ndarray:
         """ln P of each class y."""
         logits = self.forward(x, before)[-1]
-        if logits.max() > 60:
-            logits -= logits.max(1, keepdims=True)
         told = logits[np.arange(len(logits)), y.ravel()]
-        return (told - np.log(np.exp(logits, out=logits).sum(1))).reshape(x.shape)
+        return (told - np.log(np.exp(logits, out=logits) @ self.ONES)).reshape(x.shape)
 
     def gradient(self, x: np.ndarray, before: np.ndarray, y: np.ndarray, valid: np.ndarray) -> np.ndarray:
         """Of the mean of -ln P over valid places."""
         n, w = x.shape
-        e2, q, k, v, a, h, d = self.forward(x, before)
-        every = np.arange(n * w)
-        self._exp(d)
-        d /= d.sum(1, keepdims=True)
-        d[every, y.ravel()] -= 1
-        d *= (valid.ravel() / np.float32(max(1, valid.sum())))[:, None].astype(np.float32)
-        u = h.T @ d
+        e2, q, k, v, a, over, z, d = self.forward(x, before)
+        weight = valid.ravel().astype(np.float32) / np.float32(max(1, valid.sum()))
+        np.exp(d, out=d)
+        d *= (weight / (d @ self.ONES))[:, None]
+        d[np.arange(n * w), y.ravel()] -= weight
+        u = (z.reshape(n * w, WIDTH) + e2).T @ d
         dh = d @ self.U.T
         dz = dh.reshape(n, w, WIDTH)
-        dv = (a.transpose(0, 2, 1) @ dz).reshape(n * w, WIDTH)
+        mean = (dz * z).sum(2, keepdims=True)
         ds = dz @ v.transpose(0, 2, 1)
+        ds -= mean
         ds *= a
-        ds -= a * ds.sum(2, keepdims=True)
-        dq, dk = (ds @ k).reshape(n * w, WIDTH), (ds.transpose(0, 2, 1) @ q).reshape(n * w, WIDTH)
+        dv = (a.transpose(0, 2, 1) @ (dz * over)).reshape(n * w, WIDTH)
+        dq = ((ds @ k) * over).reshape(n * w, WIDTH)
         dq *= np.float32(WIDTH**-0.5)
+        dk = (ds.transpose(0, 2, 1) @ (q * over)).reshape(n * w, WIDTH)
         de = dh + dq @ self.Q.T
         de += dk @ self.K.T
         de += dv @ self.V.T
-        across = np.ascontiguousarray(de.T)
-        grad_e = np.stack([np.bincount(x.ravel(), row, TOP + 2) for row in across], 1).astype(np.float32)
+        across, flat = np.ascontiguousarray(de.T, np.float64), x.ravel()
+        grad_e = np.stack([np.bincount(flat, row, TOP + 2) for row in across], 1).astype(np.float32)
         grads = (grad_e, de.reshape(n, w, WIDTH).sum(0), e2.T @ dq, e2.T @ dk, e2.T @ dv, u)
         return np.concatenate([g.ravel() for g in grads])
 
