@@ -1,10 +1,12 @@
 """SimHash near-duplicates: fingerprints in Gray order under a hierarchical index that prunes whole groups.
 
-Distinct fingerprints meet in buckets: of three bands of the bits, two differing bits leave one equal. A bucket of more
-than ``bucket_limit`` fingerprints is dealt again by three bands of its remaining bits, and so on, so no bucket stays
-large and no pair is lost. Inside a bucket the fingerprints are sorted by Gray rank and grouped; a node keeps the bits
-that all below it share and that no node above it has, and a search adds up the differences on the way down and leaves
-a group once they exceed the limit. A bucket returns a forest of its links, not its pairs.
+Distinct fingerprints are sorted by Gray rank, in which those that share their first bits are neighbours. The upper nodes of
+the index are such runs: pairs of nodes go down together as joins, what they differ in is added up on the way, and a pair beyond
+the limit is pruned with all that is below. Pairs of runs of bounded size are left; each is one group of rows. There
+the index goes on: the fingerprints are grouped in Gray order, a node keeps the bits that all below it share and that no
+node above it has, and a search adds up the differences and leaves a group once they exceed the limit. A group returns a
+forest of its links, not its pairs. A run grows no longer than the limit however the fingerprints are spread, as it is
+told apart by further bits; so no group is hot.
 
 Defined cases: null text is empty; a text without words has fingerprint zero and links like any other; exact copies,
 repeated rows and ties share a fingerprint; a null doc_id is larger than any other when the smallest is sought; an
@@ -14,11 +16,12 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.common import stored, table, words
@@ -105,9 +108,14 @@ class GrayIndex:
             self.levels.append((shared & ~above, ones))
             above = shared
 
-    def near(self, most: int, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of positions in Gray order, the first smaller, with at most so many differing bits."""
-        n = len(self.fp)
+    def near(self, most: int, queries: np.ndarray | None = None, step: int = 256, told: dict | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, position in Gray order) of pairs with at most so many differing bits.
+
+        Without queries the words themselves are, and only later positions count. ``told`` gathers the groups met and pruned.
+        """
+        own = queries is None
+        fp = self.fp if own else queries
+        n = len(fp)
         for a in range(0, n, step):
             q = np.arange(a, min(n, a + step))
             top = len(self.levels[0][0])
@@ -120,111 +128,104 @@ class GrayIndex:
                     span //= FANOUT
                     inside = node < len(mask)
                     query, node, seen = query[inside], node[inside], seen[inside]
-                seen = seen + np.bitwise_count((self.fp[query] ^ value[node]) & mask[node])
-                keep = (seen <= most) & ((node + 1) * span - 1 > query)  # a group that lies wholly before the query has met it
+                seen = seen + np.bitwise_count((fp[query] ^ value[node]) & mask[node])
+                keep = seen <= most
+                if told is not None and span > 1:
+                    told["met"] = told.get("met", 0) + len(keep)
+                    told["pruned"] = told.get("pruned", 0) + int(len(keep) - np.count_nonzero(keep))
+                if own:
+                    keep &= (node + 1) * span - 1 > query  # a group that lies wholly before the query has met it
                 query, node, seen = query[keep], node[keep], seen[keep]
             yield query, node
 
 
+#: Bits of the fingerprint that one level of the upper index tells apart.
+STEP = 6
+
+
+def _run(level: int) -> Column:
+    """The first bits of fp, which the fingerprints of a node share; in Gray order these are runs of neighbours."""
+    bits = min(BITS, STEP * level)
+    return F.shiftrightunsigned("fp", BITS - bits) if bits else F.lit(0).cast("long")
+
+
+def surviving(distinct: DataFrame, most: int, group_limit: int) -> list[tuple[int, DataFrame]]:
+    """(level, pairs (a, b) of its nodes that may hold links, a <= b): every pair of fingerprints within reach is in one of them.
+
+    Nodes of the upper index are runs of the Gray order that share their first bits, ``STEP`` more on every level. Pairs of
+    nodes go down together: what their new bits differ in is added to what those above differed in, and a pair whose sum
+    exceeds ``most`` is pruned with all below it. A pair of which both sides hold ``group_limit`` fingerprints at most stays.
+    All of it is joins of nodes; nothing is collected.
+    """
+    out, level = [], 0
+    pairs = distinct.agg(F.count(F.lit(1)).alias("na")).select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("seen"), "na", F.col("na").alias("nb"))
+    while True:
+        small = (F.col("na") <= group_limit) & (F.col("nb") <= group_limit) if STEP * level < BITS else F.lit(True)
+        out.append((level, pairs.filter(small).select("a", "b")))
+        if pairs.filter(~small).isEmpty():
+            return out
+        level += 1
+        width = min(BITS, STEP * level) - STEP * (level - 1)
+        nodes = stored(distinct.groupBy(_run(level).alias("value")).agg(F.count(F.lit(1)).alias("n")).withColumn("above", F.shiftright("value", width) if STEP * level < BITS else F.shiftrightunsigned("value", width)), "nodes")
+        down = pairs.filter(~small).join(nodes.toDF("x", "nx", "a"), "a").join(nodes.toDF("y", "ny", "b"), "b")
+        seen = F.col("seen") + F.bit_count(F.col("x").bitwiseXOR(F.col("y")).bitwiseAND(F.lit((1 << width) - 1)))
+        pairs = stored(down.filter("a < b or x <= y").withColumn("seen", seen).filter(F.col("seen") <= most).select(F.col("x").alias("a"), F.col("y").alias("b"), "seen", F.col("nx").alias("na"), F.col("ny").alias("nb")), "pairs")
+
+
 def _linked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp) ordered by key: for each bucket the edges of a forest of its links."""
-    held: list[np.ndarray] = []
-    held_key = None
-
-    def edges(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        if len(fp) < 2:
-            return None
-        index = GrayIndex(np.unique(fp.view(np.uint64)))
-        root = forest(len(index.fp), list(index.near(most)) if len(index.fp) <= 4096 else index.near(most))
-        linked = np.flatnonzero(root != np.arange(len(root)))
-        return (index.fp[linked], index.fp[root[linked]]) if len(linked) else None
-
-    def small(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Links in buckets of one leaf group: rows are compared with the next ones of the same key."""
-        a, b, k = [], [], 1
-        while len(at := np.flatnonzero(key[k:] == key[:-k])):
-            hit = at[np.bitwise_count((fp[at] ^ fp[at + k]).view(np.uint64)) <= most]
-            a.append(fp[hit])
-            b.append(fp[hit + k])
-            k += 1
-        return np.concatenate(a or [fp[:0]]), np.concatenate(b or [fp[:0]])
-
-    def batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+    """Rows (level, a, b, side, fp) in order: for each pair of nodes the edges of a forest of its links."""
+    held: list[list[np.ndarray]] = []
+    key = None
+
+    def edges() -> pa.RecordBatch | None:
+        side, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+        left, right = (fp[side == s].view(np.uint64) for s in (0, 1))
+        if key[1] == key[2]:
+            index = GrayIndex(left)
+            root = forest(len(left), index.near(most))
+            words = index.fp
+        else:
+            index = GrayIndex(right)
+            words = np.concatenate([left, index.fp])
+            root = forest(len(words), ((q, p + len(left)) for q, p in index.near(most, left)))
+        at = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (words[at], words[root[at]])], ["a", "b"]) if len(at) else None
 
     for rows in batches:
         if not rows.num_rows:
             continue
-        key, fp = rows.column(0).to_numpy(zero_copy_only=False), rows.column(1).to_numpy(zero_copy_only=False)
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        if held_key is not None and key[0] == held_key:
-            end = starts[1] if len(starts) > 1 else len(key)
-            held.append(fp[:end])
-            if end == len(key):
-                continue
-            key, fp, starts = key[end:], fp[end:], starts[1:] - end
-        if held and (found := edges(np.concatenate(held))):
-            yield batch(*found)
-        held, held_key = [fp[starts[-1] :]], key[-1]
-        key, fp = key[: starts[-1]], fp[: starts[-1]]
-        sizes = np.diff(starts)
-        leaf = np.repeat(sizes <= FANOUT, sizes)
-        found = small(key[leaf], fp[leaf])
-        if len(found[0]):
-            yield batch(*found)
-        for s, n in zip(starts[:-1][sizes > FANOUT], sizes[sizes > FANOUT], strict=True):
-            if found := edges(fp[s : s + n]):
-                yield batch(*found)
-    if held and (found := edges(np.concatenate(held))):
-        yield batch(*found)
-
-
-def _thirds(bits: list[int], parts: int) -> list[list[int]]:
-    size = -(-len(bits) // parts)
-    return [bits[i : i + size] for i in range(0, len(bits), size)]
-
-
-def _mask(bits: list[int]) -> int:
-    m = sum(1 << b for b in bits)
-    return m - (1 << BITS) if m >> (BITS - 1) else m
-
-
-def link_forest(distinct: DataFrame, most: int = 2, bucket_limit: int = 4096) -> DataFrame:
+        level, a, b, side, fp = (c.to_numpy(zero_copy_only=False) for c in rows.columns)
+        cut = [0, *(np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (level[1:] != level[:-1])) + 1).tolist(), len(a)]
+        for x, y in zip(cut, cut[1:]):  # noqa: B905
+            own = (int(level[x]), int(a[x]), int(b[x]))
+            if held and own != key:
+                if (found := edges()) is not None:
+                    yield found
+                held = []
+            key = own
+            held.append([side[x:y].copy(), fp[x:y].copy()])
+    if held and (found := edges()) is not None:
+        yield found
+
+
+def link_forest(distinct: DataFrame, most: int = 2, group_limit: int = 8192) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of distinct fp with at most so many differing bits."""
-    out = None
-    # A trail names the bands that rows share so far; dealt: (trail, shared bits, rows).
-    level = [(str(i), band) for i, band in enumerate(_thirds(list(range(BITS)), most + 1))]
-    rows = distinct.select(F.lit("").alias("trail"), "fp")
-    depth = 0
-    while level:
-        keyed = rows.select("fp", F.explode(F.expr("case trail " + " ".join(f"when '{was}' then array({', '.join(_struct(t, bits) for t, bits in level if t[:-1] == was)})" for was in sorted({t[:-1] for t, _ in level})) + " end")).alias("k")).select("fp", "k.trail", "k.value", F.xxhash64("k.trail", "k.value").alias("key"))
-        hot = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket_limit).select("key")
-        keyed, hot = stored(keyed, "buckets"), None or stored(hot, "hot")
-        any_hot = not hot.isEmpty()
-        cool = keyed.join(hot, "key", "left_anti") if any_hot else keyed
-        ordered = cool.select("key", "fp").repartition("key").sortWithinPartitions("key")
-        found = ordered.mapInArrow(lambda it: _linked(it, most), "a long, b long")
-        out = found if out is None else out.union(found)
-        if not any_hot:
-            break
-        rows = keyed.join(hot, "key", "left_semi").select("trail", "fp")
-        deeper = []
-        for trail, bits in level:
-            rest = [b for b in range(BITS) if b not in bits]
-            deeper += [(f"{trail}{i}", sorted(bits + band)) for i, band in enumerate(_thirds(rest, most + 1))] if rest else []
-        level, depth = deeper, depth + 1
-    return out
-
-
-def _struct(trail: str, bits: list[int]) -> str:
-    return f"named_struct('trail', '{trail}', 'value', fp & {_mask(bits)}L)" if _mask(bits) != -(1 << 63) else f"named_struct('trail', '{trail}', 'value', fp & (-9223372036854775807L - 1L))"
-
-
-def near_duplicates(docs: DataFrame, most: int = 2, width: int = 3, bucket_limit: int = 4096) -> DataFrame:
+    distinct = distinct.select("fp")
+    met = []
+    for level, pairs in surviving(distinct, most, group_limit):
+        rows = distinct.withColumn("node", _run(level))
+        for side, own in ((0, "a"), (1, "b")):
+            some = pairs if not side else pairs.filter("a <> b")
+            met.append(rows.join(some.withColumn("node", F.col(own)), "node").select(F.lit(level).alias("level"), "a", "b", F.lit(side).alias("side"), "fp"))
+    rows = reduce(DataFrame.union, met).repartition("level", "a", "b").sortWithinPartitions("level", "a", "b", "side", "fp")
+    return rows.mapInArrow(lambda it: _linked(it, most), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, most: int = 2, width: int = 3, group_limit: int = 8192) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs; component_id is the smallest doc_id reachable by links."""
     marked = stored(fingerprints(docs, width), "fingerprints")
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = stored(components(link_forest(distinct, most, bucket_limit)), "roots")
+    roots = stored(components(link_forest(distinct, most, group_limit)), "roots")
     linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = linked.select("fp", "root").join(least, "root").select("fp", "component_id")

@@ -42,14 +42,14 @@ def test_against_brute_force(spark):
     assert {r.doc_id: r.component_id for r in got} == groups(fp)
 
 
-def test_hot_buckets_are_dealt_again(spark):
+def test_groups_of_any_limit_link_alike(spark):
     rnd = np.random.default_rng(5)
     base = [int(x) for x in rnd.integers(0, 2**63, 12)]
     fps = {b ^ (1 << int(rnd.integers(64))) ^ (1 << int(rnd.integers(64))) for b in base for _ in range(60)}
     fps = [x - 2**64 if x >> 63 else x for x in fps]
     df = spark.createDataFrame([(x,) for x in fps], "fp long")
     want = groups({x: x % 2**64 for x in fps})
-    for limit in (50, 4096):
+    for limit in (20, 200, 8192):
         root = {r.node: r.root for r in S.components(S.link_forest(df, 2, limit)).collect()}
         got = {}
         for x in fps:
@@ -67,6 +67,24 @@ def test_index_finds_all_pairs():
     got = {tuple(sorted((int(index.fp[i]), int(index.fp[j])))) for a, b in index.near(2) for i, j in zip(a, b, strict=True)}
     want = {tuple(sorted((int(a), int(b)))) for i, a in enumerate(fp) for b in fp[i + 1 :] if (int(a) ^ int(b)).bit_count() <= 2}
     assert got == want
+    split = index.fp[::2]
+    got = {(int(split[q]), int(index.fp[p])) for a, b in index.near(2, split) for q, p in zip(a, b, strict=True)}
+    assert got == {(int(a), int(b)) for a in split for b in fp if (int(a) ^ int(b)).bit_count() <= 2}
+
+
+def test_whole_groups_are_pruned(spark):
+    """On ordinary fingerprints, both levels of the index leave most groups unseen."""
+    rnd = np.random.default_rng(2)
+    fp = np.unique(rnd.integers(0, 2**64, 5000, dtype=np.uint64))
+    told = {}
+    list(S.GrayIndex(fp).near(2, told=told))
+    groups_ = -(-len(fp) // S.FANOUT)
+    assert told["pruned"] > 0.6 * told["met"] and told["met"] < 0.5 * len(fp) * (groups_ + groups_ // S.FANOUT)
+    df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    (l0, none), (l1, pairs) = S.surviving(df, 2, 500)
+    assert (l0, l1) == (0, 1) and none.isEmpty()
+    got = {(r.a, r.b) for r in pairs.collect()}
+    assert got == {(a, b) for a in range(64) for b in range(a, 64) if (a ^ b).bit_count() <= 2}
 
 
 def test_empty_table_and_repeated_rows(spark):
