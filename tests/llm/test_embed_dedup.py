@@ -55,6 +55,25 @@ def test_blocks_count_alike(spark):
     assert one == many and any(one.values())
 
 
+def test_lists_recall_and_audit(spark):
+    """On spread near copies the lists alone reach the bound, and the audit tells the same as brute force."""
+    rnd = np.random.default_rng(11)
+    x = rnd.standard_normal((4000, 48))
+    for i in range(0, 2000, 4):
+        x[i + 1 : i + 4] = x[i] + rnd.uniform(0.1, 0.3) * rnd.standard_normal((3, 48))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([("r", i, bytearray(v.tobytes()), 1) for i, v in enumerate(x)], "root string, node long, vector binary, copies long")
+    graph = {tuple(sorted((r.node, r.other))) for r in E.descent(df, 0.93, leaf=64)[0].collect()}
+    true = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.93, 1)), strict=True)}
+    assert len(true) > 500 and len(true & graph) >= 0.95 * len(true)
+    roots, told = E.linked(df, 0.93)
+    (t,) = told.collect()
+    assert t.nodes >= 64 and t.recall >= 0.95
+    lost = roots.filter("component % 8 = 0")  # half of the components go: the audit sees it
+    (t,) = E.audit(df, lost, 0.93, 64).collect()
+    assert t.recall < 0.8
+
+
 def test_empty_table(spark):
     assert E.near_duplicates(spark.createDataFrame([], ROWS)).collect() == []
 
