@@ -10,12 +10,14 @@ The graph is joined by its own keys and never collected; instances and patterns
 occur, so one identifier in a third of all rows does no harm.
 
 Defined cases: null text is empty; an empty text has no spans; failing base matches are dropped without retry; an added
-span never overlaps a base span; repeated rows are read each; an empty table gives no rows; other columns pass through
+span never overlaps a base span; texts, words and instances of any length are read whole, and long words and instances stand in the
+graph by a digest; of ties in score the kind last by name counts; repeated rows are read each; an empty table gives no rows; other columns pass through
 ``found`` when asked for, and are ignored otherwise.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -35,6 +37,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+WORD = re.compile(r"\S+")
 MAYBE = re.compile(r"[0-9@]|[\[({]at[\])}]", re.I)
 #: Digit groups, and tokens; those with a digit or an at sign may be identifiers.
 LOOSE = re.compile(r"[(+]?[0-9](?:[\x20().\-/]{0,3}[0-9])+|[^\s,;<>\"']++")
@@ -91,17 +94,35 @@ def fits(instance: str) -> list[str]:
     return out
 
 
-def patterns(text: str, start: int, end: int) -> list[str]:
-    """The words on both sides, one and two on the left, one on the right, and one on either."""
-    left, right = text[max(0, start - 80) : start].lower().split()[-2:], text[end : end + 60].lower().split()[:1]
-    out = [f"l {left[-1]}"] if left else []
-    if len(left) == 2:
-        out.append(f"ll {left[0]} {left[1]}")
-    if right:
-        out.append(f"r {right[0]}")
-        if left:
-            out.append(f"lr {left[-1]} {right[0]}")
-    return out
+def short(x: str) -> str:
+    """A text of any length by a bounded one that stands for it alone."""
+    return x if len(x) <= 64 else f"#{hashlib.sha256(x.encode('utf-8', 'replace')).hexdigest()}"
+
+
+class Context:
+    """The words of a text, and those around a place."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.starts, self.ends = zip(*(m.span() for m in WORD.finditer(text))) if not text.isspace() and text else ((), ())
+
+    def word(self, a: int, z: int) -> str:
+        return short(self.text[a:z].lower())
+
+    def patterns(self, start: int, end: int) -> list[str]:
+        """The words on both sides, one and two on the left, one on the right, and one on either; a word may be cut by the instance."""
+        i = bisect.bisect_left(self.starts, start)  # words that begin before the instance
+        left = [self.word(self.starts[k], min(self.ends[k], start)) for k in range(max(0, i - 2), i)]
+        j = bisect.bisect_right(self.ends, end)  # words that end behind it
+        right = [self.word(max(self.starts[j], end), self.ends[j])] if j < len(self.ends) else []
+        out = [f"l {left[-1]}"] if left else []
+        if len(left) == 2:
+            out.append(f"ll {left[0]} {left[1]}")
+        if right:
+            out.append(f"r {right[0]}")
+            if left:
+                out.append(f"lr {left[-1]} {right[0]}")
+        return out
 
 
 def read(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -130,10 +151,10 @@ def instances(t: str) -> tuple[list[int], str, list[dict]]:
     """Base counts, base spans, and all instances of a text."""
     n, base, seen = [0] * len(KINDS), [], []
     if MAYBE.search(t):
-        base = base_spans(t)
+        base, around = base_spans(t), Context(t)
         for kind, a, z in base:
             n[KINDS.index(kind)] += 1
-            seen.append({"first": a, "last": z, "instance": t[a:z], "kind": kind, "fits": [], "patterns": patterns(t, a, z)})
+            seen.append({"first": a, "last": z, "instance": short(t[a:z]), "kind": kind, "fits": [], "patterns": around.patterns(a, z)})
         taken, k = sorted((a, z) for _, a, z in base), 0
         for m in filter(lambda m: MAYBE.search(m[0]), LOOSE.finditer(t)):
             a = m.start()
@@ -141,7 +162,7 @@ def instances(t: str) -> tuple[list[int], str, list[dict]]:
             while k < len(taken) and taken[k][1] <= a:
                 k += 1
             if a < z and not any(x < z and a < y for x, y in taken[k : k + 8]):
-                seen.append({"first": a, "last": z, "instance": t[a:z][:200], "kind": None, "fits": fits(t[a:z]) if z - a <= 200 else [], "patterns": patterns(t, a, z)})
+                seen.append({"first": a, "last": z, "instance": short(t[a:z]), "kind": None, "fits": fits(t[a:z]), "patterns": around.patterns(a, z)})
     return n, ",".join(f"{k}:{a}:{z}" for k, a, z in base), seen
 
 
@@ -196,9 +217,9 @@ def in_order(base: str, added: list[str]) -> str:
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span of its text replaced by ``[kind]``; the outermost of overlapping spans counts."""
-    columns = docs.columns
-    rows = found(docs, columns, text)
-    at = columns.index(text)
+    names, at = docs.columns, docs.columns.index(text)
+    columns = [f"c{i}" for i in range(len(names))]  # no column of docs has a name of ROW
+    rows = found(docs.toDF(*columns), columns, columns[at])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -215,7 +236,7 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
                 out.append(t)
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(out, pa.string()), *b.columns[at + 1 : len(columns)]], columns)
 
-    return rows.select(*columns, "_pii_base", "_pii_added").mapInArrow(run, docs.schema)
+    return rows.select(*columns, "_pii_base", "_pii_added").mapInArrow(run, docs.toDF(*columns).schema).toDF(*names)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

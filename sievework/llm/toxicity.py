@@ -37,7 +37,7 @@ REMEMBERED = 200_000
 
 def features_of(word: str) -> tuple[int, ...]:
     """Numbers for the word and its first letters; they are CRC-32 values of distinct texts."""
-    return tuple(zlib.crc32(x.encode("utf-8", "replace")) for x in (f"={word[:40]}", *(f"{n}^{word[:n]}" for n in PREFIXES if len(word) >= n)))
+    return tuple(zlib.crc32(x.encode("utf-8", "replace")) for x in (f"={word}", *(f"{n}^{word[:n]}" for n in PREFIXES if len(word) >= n)))
 
 
 class Reader:

@@ -6,7 +6,7 @@ origin's identifier, orders by segment number, verifies the total length, undoes
 payload's digest; an archive that fails a check raises an error.
 
 Defined cases: null html is the empty payload; a null url is empty; rows that repeat the smallest page_id of a
-payload are responses like it; a null page_id is larger than any other, and rows of equal payloads without any page_id
+payload are responses like it, so ties all stay; a payload of any length is cut into segments and put together whole; a null page_id is larger than any other, and rows of equal payloads without any page_id
 are all responses; an empty table gives no archives and no rows; other columns are ignored. Archives are whole-file gzip, as Spark's text
 writer makes them; the records inside follow WARC/1.1.
 """
@@ -81,7 +81,7 @@ def records(page_id: int | None, url: str, payload: bytes, digest: str, revisits
         yield _record([*more, *([("WARC-Segment-Total-Length", str(len(block)))] if n == len(parts) else [])], part)
 
 
-def write_archives(pages: DataFrame, path: str, segment_bytes: int = 16_384, revisit_from: int = 100) -> None:
+def write_archives(pages: DataFrame, path: str, segment_bytes: int = 4096, revisit_from: int = 100, salts: int = 16) -> None:
     """Writes (page_id, url, html) as archives in the folder path, through Spark's committer: a lost task leaves nothing."""
     rows = pages.selectExpr("cast(page_id as long) page_id", "coalesce(url, '') url", "cast(coalesce(html, '') as binary) payload").withColumn("digest", F.sha2("payload", 256))
     shared = rows.filter(F.octet_length("payload") >= revisit_from).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
@@ -99,7 +99,12 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = 16_384, rev
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    joined = rows.join(shared, "digest", "left").select("page_id", "url", "payload", "digest", "first")
+    # Small payloads don't meet the digests at all; copies of one payload, however many, are dealt over salts.
+    salted = rows.withColumn("salt", F.when(F.octet_length("payload") >= revisit_from, F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")))
+    told = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    small = salted.filter("salt is null").withColumn("first", F.lit(None).cast("long"))
+    large = salted.filter("salt is not null").join(told, ["digest", "salt"], "left")
+    joined = small.unionByName(large).select("page_id", "url", "payload", "digest", "first")
     written = joined.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
     written.write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
 

@@ -37,7 +37,7 @@ def edited(n=300):
 def test_groups_against_brute_force(spark, limit):
     texts = edited()
     want = brute(texts)
-    got = {r.row: r.root for r in near_text.near_copies(spark.createDataFrame(list(enumerate(texts)), "row long, text string"), bucket_limit=limit).collect()}
+    got = {r.row: r.root for r in near_text.near_copies(spark.createDataFrame(list(enumerate(texts)), "row long, text string"), bucket_limit=limit, block=16).collect()}
     least = {root: min(i for i in got if got[i] == root) for root in set(got.values())}
     assert len(set(want)) < 250 and [least[got[i]] for i in range(len(texts))] == want
 

@@ -48,3 +48,36 @@ def test_nothing_to_learn_from(spark):
     assert [r.score for r in T.scored(df, T.learn(df, spark.createDataFrame([], LABELS))).collect()] == [0.0]
     empty = spark.createDataFrame([], DOCS)
     assert T.scored(empty, T.learn(empty, spark.createDataFrame([(1, 1, 1)], LABELS))).collect() == []
+
+
+def plain_risk(positive, unlabelled, prior, w, b):
+    """(the risk that is minimised, whether its negative part is not below 0), by loops."""
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    z = lambda x: b + sum(w[i] for i in x)
+    plus = sum(sigmoid(-z(x)) for x in positive) / len(positive)  # loss of the label 1
+    minus_p = sum(sigmoid(z(x)) for x in positive) / len(positive)
+    minus_u = sum(sigmoid(z(x)) for x in unlabelled) / len(unlabelled)
+    rest = minus_u - prior * minus_p
+    return (prior * plus + rest, True) if rest >= 0 else (-rest, False)
+
+
+def test_first_step_follows_the_plain_risk():
+    """Adam's first step is the rate times the gradient's sign; the gradient is that of the risk, by differences."""
+    rnd = np.random.default_rng(3)
+    positive = [rnd.choice(5, rnd.integers(0, 4), replace=False) for _ in range(20)]
+    unlabelled = [rnd.choice(5, rnd.integers(0, 4), replace=False) for _ in range(50)]
+    for prior in (0.2, 0.9):
+        w, b = T.fit([x.astype(np.int32) for x in positive], [x.astype(np.int32) for x in unlabelled], prior, 5, steps=1, rate=0.1, decay=0.0)
+        base = plain_risk(positive, unlabelled, prior, np.zeros(5), -1.0)[0]
+        for i in range(5):
+            up = np.zeros(5)
+            up[i] = 1e-6
+            slope = (plain_risk(positive, unlabelled, prior, up, -1.0)[0] - base) / 1e-6
+            assert abs(w[i] + 0.1 * slope / (abs(slope) + 1e-8)) < 1e-3
+        slope = (plain_risk(positive, unlabelled, prior, np.zeros(5), -1.0 + 1e-6)[0] - base) / 1e-6
+        assert abs(b + 1.0 + 0.1 * np.sign(slope)) < 1e-3
+
+
+def test_long_words_that_begin_alike_differ():
+    a, b = "x" * 60 + "a", "x" * 60 + "b"
+    assert T.features_of(a)[0] != T.features_of(b)[0] and T.features_of(a)[1:] == T.features_of(b)[1:]
