@@ -45,14 +45,18 @@ def shingle_hashes(text: str, width: int, seed: int = 42) -> list[int]:
     return [h(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :])] if len(w) >= width else [h(joined, seed)]  # noqa: B905
 
 
-def majorities(hashes: list[list[int]]) -> np.ndarray:
+def majorities(hashes: list) -> np.ndarray:
     """For each list the 64-bit word whose bits are set in over half of the list; zero for an empty list."""
-    out = np.zeros(len(hashes), np.uint64)
-    sizes = np.array([len(x) for x in hashes])
+    sizes = np.array([len(x) for x in hashes], np.int64)
+    return majority_words(np.concatenate([np.asarray(x, np.uint64) for x in hashes if len(x)] or [np.zeros(0, np.uint64)]), sizes)
+
+
+def majority_words(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The same of lists that lie one after the other, of the given sizes."""
+    out = np.zeros(len(sizes), np.uint64)
     full = np.flatnonzero(sizes)
     if not len(full):
         return out
-    flat = np.concatenate([np.array(hashes[i], np.uint64) for i in full])
     # Lanes of a byte hold counts to 255, so longer lists are added up in parts.
     parts = [np.arange(0, n, 255) for n in sizes[full]]
     begin = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
