@@ -15,6 +15,7 @@ packed like others, each row by itself; an empty table gives no rows; other colu
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from collections.abc import Iterator
@@ -180,7 +181,8 @@ def tokenised(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """(doc_id, key, n, ids) of every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = word_tokens(path)
+        own = word_tokens(path)  # with the words that this worker's last task has met
+        gc.disable()  # what is made here has no cycles, and there is much of it
         try:
             for b in batches:
                 all_texts = b.column(1).fill_null("")
@@ -194,7 +196,7 @@ def tokenised(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(start, end - start), pa.array(keys), pa.array([len(x) for x in ids], pa.int64()), pa.array([pack_ids(x) for x in ids], pa.binary())], ["doc_id", "key", "n", "ids"])
                     start = end
         finally:
-            own.forget()
+            gc.enable()
             release_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, key long, n long, ids binary")
