@@ -8,6 +8,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sievework.functions import exif as X
 from sievework.functions import images as I
 from sievework.functions import scalars as S
 from sievework.functions import text_time as T
@@ -19,7 +20,7 @@ from sievework.sources import store
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 #: Rows of embeddings that serve as label vectors.
-PROMPTS = range(10)
+PROMPTS = range(11)
 SUBJECTS = {0: 1.0, 1: 0.6, 2: 0.3}
 HOME = (10.0, 20.0)
 SCALARS = "id, path, file_hash, file_size, timestamp, lat, lon, has_gps, camera_model, blur_score, exposure_score, resolution, detail_stddev, flesh_fraction, face_count, person_id, aesthetic_score, smile_score, cluster_id, is_private, quality_pass"
@@ -137,12 +138,12 @@ def cosine_pairs_ge(p, spark, sf):
     return similarity.cosine_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.4).select("a", "b", R6("s").alias("cosine"))
 
 
-LABELS = "lab AS (SELECT vec_id, unnest(range(10)) AS label, unnest([" + ", ".join(_dot(i, "embedding") for i in PROMPTS) + "]) AS s FROM embeddings), shares AS (SELECT vec_id, label, exp(100 * (s - m)) / sum(exp(100 * (s - m))) OVER (PARTITION BY vec_id) AS share FROM (SELECT *, max(s) OVER (PARTITION BY vec_id) AS m FROM lab)), top AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY share DESC, label) AS r FROM shares)"
+LABELS = "lab AS (SELECT vec_id, unnest(range(10)) AS label, unnest([" + ", ".join(_dot(i, "embedding") for i in range(10)) + "]) AS s FROM embeddings), shares AS (SELECT vec_id, label, exp(100 * (s - m)) / sum(exp(100 * (s - m))) OVER (PARTITION BY vec_id) AS share FROM (SELECT *, max(s) OVER (PARTITION BY vec_id) AS m FROM lab)), top AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY share DESC, label) AS r FROM shares)"
 
 
 def _labelled(spark, sf):
     """vec_id, tags: the three best labels, those with a share of 0.05 and more."""
-    x = V.with_shares(table(spark, sf, "embeddings"), V.dots(F.col("embedding"), _prompts(spark, sf)))
+    x = V.with_shares(table(spark, sf, "embeddings"), V.dots(F.col("embedding"), _prompts(spark, sf)[:10]))
     pairs = F.transform("shares", lambda x, i: F.struct((-x).alias("neg"), i.alias("label")))
     top = F.filter(F.slice(F.array_sort(pairs), 1, 3), lambda t: -t["neg"] >= 0.05)
     return x.select("vec_id", top.alias("top")).select("vec_id", F.transform("top", lambda t: F.struct(t["label"].alias("label"), (-t["neg"]).alias("confidence"))).alias("tags"))
@@ -224,11 +225,14 @@ CLOSEUP = "(flesh_fraction >= 0 AND flesh_fraction >= 0.65 AND blur_score <= 120
 PITCH = "(detail_stddev >= 0 AND detail_stddev < 2 AND (exposure_score < 0.05 OR exposure_score > 0.95))"
 
 
-@query("SELECT id, trim(camera_model) = '' AND has_gps = 0 AND (resolution = 1440 OR resolution = 1080) AS screenshot FROM photos")
+SIZES = [(w, h) if i % 2 else (h, w) for i, (w, h) in enumerate((*gates.SCREENS, (1000, 1000), (1080, 1080), (640, 480)))]
+SHAPES = "shapes AS (SELECT *, [" + ", ".join(f"'{w}x{h}'" for w, h in SIZES) + f"][1 + id % {len(SIZES)}] AS shape FROM photos)"
+
+
+@query("SELECT id, trim(camera_model) = '' AND has_gps = 0 AND list_contains([" + ", ".join(f"'{a}x{b}', '{b}x{a}'" for a, b in gates.SCREENS) + "], shape) AS screenshot FROM shapes", SHAPES)
 def screenshot_gate(p, spark, sf):
-    height = F.when(F.col("resolution") == 1440, 2560).when(F.col("resolution") == 1080, 1920).otherwise(999)
-    p = p.withColumn("resolution", F.when(F.col("resolution") == 1280, 1281).otherwise(F.col("resolution")))
-    return p.select("id", gates.screenshot(F.col("resolution"), height, F.col("camera_model"), F.col("has_gps")).alias("screenshot"))
+    size = lambda k: F.get(F.array(*(F.lit(x[k]) for x in SIZES)), F.expr(f"int(id % {len(SIZES)})"))
+    return p.select("id", gates.screenshot(size(0), size(1), F.col("camera_model"), F.col("has_gps")).alias("screenshot"))
 
 
 @query(f"SELECT id, {CLOSEUP} AS closeup FROM photos")
@@ -300,6 +304,58 @@ def privacy_reassess(p, spark, sf):
     return gates.reassess(p, _reason(p, spark, sf), previous).select("id", "new_private", "new_reason")
 
 
+SOFT = "list_transform({x}, lambda y: exp(100 * (y - list_max({x}))) / list_sum(list_transform({x}, lambda z: exp(100 * (z - list_max({x}))))))"
+BY = "(list_max({p}[1:len({p}) - 1]) > {t} AND list_max({p}[1:len({p}) - 1]) >= {r} * greatest({p}[len({p})], 1e-6))"
+AGAINST = lambda rows: "greatest(" + ", ".join(f"1 / (1 + exp(100 * (x[10] - x[{i + 1}])))" for i in rows) + ")"
+GATED = (
+    "dotted AS (SELECT *, [" + ", ".join(_dot(i) for i in PROMPTS) + "] AS x FROM photos WHERE clip_emb IS NOT NULL), "
+    "shared AS (SELECT *, " + SOFT.format(x="x") + " AS p11, " + SOFT.format(x="x[1:6]") + " AS p6, " + SOFT.format(x="x[5:10]") + " AS q6 FROM dotted), "
+    "judged AS (SELECT id, " + BY.format(p="p11", t=0.4, r=3) + " AS document, " + BY.format(p="p11", t=0.6, r=50) + " AS document_page, " + BY.format(p="p6", t=0.25, r=20) + " AS boring, " + BY.format(p="q6", t=0.25, r=20) + " AS intimate, "
+    + AGAINST(range(3)) + " >= 0.55 AS text_heavy, " + AGAINST(range(3, 8)) + " >= 0.62 AS mundane FROM shared), "
+    "gated AS (SELECT f.*, document, document_page, boring, intimate, text_heavy, mundane, f.id % 5 < 2 AS page_like, (f.id * 3 % 11) / 10.0::DOUBLE AS plainness, resolution AS width, CAST(floor(resolution * 16 / 9) AS INTEGER) AS height FROM far f LEFT JOIN judged USING (id))"
+)
+SCREEN = "(trim(camera_model) = '' AND has_gps = 0 AND list_contains([" + ", ".join(f"'{a}x{b}', '{b}x{a}'" for a, b in gates.SCREENS) + "], width || 'x' || height))"
+FULL_CHAIN = {
+    "reshared_filename": RESHARED, "screenshot": SCREEN, "accidental_closeup": CLOSEUP, "pitch_black_or_pure_white": PITCH, "home_private": "(NOT (lat = 0 AND lon = 0) AND km <= 3000 AND face_count <= 1)", "document": "document",
+    "text_heavy": "text_heavy", "text_document_page": "(document_page AND page_like)", "boring_object": "boring", "mundane_object": "mundane", "mundane_heuristic": "(clip_emb IS NULL AND plainness >= 0.8 AND detail_stddev < 12 AND face_count = 0)", "intimate_content": "intimate",
+}
+
+
+def _case(names) -> str:
+    return "CASE " + " ".join(f"WHEN {FULL_CHAIN[n]} THEN '{n}'" for n in names) + " ELSE '' END"
+
+
+def _gated(p, spark, sf):
+    a = _prompts(spark, sf)
+    x = V.with_shares(p, V.dots(F.col("clip_emb"), a), "p11")
+    x = V.with_shares(V.with_shares(x, V.dots(F.col("clip_emb"), a[:6]), "p6"), V.dots(F.col("clip_emb"), a[4:10]), "q6")
+    x = V.with_binary_max(V.with_binary_max(x, F.col("clip_emb"), a[:3], a[9], "text"), F.col("clip_emb"), a[3:8], a[9], "plain")
+    told = {"document": V.private_by(F.col("p11"), 0.4, 3), "document_page": V.private_by(F.col("p11"), 0.6, 50), "boring": V.private_by(F.col("p6"), 0.25, 20), "intimate": V.private_by(F.col("q6"), 0.25, 20), "text_heavy": F.col("text") >= 0.55, "mundane": F.col("plain") >= 0.62}
+    pixels = {"page_like": F.expr("id % 5 < 2"), "plainness": F.expr("(id * 3 % 11) / 10D"), "width": F.col("resolution"), "height": F.expr("int(floor(resolution * 16 / 9))")}
+    return x.withColumns({**{k: F.coalesce(v, F.lit(False)) for k, v in told.items()}, **pixels})
+
+
+@query(f"SELECT id, {_case(FULL_CHAIN)} AS reason FROM gated", f"{GEO}, {GATED}")
+def privacy_full_chain(p, spark, sf):
+    return _gated(p, spark, sf).select("id", gates.privacy_reason(HOME, 3000).alias("reason"))
+
+
+@query(f"SELECT id, {_case([n for n in FULL_CHAIN if n not in ('reshared_filename', 'home_private', 'text_heavy', 'text_document_page')])} AS reason FROM gated", f"{GEO}, {GATED}")
+def privacy_chain_with_gates_off(p, spark, sf):
+    return _gated(p, spark, sf).select("id", gates.privacy_reason(HOME, 3000, frozenset({"reshared_filename", "home_private", "text_heavy"})).alias("reason"))
+
+
+CACHED = f"CASE WHEN {RESHARED} THEN 'reshared_filename' WHEN {CLOSEUP} THEN 'accidental_closeup' WHEN {PITCH} THEN 'pitch_black_or_pure_white' WHEN document THEN 'document' WHEN text_heavy THEN 'text_heavy' WHEN boring OR mundane THEN 'mundane_object' WHEN intimate THEN 'intimate_content' ELSE '' END"
+
+
+@query(f"""SELECT count(*) AS n, CAST(sum(CASE WHEN flag <> is_private THEN 1 ELSE 0 END) AS BIGINT) AS changed, count(*) FILTER (WHERE why = 'preserved_from_ingest') AS preserved FROM (
+  SELECT is_private, CASE WHEN r <> '' THEN 1 WHEN is_private = 1 AND NOT speaks THEN 1 ELSE 0 END AS flag, CASE WHEN r <> '' THEN r WHEN is_private = 1 AND NOT speaks THEN 'preserved_from_ingest' ELSE '' END AS why
+  FROM (SELECT *, {CACHED} AS r, trim(camera_model) <> '' OR has_gps > 0 OR face_count > 0 AS speaks FROM gated WHERE clip_emb IS NOT NULL))""", f"{GEO}, {GATED}")
+def privacy_reassess_changed(p, spark, sf):
+    x = gates.reassess(_gated(p, spark, sf).filter("clip_emb is not null"), gates.cached_reason(), F.lit(""))
+    return x.agg(F.count("*").alias("n"), F.sum("flipped").alias("changed"), F.count_if(F.col("new_reason") == "preserved_from_ingest").alias("preserved"))
+
+
 # -- times and scalars ------------------------------------------------------------------------------------------------
 
 NAMED = """CASE id % 8 WHEN 1 THEN epoch(date_trunc('day', ts)) + 43200 + id % 60 WHEN 5 THEN 0 WHEN 7 THEN 0 ELSE floor(ep) END"""
@@ -332,6 +388,25 @@ def face_score(p, spark, sf):
     return p.select("id", R6(S.face_score(F.col("face_count"), F.col("exposure_score"))).alias("score"))
 
 
+@query("SELECT id, CASE WHEN id % 13 = 0 THEN 0 ELSE (id * 7)::DOUBLE / (id % 13) END AS x FROM photos")
+def exif_rational(p, spark, sf):
+    return p.select("id", X.rational(F.expr("id * 7"), F.expr("id % 13")).alias("x"))
+
+
+@query("SELECT id, round((id % 90 + id % 60 / 60.0::DOUBLE + id % 50 / 3600.0::DOUBLE) * CASE WHEN id % 3 = 1 THEN -1 ELSE 1 END, 9) AS degrees FROM photos")
+def exif_position(p, spark, sf):
+    return p.select("id", F.round(X.decimal_degrees(F.expr("double(id % 90)"), F.expr("double(id % 60)"), F.expr("double(id % 50)"), F.expr("case when id % 3 = 1 then ' s' else 'N' end")), 9).alias("degrees"))
+
+
+@query("SELECT e.event_id AS id, CASE WHEN e.event_id % 4 = 3 THEN NULL ELSE floor(epoch(ts)) - 60 * CASE WHEN e.event_id % 2 = 0 THEN 330 ELSE 0 END END AS t FROM events e")
+def exif_capture_time(p, spark, sf):
+    """The time stands in the first field, the second, or neither; half of the rows tell an offset."""
+    text = F.date_format(F.col("ts").cast("timestamp"), "yyyy:MM:dd HH:mm:ss")
+    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), text.alias("s"))
+    first, second = F.expr("case when id % 4 = 0 then s when id % 4 = 2 then '0000:00:00 00:00:00' else '' end"), F.expr("case when id % 4 in (1, 2) then concat(' ', s) end")
+    return e.select("id", X.capture_time(first, second, F.expr("case when id % 2 = 0 then '+05:30' end")).alias("t"))
+
+
 BITS = "bits AS (SELECT vec_id, [x > list_sum(v) / 64 FOR x IN v] AS a, [v[i] < v[i + 1] FOR i IN range(1, 64)] AS d FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)), pairs AS (SELECT x.vec_id AS a, y.vec_id AS b, CAST(list_sum(list_transform(list_zip(x.a, y.a), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS BIGINT) AS first, CAST(list_sum(list_transform(list_zip(x.d, y.d), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS BIGINT) AS second FROM bits x JOIN bits y ON x.vec_id < y.vec_id)"
 
 
@@ -475,7 +550,10 @@ def near_dup_greedy_cosine(p, spark, sf):
     return graphs.greedy_kept(items, similarity.cosine_pairs(e, "vec_id", "embedding", 0.4)).filter("not kept").select("id")
 
 
-@query(None)
+GREEDY_BITS = BITS + ", " + GREEDY.replace(GREEDY[GREEDY.index("near AS (") : GREEDY.index("earlier AS")], "near AS (SELECT x.id AS a, y.id AS b, x.rank AS ra, y.rank AS rb FROM pairs p JOIN ranks x ON x.id IN (p.a, p.b) JOIN ranks y ON y.id IN (p.a, p.b) AND x.rank < y.rank WHERE p.first <= 18),\n")
+
+
+@query("SELECT id FROM ranks WHERE rank IN (SELECT unnest(dropped) FROM walk WHERE k = (SELECT max(k) FROM walk))", GREEDY_BITS)
 def near_dup_greedy_hamming(p, spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "label", V.sign_bits(F.col("embedding"), "ahash").alias("h"))
     items = e.select(F.col("vec_id").alias("id"), F.struct((-F.col("label")).alias("l"), "vec_id").alias("rank"))
@@ -539,6 +617,32 @@ def photos_per_person(p, spark, sf):
     return p.filter("person_id >= 0").groupBy("person_id").agg(F.count("*").alias("n"), F.sum("id").cast("decimal(38,0)").alias("ids"))
 
 
+@query("SELECT event_id AS id FROM (SELECT event_id, row_number() OVER (PARTITION BY session ORDER BY value DESC, t, event_id) AS r FROM bursts) WHERE r > 1 EXCEPT SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY file_hash ORDER BY blur_score DESC, file_size DESC, id) AS r FROM photos) WHERE r > 1", BURSTS)
+def dup_burst_only(p, spark, sf):
+    return _burst_duplicates(spark, sf).select(F.col("event_id").alias("id")).join(exact_duplicates(p, spark, sf).select("id"), "id", "left_anti")
+
+
+@query("SELECT id, path FROM photos WHERE face_count > 0 AND id % 4 < 3")
+def scanned_with_faces(p, spark, sf):
+    """Scanned paths that the store has with faces."""
+    return p.filter("id % 4 < 3").select("id", "path").join(p.filter("face_count > 0").select("path"), "path", "left_semi").select("id", "path")
+
+
+@query("SELECT id FROM photos WHERE face_count >= 1 AND coalesce(CASE WHEN id % 3 > 0 THEN id % 3 END, 0) < 2")
+def faces_to_refresh(p, spark, sf):
+    """Items with faces whose vectors an older model made."""
+    return p.withColumn("version", F.expr("case when id % 3 > 0 then id % 3 end")).filter((F.col("face_count") >= 1) & (F.coalesce("version", F.lit(0)) < 2)).select("id")
+
+
+@query("SELECT query, id, round(d, 6) AS distance FROM (SELECT q.vec_id AS query, e.vec_id AS id, 1 - list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) AS r FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id) WHERE r <= 10 AND id % 2 = 0 AND d <= 0.7")
+def knn_accepted(p, spark, sf):
+    """Of the nearest ten, those accepted before (even ids) within a cosine distance."""
+    e = table(spark, sf, "embeddings")
+    near = similarity.nearest(e.filter("vec_id % 50 = 0"), e, "vec_id", "embedding", 10).withColumn("d", 1 - F.col("s"))
+    accepted = e.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("id"))
+    return near.join(accepted, "id", "left_semi").filter("d <= 0.7").select("query", "id", R6("d").alias("distance"))
+
+
 # -- aggregates -------------------------------------------------------------------------------------------------------
 
 
@@ -557,6 +661,20 @@ def vector_means(p, spark, sf):
     return e.groupBy("label", F.col("pos").cast("long").alias("pos")).agg(R6(F.avg("x")).alias("mean"))
 
 
+@query("SELECT label, pos, round(mean / norm, 6) AS x FROM (SELECT *, sqrt(sum(mean * mean) OVER (PARTITION BY label)) AS norm FROM (SELECT label, pos, avg(x) AS mean FROM (SELECT label, unnest(range(64)) AS pos, unnest(list_transform(embedding::DOUBLE[], lambda v: v / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])))) AS x FROM embeddings) GROUP BY label, pos))")
+def label_directions(p, spark, sf):
+    """The mean of each label's unit vectors, of length one again."""
+    e = table(spark, sf, "embeddings").withColumn("n", V.norm(F.col("embedding"))).select("label", "n", F.posexplode(V.doubles(F.col("embedding"))).alias("pos", "x"))
+    mean = e.groupBy("label", "pos").agg(F.avg(F.col("x") / F.col("n")).alias("mean"))
+    lengths = mean.groupBy("label").agg(F.sqrt(F.sum(F.col("mean") * F.col("mean"))).alias("norm"))
+    return mean.join(lengths, "label").select("label", F.col("pos").cast("long").alias("pos"), R6(F.col("mean") / F.col("norm")).alias("x"))
+
+
+@query("SELECT count(*) AS processed, count(*) FILTER (WHERE file_size = 0) AS unreadable, count(*) FILTER (WHERE clip_emb IS NULL) AS zero_emb, count(*) FILTER (WHERE face_count = 0) AS without_faces, count(*) FILTER (WHERE timestamp <= 0) AS undated FROM photos")
+def run_counters(p, spark, sf):
+    return p.agg(F.count("*").alias("processed"), *(F.count_if(F.expr(e)).alias(n) for n, e in (("unreadable", "file_size = 0"), ("zero_emb", "clip_emb is null"), ("without_faces", "face_count = 0"), ("undated", "timestamp <= 0"))))
+
+
 @query("SELECT c_mktsegment, o_orderpriority, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ROLLUP (c_mktsegment, o_orderpriority)")
 def revenue_rollup(p, spark, sf):
     x = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))

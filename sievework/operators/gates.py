@@ -62,6 +62,42 @@ def first_reason(*gates: tuple[str, Column | None]) -> Column:
     return F.lit("") if chain is None else chain.otherwise("")
 
 
+def privacy_reason(home: tuple[float, float] | None, radius_km: float, off: frozenset[str] = frozenset()) -> Column:
+    """The full chain over an item's columns; gates named in ``off`` leave the plan.
+
+    What vectors tell comes as boolean columns: document, text_heavy, document_page, boring, mundane, intimate; ``page_like``
+    and ``plainness`` come from pixels. A document page is looked for only where text-heavy items are and a vector is there;
+    how plain a picture is counts only without one.
+    """
+    c, seen = F.col, F.col("clip_emb").isNotNull()
+    gates: dict[str, Column] = {
+        "reshared_filename": reshared(c("path")),
+        "screenshot": screenshot(c("width"), c("height"), c("camera_model"), c("has_gps")),
+        "accidental_closeup": closeup(c("flesh_fraction"), c("blur_score")),
+        "pitch_black_or_pure_white": pitch(c("detail_stddev"), c("exposure_score")),
+        "home_private": home_private(c("lat"), c("lon"), c("face_count"), home, radius_km),
+        "document": seen & c("document"),
+        "text_heavy": seen & c("text_heavy"),
+        "text_document_page": seen & c("document_page") & c("page_like"),
+        "boring_object": seen & c("boring"),
+        "mundane_object": seen & c("mundane"),
+        "mundane_heuristic": ~seen & (c("plainness") >= 0.80) & (c("detail_stddev") < 12) & (c("face_count") == 0),
+        "intimate_content": seen & c("intimate"),
+    }
+    if "text_heavy" in off:
+        off |= {"text_document_page"}
+    return first_reason(*((name, None if name in off else holds) for name, holds in gates.items()))
+
+
+def cached_reason() -> Column:
+    """The chain that stored values can answer, for items with a vector."""
+    c = F.col
+    return first_reason(
+        ("reshared_filename", reshared(c("path"))), ("accidental_closeup", closeup(c("flesh_fraction"), c("blur_score"))), ("pitch_black_or_pure_white", pitch(c("detail_stddev"), c("exposure_score"))),
+        ("document", c("document")), ("text_heavy", c("text_heavy")), ("mundane_object", c("boring") | c("mundane")), ("intimate_content", c("intimate")),
+    )
+
+
 def reassess(items: DataFrame, reason: Column, previous: Column) -> DataFrame:
     """New flag and reason from stored values; rows without vector keep theirs.
 
