@@ -50,8 +50,8 @@ CUT = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-
 class WordTokens:
     """Ids of whole texts by a tokenizer file that drops white space, so that no token spans a space or line end.
 
-    Texts are cut there and their distinct parts numbered by Arrow; only these are looked up, and the ids are gathered by
-    number. The ids of each part are remembered, as the bytes of 32-bit numbers. New plain parts are cut as the
+    Texts are cut there and their distinct parts, whatever their ASCII case, which the tokenizer lowers, numbered by Arrow;
+    only these are looked up, and the ids are gathered by number. The ids of each part are remembered, as the bytes of 32-bit numbers. New plain parts are cut as the
     tokenizer would, and each new cut goes to its merges alone; parts that may hold a special token go to the tokenizer whole.
     """
 
@@ -80,12 +80,15 @@ class WordTokens:
         if len(self.known) + len(new) > REMEMBERED or self.size > REMEMBERED_CHARACTERS:
             self.forget()
         plain = [p for p in new if PLAIN(p) and "<|" not in p]
-        if plain:
-            cuts = CUT("\n".join(plain).lower())
-            if fresh := set(cuts).difference(self.cuts, ("\n",)):
-                self._merged(fresh)
+        letters, mixed = [p for p in plain if p.isalpha()], [p for p in plain if not p.isalpha()]
+        alone = list(map(str.lower, letters))  # letters only are one cut
+        cuts = CUT("\n".join(mixed).lower())
+        if fresh := set(alone).union(cuts).difference(self.cuts, ("\n",)):
+            self._merged(fresh)
+        self.known.update(zip(letters, map(self.cuts.__getitem__, alone), strict=True))
+        if mixed:
             held: list[bytes] = []
-            each, ids = iter(plain), self.cuts
+            each, ids = iter(mixed), self.cuts
             for cut in cuts:
                 if cut == "\n":
                     self.known[next(each)] = held[0] if len(held) == 1 else b"".join(held)
@@ -103,7 +106,10 @@ class WordTokens:
             texts = pa.array(texts, pa.string())
         if not len(texts):
             return []
-        parts = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+        spaced = pc.replace_substring(texts.cast(pa.large_string()), "\n", " ")
+        if not pc.any(pc.match_substring(spaced, "<|")).as_py():  # the tokenizer's special tokens are told by their case
+            spaced = pc.ascii_lower(spaced)
+        parts = pc.split_pattern(spaced, " ")
         numbered = parts.flatten().dictionary_encode()
         words = numbered.dictionary.to_numpy(zero_copy_only=False)
         found = list(map(self.known.get, words))

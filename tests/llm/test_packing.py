@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from sievework.llm import packing as P
@@ -25,6 +26,17 @@ def test_ids_equal_the_tokenizers():
     assert [x.tolist() for x in P.WordTokens(PATH).encode_batch(texts)] == [own_ids(t)[:-1] for t in texts]
 
 
+def test_ids_of_capitals():
+    rnd = random.Random(6)
+    chars = [" ", " ", "\n", "a", "B", "É", "é", "E\u0301", "Σ", "ΑΣ", "'S", "'s", "'LL", "1", "K", "\u212a", "!", ",", "...", "|", "日", "İ", "Ǆ"]
+    texts = pa.array([None, *("".join(rnd.choice(chars) for _ in range(rnd.randrange(40))) for _ in range(4000))])
+    for begin, size in ((0, 4001), (1, 7), (900, 2500), (4000, 1)):  # Arrow gives parts of arrays
+        part = texts.slice(begin, size).fill_null("")
+        assert [x.tolist() for x in P.WordTokens(PATH).encode_batch(part)] == [own_ids(t)[:-1] for t in part.to_pylist()]
+    for more in (["<|ENDOFTEXT|> A"], ["A <|endoftext|>B", "<|startOfText|>"]):
+        assert [x.tolist() for x in P.WordTokens(PATH).encode_batch(["The END", *more])] == [own_ids(t)[:-1] for t in ["The END", *more]]
+
+
 def test_pieces(spark):
     rnd = random.Random(5)
     texts = [" ".join(rnd.choice(["alpha", "the", "Beta", "gamma!", "éa"]) for _ in range(rnd.randrange(400))) for _ in range(150)] + [None, "", "word " * 9000] + ["same copy of a text"] * 200
