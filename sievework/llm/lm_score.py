@@ -43,7 +43,7 @@ from sievework.llm.common import release_memory, stored, table
 CHUNK, OPEN = 12_000_000, 150_000
 WINDOW, OVERLAP, WIDTH, CLASSES, SINGLE, TOP = 32, 6, 16, 64, 52, 1024
 ROUNDS, BATCH, RATE = 3, 96, 0.003
-CHUNK_ROW = "chunk long, doc_ids array<long>, held_out array<boolean>, ends array<int>, words array<string>, counts array<int>, seq binary, sub binary, sub_ends binary"
+CHUNK_ROW = "chunk long, doc_ids array<long>, held_out array<boolean>, ends array<int>, words array<string>, counts array<int>, seq binary, sub binary, sub_ends binary, id_counts binary"
 
 
 def squeeze(x: np.ndarray, kind: str) -> bytes:
@@ -76,7 +76,10 @@ def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 
 def chunks(docs: DataFrame, model_path: str, folds: int) -> DataFrame:
-    """Rows of CHUNK_ROW: the documents of a chunk as numbers of its words, the end token as number len(words)."""
+    """Rows of CHUNK_ROW: the documents of a chunk as numbers of its words, the end token as number len(words).
+
+    ``counts`` and ``id_counts`` are how often its words and all subword ids stand in its training documents.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, chunk = pieces(model_path), TaskContext.get().partitionId() << 33
@@ -84,7 +87,7 @@ def chunks(docs: DataFrame, model_path: str, folds: int) -> DataFrame:
 
         def close(ids: list, texts: list[pa.Array]) -> pa.RecordBatch:
             nonlocal chunk
-            sizes, number, unique = numbered(pa.concat_arrays(texts))
+            sizes, number, unique = numbered(pa.concat_arrays(texts))  # whole arrays: Arrow lowers parts of large ones wrongly
             ends = np.cumsum(sizes + 1)
             seq = np.full(int(ends[-1]), len(unique), np.uint32)
             inside = np.ones(len(seq), bool)
@@ -92,14 +95,16 @@ def chunks(docs: DataFrame, model_path: str, folds: int) -> DataFrame:
             seq[inside] = number
             out = [held_out(i, folds) for i in ids]
             counts = np.bincount(seq[~np.repeat(out, sizes + 1)], minlength=len(unique) + 1)[: len(unique)]
-            sub = [*(own.encode(unique.to_pylist(), num_threads=1) if len(unique) else []), [end_id]]
+            sub = [*(own.encode(unique.to_numpy(zero_copy_only=False).tolist(), num_threads=1) if len(unique) else []), [end_id]]
             sub_ends = np.cumsum(np.fromiter(map(len, sub), np.int64, len(sub)))
             sub_flat = np.fromiter(chain.from_iterable(sub), np.uint16, int(sub_ends[-1]))
+            often = np.append(counts, len(out) - sum(out))
+            id_counts = np.bincount(sub_flat, np.repeat(often, np.diff(sub_ends, prepend=0)), minlength=end_id + 1)
             one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
-            blobs = [pa.array([squeeze(x, kind)], pa.binary()) for x, kind in ((seq, "<u4"), (sub_flat, "<u2"), (sub_ends, "<u4"))]
+            blobs = [pa.array([squeeze(x, kind)], pa.binary()) for x, kind in ((seq, "<u4"), (sub_flat, "<u2"), (sub_ends, "<u4"), (id_counts, "<u4"))]
             columns = [pa.array([chunk], pa.int64()), one(ids, pa.int64()), one(out, pa.bool_()), one(ends, pa.int32()), one(unique.cast(pa.string()), pa.string()), one(counts, pa.int32()), *blobs]
             chunk += 1
-            return pa.RecordBatch.from_arrays(columns, ["chunk", "doc_ids", "held_out", "ends", "words", "counts", "seq", "sub", "sub_ends"])
+            return pa.RecordBatch.from_arrays(columns, ["chunk", "doc_ids", "held_out", "ends", "words", "counts", "seq", "sub", "sub_ends", "id_counts"])
 
         ids, texts, size = [], [], 0
         for b in batches:
@@ -130,7 +135,11 @@ class Chunk:
         start = np.concatenate([[0], stop[:-1]])
         sizes = (stop - start)[seq]
         after = np.cumsum(sizes)
-        self.ids = sub[np.repeat(start[seq] - after + sizes, sizes) + np.arange(int(after[-1]))].astype(np.int32)
+        shift = start[seq] - after + sizes
+        kind = np.int32 if max(len(sub), int(after[-1])) < 1 << 31 else np.int64
+        at = np.repeat(shift.astype(kind), sizes)
+        at += np.arange(len(at), dtype=kind)
+        self.ids = sub.take(at).astype(np.int32)
         self.id_ends = after[ends - 1]
 
 
@@ -146,6 +155,9 @@ def opened(ends: np.ndarray, seq: bytes, sub: bytes, sub_ends: bytes) -> Iterato
         first = last
 
 
+TRAIN = ("held_out", "ends", "seq", "sub", "sub_ends")
+
+
 def train_parts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, ends) of documents that aren't held out, of rows (held_out, ends, seq, sub, sub_ends)."""
     for out, ends, seq, sub, sub_ends in zip(*batch.columns, strict=True):
@@ -202,7 +214,7 @@ class Attention:
         The attention's weights stay without their sums, by which the mixed values are divided.
         """
         n, w = x.shape
-        e = self.E[x]
+        e = self.E.take(x, 0)
         e += self.P
         e2 = e.reshape(n * w, WIDTH)
         q, k, v = (y.reshape(n, w, WIDTH) for y in (e2 @ (self.Q * np.float32(WIDTH**-0.5)), e2 @ self.K, e2 @ self.V))
@@ -215,7 +227,7 @@ class Attention:
         z = a @ v
         z *= over
         logits = (z + e).reshape(n * w, WIDTH) @ self.U
-        logits += self.trigrams[(before * (TOP + 2) + x).ravel()]
+        logits += self.trigrams.take((before * (TOP + 2) + x).ravel(), 0)
         if logits.max() > 60:
             logits -= logits.max(1, keepdims=True)
         return e2, q, k, v, a, over, z, logits
@@ -257,8 +269,7 @@ class Attention:
 
 
 def _placed(at: np.ndarray, *arrays: np.ndarray) -> list[np.ndarray]:
-    at = np.minimum(at, len(arrays[0]) - 1)
-    return [x[at] for x in arrays]
+    return [x.take(at, mode="clip") for x in arrays]
 
 
 def in_round(k: np.ndarray, phase: int) -> np.ndarray:
@@ -308,29 +319,28 @@ def _collected(places: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def _counted(read: DataFrame, f, size: int) -> np.ndarray:
-    """How often each of ``size`` numbers occurs in f(ids, ends) of all training documents; tasks send what isn't zero."""
+def _counted(read: DataFrame, add, size: int) -> np.ndarray:
+    """The sum of what add(batch, total) adds to ``size`` numbers over all chunks; tasks send what isn't zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, n = np.zeros(size, np.int64), [], 0
+        total = np.zeros(size, np.int64)
         for b in batches:
-            for ids, ends in train_parts(b):
-                held.append(f(ids, ends))
-                n += len(held[-1])
-                if n > 4_000_000:
-                    total += np.bincount(np.concatenate(held), minlength=size)
-                    held, n = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=size)
+            add(b, total)
         at = np.flatnonzero(total)
         for k in range(0, len(at), 500_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 500_000]), pa.array(total[at[k : k + 500_000]])], ["i", "v"])
-        del total, at, held
+        del total, at
         release_memory()
 
     return _collected(read.mapInArrow(run, "i long, v long"), size)
 
 
+def add_ids(batch: pa.RecordBatch, total: np.ndarray) -> None:
+    """How often each id stands in a chunk's training documents; rows (id_counts)."""
+    for blob in batch.column(0):
+        total += unsqueeze(blob.as_py(), "<u4")
+
+
 def classes(counts: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """The class of each id; those that begin words come first, the end token (the last id) as class 0."""
     end = len(counts) - 1
@@ -377,7 +387,7 @@ class Model:
 def learn_tables(read: DataFrame, begins: np.ndarray) -> tuple[Tables, np.ndarray]:
     """(tables, trigrams) of all training documents; the driver gets arrays of fixed sizes."""
     n_ids, n, top = len(begins), CLASSES + 1, TOP + 2
-    counts = _counted(read, lambda ids, ends: ids, n_ids)
+    counts = _counted(read.select("id_counts"), add_ids, n_ids)
     of = classes(counts, begins)
     number = np.full(n_ids, TOP, np.int32)  # the others
     number[np.lexsort((np.arange(n_ids), -counts))[:TOP]] = np.arange(TOP)
@@ -385,13 +395,15 @@ def learn_tables(read: DataFrame, begins: np.ndarray) -> tuple[Tables, np.ndarra
     own = smooth / np.bincount(of, smooth, CLASSES)[of]
     at = np.cumsum([0, n * n_ids, n * top * CLASSES, top * TOP])
 
-    def seen(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def add_seen(batch: pa.RecordBatch, total: np.ndarray) -> None:
         """Ids after classes, classes after class and number, and numbers after numbers, in one row of numbers."""
-        y, m = of[ids], number[ids]
-        x, before, told = inputs(m, ends, TOP + 1), inputs(y, ends, CLASSES, 2), m < TOP
-        return np.concatenate([inputs(y, ends, CLASSES) * np.int32(n_ids) + ids, at[1] + (before * top + x) * CLASSES + y, at[2] + (x * TOP + m)[told]])
+        for ids, ends in train_parts(batch):
+            y, m = of[ids], number[ids]
+            x, before, told = inputs(m, ends, TOP + 1), inputs(y, ends, CLASSES, 2), m < TOP
+            for k, places in enumerate((inputs(y, ends, CLASSES) * np.int32(n_ids) + ids, (before * top + x) * CLASSES + y, (x * TOP + m)[told])):
+                np.add.at(total, at[k] + places, 1)
 
-    follow, three, next_ = (x.reshape(s) for x, s in zip(np.split(_counted(read, seen, int(at[-1])), at[1:-1]), ((n, n_ids), (n, top, CLASSES), (top, TOP)), strict=True))
+    follow, three, next_ = (x.reshape(s) for x, s in zip(np.split(_counted(read.select(*TRAIN), add_seen, int(at[-1])), at[1:-1]), ((n, n_ids), (n, top, CLASSES), (top, TOP)), strict=True))
     pairs = np.stack([np.bincount(of, row, CLASSES) for row in follow])
     within = ((follow + 10 * own) / (pairs[:, of] + 10)).astype(np.float32)
     listed = np.flatnonzero(number < TOP)
@@ -412,7 +424,6 @@ def learn_tables(read: DataFrame, begins: np.ndarray) -> tuple[Tables, np.ndarra
 
 def train(read: DataFrame, begins: np.ndarray) -> Model:
     """The model of the training documents of chunks."""
-    read = read.select("held_out", "ends", "seq", "sub", "sub_ends")
     tables, trigrams = learn_tables(read, begins)
     attention, narrow = Attention(trigrams), Tables(tables.of, tables.number, *[np.zeros((0, 0))] * 3)
     for phase in range(ROUNDS):
@@ -426,7 +437,7 @@ def train(read: DataFrame, begins: np.ndarray) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([np.append(task.seen * task.own.flat.astype(np.float64), task.seen)], pa.list_(pa.float64()))], ["x"])
             release_memory()
 
-        sums = _collected(read.mapInArrow(run, "x array<double>").select(F.posexplode("x").alias("i", "v")), len(attention.flat) + 1)
+        sums = _collected(read.select(*TRAIN).mapInArrow(run, "x array<double>").select(F.posexplode("x").alias("i", "v")), len(attention.flat) + 1)
         if sums[-1]:
             attention = Attention(trigrams, sums[:-1] / sums[-1])
     return Model(attention, tables)
@@ -440,21 +451,22 @@ def trained(read: DataFrame, model_path: str) -> Model:
 def word_counts(read: DataFrame) -> DataFrame:
     """(chunk, c, n, v): training counts of all words of a chunk, in their order; n and v are the sum and number of those that this chunk has first."""
     each = read.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select("chunk", "pos", "w.words", "w.counts")
-    same = Window.partitionBy("words").orderBy("chunk", "pos")
-    everywhere = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    counts = each.select("chunk", "pos", F.sum("counts").over(everywhere).alias("c"), F.row_number().over(same).alias("r"))
+    same = Window.partitionBy("words")  # a chunk has a word once, so the least chunk tells one row of each word
+    counts = each.select("chunk", "pos", F.sum("counts").over(same).alias("c"), (F.min("chunk").over(same) == F.col("chunk")).alias("first"))
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows ordered by chunk and place."""
+        """Rows ordered by chunk; their places tell the order within."""
 
         def batch() -> pa.RecordBatch:
-            c, r = (np.concatenate(x) for x in zip(*held, strict=True))
-            own = c[(r == 1) & (c > 0)]
+            pos, count, first = (np.concatenate(x) for x in zip(*held, strict=True))
+            c = np.empty(len(pos), np.int64)
+            c[pos] = count
+            own = count[first & (count > 0)]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((key, pa.int64()), (squeeze(c, "<i8"), pa.binary()), (int(own.sum()), pa.int64()), (len(own), pa.int64()))], ["chunk", "c", "n", "v"])
 
         key, held = None, []
         for b in batches:
-            chunk, c, r = (x.to_numpy() for x in b.columns)
+            chunk, *rest = (x.to_numpy(zero_copy_only=False) for x in b.columns)
             cut = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1), len(chunk)]
             for i, j in zip(cut, cut[1:]):  # noqa: B905
                 if i < j:
@@ -462,11 +474,11 @@ def word_counts(read: DataFrame) -> DataFrame:
                         yield batch()
                         held = []
                     key = int(chunk[i])
-                    held.append((c[i:j].copy(), r[i:j].copy()))
+                    held.append([x[i:j].copy() for x in rest])
         if held:
             yield batch()
 
-    in_order = counts.repartition("chunk").sortWithinPartitions("chunk", "pos").select("chunk", "c", "r")
+    in_order = counts.repartition("chunk").sortWithinPartitions("chunk")
     return in_order.mapInArrow(gathered, "chunk long, c binary, n long, v long")
 
 
