@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.common import release_memory, stored, table
+from sievework.llm.common import narrow_rows, release_memory, stored, table
 
 #: Bytes of text in a chunk, about, and words of a chunk that are opened at a time.
 CHUNK, OPEN = 12_000_000, 150_000
@@ -486,7 +486,8 @@ def scores(docs: DataFrame, model_path: str, folds: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     read = stored(chunks(docs, model_path, folds), "chunks")
     model = trained(read, model_path)
-    of_chunk = stored(word_counts(read), "counts")
+    with narrow_rows(docs.sparkSession):
+        of_chunk = stored(word_counts(read), "counts")
     train_docs = read.select(F.explode("held_out").alias("h")).filter("not h").count()
     n, v = of_chunk.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     n, v = n + train_docs, v + (train_docs > 0)
