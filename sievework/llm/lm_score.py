@@ -218,7 +218,7 @@ class Attention:
         e += self.P
         e2 = e.reshape(n * w, WIDTH)
         q, k, v = (y.reshape(n, w, WIDTH) for y in (e2 @ (self.Q * np.float32(WIDTH**-0.5)), e2 @ self.K, e2 @ self.V))
-        a = q @ k.transpose(0, 2, 1)
+        a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
         if a.max() > 60:
             a -= a.max(2, keepdims=True)
         np.exp(a, out=a)
@@ -237,7 +237,7 @@ class Attention:
     def log_p(self, x: np.ndarray, before: np.ndarray, y: np.ndarray) -> np.ndarray:
         """ln P of each class y."""
         logits = self.forward(x, before)[-1]
-        told = logits[np.arange(len(logits)), y.ravel()]
+        told = logits.reshape(-1).take(np.arange(0, logits.size, CLASSES) + y.ravel())
         return (told - np.log(np.exp(logits, out=logits) @ self.ONES)).reshape(x.shape)
 
     def gradient(self, x: np.ndarray, before: np.ndarray, y: np.ndarray, valid: np.ndarray) -> np.ndarray:
@@ -247,12 +247,13 @@ class Attention:
         weight = valid.ravel().astype(np.float32) / np.float32(max(1, valid.sum()))
         np.exp(d, out=d)
         d *= (weight / (d @ self.ONES))[:, None]
-        d[np.arange(n * w), y.ravel()] -= weight
+        told, flat_d = np.arange(0, d.size, CLASSES) + y.ravel(), d.reshape(-1)
+        flat_d[told] = flat_d.take(told) - weight
         u = (z.reshape(n * w, WIDTH) + e2).T @ d
         dh = d @ self.U.T
         dz = dh.reshape(n, w, WIDTH)
         mean = (dz * z).sum(2, keepdims=True)
-        ds = dz @ v.transpose(0, 2, 1)
+        ds = dz @ np.ascontiguousarray(v.transpose(0, 2, 1))
         ds -= mean
         ds *= a
         dv = (a.transpose(0, 2, 1) @ (dz * over)).reshape(n * w, WIDTH)
