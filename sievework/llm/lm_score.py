@@ -208,25 +208,30 @@ class Attention:
         scale = {"E": 0.5, "P": 0.2, "U": 0.02}
         return np.concatenate([(rnd.standard_normal(s) * scale.get(k, WIDTH**-0.5)).ravel() for k, s in cls.SHAPES.items()]).astype(np.float32)
 
-    def forward(self, x: np.ndarray, before: np.ndarray) -> tuple:
+    def forward(self, x: np.ndarray, before: np.ndarray, skip: int = 0) -> tuple:
         """Arrays of windows: x the numbers of the subwords before each place, ``before`` the classes two places before.
 
-        The attention's weights stay without their sums, by which the mixed values are divided.
+        The attention's weights stay without their sums, by which the mixed values are divided. The first ``skip`` places
+        are looked at, but get no logits.
         """
         n, w = x.shape
         e = self.E.take(x, 0)
         e += self.P
         e2 = e.reshape(n * w, WIDTH)
-        q, k, v = (y.reshape(n, w, WIDTH) for y in (e2 @ (self.Q * np.float32(WIDTH**-0.5)), e2 @ self.K, e2 @ self.V))
+        k, v = (y.reshape(n, w, WIDTH) for y in (e2 @ self.K, e2 @ self.V))
+        if skip:
+            e, x, before = np.ascontiguousarray(e[:, skip:]), x[:, skip:], before[:, skip:]
+        own = w - skip
+        q = (e.reshape(n * own, WIDTH) @ (self.Q * np.float32(WIDTH**-0.5))).reshape(n, own, WIDTH)
         a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
         if a.max() > 60:
             a -= a.max(2, keepdims=True)
         np.exp(a, out=a)
-        a *= self.MASK
-        over = np.float32(1) / (a.reshape(n * w, w) @ np.ones((w, 1), np.float32)).reshape(n, w, 1)
+        a *= self.MASK[skip:w, :w]
+        over = np.float32(1) / (a.reshape(n * own, w) @ np.ones((w, 1), np.float32)).reshape(n, own, 1)
         z = a @ v
         z *= over
-        logits = (z + e).reshape(n * w, WIDTH) @ self.U
+        logits = (z + e).reshape(n * own, WIDTH) @ self.U
         logits += self.trigrams.take((before * (TOP + 2) + x).ravel(), 0)
         if logits.max() > 60:
             logits -= logits.max(1, keepdims=True)
@@ -234,11 +239,11 @@ class Attention:
 
     ONES = np.ones(CLASSES, np.float32)
 
-    def log_p(self, x: np.ndarray, before: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """ln P of each class y."""
-        logits = self.forward(x, before)[-1]
+    def log_p(self, x: np.ndarray, before: np.ndarray, y: np.ndarray, skip: int = 0) -> np.ndarray:
+        """ln P of each class y, but for the first ``skip`` places."""
+        logits, y = self.forward(x, before, skip)[-1], y[:, skip:]
         told = logits.reshape(-1).take(np.arange(0, logits.size, CLASSES) + y.ravel())
-        return (told - np.log(np.exp(logits, out=logits) @ self.ONES)).reshape(x.shape)
+        return (told - np.log(np.exp(logits, out=logits) @ self.ONES)).reshape(y.shape)
 
     def gradient(self, x: np.ndarray, before: np.ndarray, y: np.ndarray, valid: np.ndarray) -> np.ndarray:
         """Of the mean of -ln P over valid places."""
@@ -252,7 +257,7 @@ class Attention:
         u = (z.reshape(n * w, WIDTH) + e2).T @ d
         dh = d @ self.U.T
         dz = dh.reshape(n, w, WIDTH)
-        mean = (dz * z).sum(2, keepdims=True)
+        mean = ((dz * z).reshape(n * w, WIDTH) @ np.ones(WIDTH, np.float32)).reshape(n, w, 1)
         ds = dz @ np.ascontiguousarray(v.transpose(0, 2, 1))
         ds -= mean
         ds *= a
@@ -304,11 +309,15 @@ def score_classes(model: Attention, y: np.ndarray, x: np.ndarray, before: np.nda
     """ln P of every token's class, each from the one window that scores it."""
     out = np.zeros(len(y))
     start, stop, first, _ = windows(ends)
-    for i in range(0, len(start), together):
-        at = start[i : i + together][:, None] + np.arange(WINDOW)
-        xs, bs, ys = _placed(at, x, before, y)
-        mine = (at < stop[i : i + together][:, None]) & (at >= first[i : i + together][:, None])
-        out[at[mine]] = model.log_p(xs, bs, ys)[mine]
+    for skip in (0, OVERLAP):  # what an earlier window has scored is only looked at
+        kind = np.flatnonzero(first - start == skip)
+        for i in range(0, len(kind), together):
+            part = kind[i : i + together]
+            at = start[part][:, None] + np.arange(WINDOW)
+            xs, bs, ys = _placed(at, x, before, y)
+            scored = at[:, skip:]
+            mine = scored < stop[part][:, None]
+            out[scored[mine]] = model.log_p(xs, bs, ys, skip)[mine]
     return out
 
 
