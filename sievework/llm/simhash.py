@@ -143,18 +143,18 @@ class GrayIndex:
             yield query, node
 
 
-#: Bits of the fingerprint that one level of the upper index tells apart.
-STEP = 6
+#: Bits of the fingerprint that one level of the upper index tells apart, and fingerprints that the first nodes of turned orders hold, about.
+STEP, FIRST = 6, 256
 
 
-def _run(level: int) -> Column:
+def _run(level: int, first: int = 0) -> Column:
     """The first bits of fp, which the fingerprints of a node share; in Gray order these are runs of neighbours."""
-    bits = min(BITS, STEP * level)
+    bits = min(BITS, first + STEP * level)
     return F.shiftrightunsigned("fp", BITS - bits) if bits else F.lit(0).cast("long")
 
 
-def surviving(distinct: DataFrame, most: int, group_limit: int) -> list[tuple[int, DataFrame]]:
-    """(level, pairs (a, b) of its nodes that may hold links, a <= b): every pair of fingerprints within reach is in one of them.
+def surviving(words: DataFrame, most: int, group_limit: int, first: int = 0) -> list[tuple[int, DataFrame]]:
+    """(level, pairs (turn, a, b) of its nodes that may hold links, a <= b): every pair of fingerprints of a turn within reach that agree in the first bits is in one of them.
 
     Nodes of the upper index are runs of the Gray order that share their first bits, ``STEP`` more on every level. Pairs of
     nodes go down together: what their new bits differ in is added to what those above differed in, and a pair whose sum
@@ -162,22 +162,25 @@ def surviving(distinct: DataFrame, most: int, group_limit: int) -> list[tuple[in
     All of it is joins of nodes; nothing is collected.
     """
     out, level = [], 0
-    pairs = distinct.agg(F.count(F.lit(1)).alias("na")).select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("seen"), "na", F.col("na").alias("nb"))
+    if "turn" not in words.columns:
+        words = words.withColumn("turn", F.lit(0))
+    pairs = stored(words.groupBy("turn", _run(level, first).alias("a")).agg(F.count(F.lit(1)).alias("na")).select("turn", "a", F.col("a").alias("b"), F.lit(0).alias("seen"), "na", F.col("na").alias("nb")), "pairs")
     while True:
-        small = (F.col("na") <= group_limit) & (F.col("nb") <= group_limit) if STEP * level < BITS else F.lit(True)
-        out.append((level, pairs.filter(small).select("a", "b")))
+        small = (F.col("na") <= group_limit) & (F.col("nb") <= group_limit) if first + STEP * level < BITS else F.lit(True)
+        out.append((level, pairs.filter(small).select("turn", "a", "b")))
         if pairs.filter(~small).isEmpty():
             return out
         level += 1
-        width = min(BITS, STEP * level) - STEP * (level - 1)
-        nodes = stored(distinct.groupBy(_run(level).alias("value")).agg(F.count(F.lit(1)).alias("n")).withColumn("above", F.shiftright("value", width) if STEP * level < BITS else F.shiftrightunsigned("value", width)), "nodes")
-        down = pairs.filter(~small).join(nodes.toDF("x", "nx", "a"), "a").join(nodes.toDF("y", "ny", "b"), "b")
+        bits = min(BITS, first + STEP * level)
+        width = bits - first - STEP * (level - 1)
+        nodes = stored(words.groupBy("turn", _run(level, first).alias("value")).agg(F.count(F.lit(1)).alias("n")).withColumn("above", F.shiftright("value", width) if bits < BITS else F.shiftrightunsigned("value", width)), "nodes")
+        down = pairs.filter(~small).join(nodes.toDF("turn", "x", "nx", "a"), ["turn", "a"]).join(nodes.toDF("turn", "y", "ny", "b"), ["turn", "b"])
         seen = F.col("seen") + F.bit_count(F.col("x").bitwiseXOR(F.col("y")).bitwiseAND(F.lit((1 << width) - 1)))
-        pairs = stored(down.filter("a < b or x <= y").withColumn("seen", seen).filter(F.col("seen") <= most).select(F.col("x").alias("a"), F.col("y").alias("b"), "seen", F.col("nx").alias("na"), F.col("ny").alias("nb")), "pairs")
+        pairs = stored(down.filter("a < b or x <= y").withColumn("seen", seen).filter(F.col("seen") <= most).select("turn", F.col("x").alias("a"), F.col("y").alias("b"), "seen", F.col("nx").alias("na"), F.col("ny").alias("nb")), "pairs")
 
 
-def _linked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows (level, a, b, side, fp) in order: for each pair of nodes the edges of a forest of its links."""
+def _linked(batches: Iterator[pa.RecordBatch], most: int, turns: int = 1) -> Iterator[pa.RecordBatch]:
+    """Rows of ``grouped`` in order: for each pair of nodes the edges of a forest of its links, turned back."""
     held: list[list[np.ndarray]] = []
     key = None
 
@@ -193,7 +196,9 @@ def _linked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
             words = np.concatenate([left, index.fp])
             root = forest(len(words), ((q, p + len(left)) for q, p in index.near(most, left)))
         at = np.flatnonzero(root != np.arange(len(root)))
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (words[at], words[root[at]])], ["a", "b"]) if len(at) else None
+        turn = key[0] // BITS * (BITS // turns)
+        back = lambda x: (x >> np.uint64(turn)) | (x << np.uint64(-turn % BITS))
+        return pa.RecordBatch.from_arrays([pa.array(back(x).view(np.int64)) for x in (words[at], words[root[at]])], ["a", "b"]) if len(at) else None
 
     for rows in batches:
         if not rows.num_rows:
@@ -212,17 +217,36 @@ def _linked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         yield found
 
 
-def link_forest(distinct: DataFrame, most: int = 2, group_limit: int = 8192) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of distinct fp with at most so many differing bits."""
-    distinct = distinct.select("fp")
+def grouped(distinct: DataFrame, most: int, group_limit: int, turns: int = 1) -> DataFrame:
+    """Rows (level, a, b, side, fp) of the pairs of nodes that stay; level tells the turn and the nodes' bits, fp is turned."""
+    words, first = distinct.select(F.lit(0).alias("turn"), "fp"), 0
+    if turns > 1:
+        at = F.expr(f"turn * {BITS // turns}")
+        turned = F.call_function("shiftleft", "fp", at).bitwiseOR(F.call_function("shiftrightunsigned", "fp", F.lit(BITS) - at))
+        words = distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn")).select("turn", turned.alias("fp"))
+        first = min(BITS // turns, (distinct.count() // FIRST).bit_length())
     met = []
-    for level, pairs in surviving(distinct, most, group_limit):
-        rows = distinct.withColumn("node", _run(level))
+    for level, pairs in surviving(words, most, group_limit, first):
+        rows = words.withColumn("node", _run(level, first))
         for side, own in ((0, "a"), (1, "b")):
             some = pairs if not side else pairs.filter("a <> b")
-            met.append(rows.join(some.withColumn("node", F.col(own)), "node").select(F.lit(level).alias("level"), "a", "b", F.lit(side).alias("side"), "fp"))
-    rows = reduce(DataFrame.union, met).repartition("level", "a", "b").sortWithinPartitions("level", "a", "b", "side", "fp")
-    return rows.mapInArrow(lambda it: _linked(it, most), "a long, b long")
+            met.append(rows.join(some.withColumn("node", F.col(own)), ["turn", "node"]).select((F.col("turn") * BITS + level).alias("level"), "a", "b", F.lit(side).alias("side"), "fp"))
+    return reduce(DataFrame.union, met)
+
+
+def link_forest(distinct: DataFrame, most: int = 2, group_limit: int = 8192, turns: int = 1) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of distinct fp with at most so many differing bits.
+
+    In one order a fingerprint goes to all nodes within reach, 42 of 64 and then 299 of 4096 at three bits, as the nodes get
+    more. With ``turns`` over ``most`` there are as many orders, in each of which another part of the word comes first. Words
+    within reach agree in one part wholly, so each order pairs its first nodes with themselves alone; only those over the
+    limit go down in pairs.
+    """
+    if turns > 1 and (turns <= most or BITS % turns):
+        raise ValueError("turns: 1, or a divisor of 64 over most")
+    distinct = distinct.select("fp")
+    rows = grouped(distinct, most, group_limit, turns).repartition("level", "a", "b").sortWithinPartitions("level", "a", "b", "side", "fp")
+    return rows.mapInArrow(lambda it: _linked(it, most, turns), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, most: int = 2, width: int = 3, group_limit: int = 8192) -> DataFrame:

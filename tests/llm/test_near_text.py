@@ -3,7 +3,7 @@ import random
 import corpus_pipeline as C
 import pytest
 
-from sievework.llm import near_text
+from sievework.llm import near_text, simhash
 from sievework.llm.simhash import shingle_hashes
 
 
@@ -56,3 +56,20 @@ def test_rows_without_or_with_shared_ids_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [(r.doc_id, r.text) for r in C.drop_near_copies(spark, docs, "").collect()]
     assert sorted(got, key=str) == sorted([rows[0], rows[2], rows[3], rows[4]], key=str)
+
+
+def test_fingerprints_are_sent_a_fixed_number_of_times(spark, monkeypatch):
+    """Also when they are too many for one node; one order sends each to 42 nodes here, and to more as they grow."""
+    sent, real = [], near_text.link_forest
+
+    def counted(distinct, most, **options):
+        sent.append((simhash.grouped(distinct.select("fp"), most, 8192, options.get("turns", 1)).count(), distinct.count()))
+        return real(distinct, most, **options)
+
+    monkeypatch.setattr(near_text, "link_forest", counted)
+    rnd = random.Random(5)
+    rows = [(i, " ".join(f"w{rnd.randrange(5000)}" for _ in range(8))) for i in range(8800)]
+    rows += [(8800 + i, rows[i][1]) for i in range(10)]
+    got = {r.row: r.root for r in near_text.near_copies(spark.createDataFrame(rows, "row long, text string")).collect()}
+    assert all(got[8800 + i] == got[i] for i in range(10)) and len(set(got.values())) == 8800
+    assert sent[0][1] > 8192 and sent[0][0] <= 4 * sent[0][1]

@@ -91,3 +91,39 @@ def test_empty_table_and_repeated_rows(spark):
     assert S.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
     got = S.near_duplicates(spark.createDataFrame([(5, "a b c d", "", 0.0), (5, "a b c d", "", 0.0), (None, "q r s t", "", 0.0)], DOCS)).collect()
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (5, 5), (5, 5)]
+
+
+def test_turned_orders_link_alike_with_few_copies(spark):
+    """In one order every fingerprint goes to 42 nodes here; in turned ones once to each order, however many there are."""
+    rnd = np.random.default_rng(7)
+    fps = {int(x) for x in rnd.integers(0, 2**64, 9000, np.uint64)}
+    for x in list(fps)[:60]:
+        for _ in range(4):
+            y = x
+            for bit in rnd.integers(0, 64, 3):
+                y ^= 1 << int(bit)
+            fps.add(y)
+    df = spark.createDataFrame([(x - 2**64 if x >> 63 else x,) for x in sorted(fps)], "fp long")
+    want, got = ({}, {})
+    for out, turns in ((want, 1), (got, 4)):
+        for r in S.components(S.link_forest(df, 3, turns=turns)).collect():
+            out.setdefault(r.root, set()).add(r.node)
+    assert len(want) >= 60 and sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert S.grouped(df, 3, 8192).count() > 40 * len(fps)
+    assert S.grouped(df, 3, 8192, 4).count() == 4 * len(fps)
+    for limit in (1, 3):  # nodes over the limit go down in pairs
+        own = {}
+        for r in S.components(S.link_forest(df, 3, limit, 4)).collect():
+            own.setdefault(r.root, set()).add(r.node)
+        assert sorted(map(sorted, own.values())) == sorted(map(sorted, want.values()))
+
+
+def test_turned_orders_on_equal_first_bits_and_none(spark):
+    """All fingerprints in few nodes, those of one part; and no fingerprint at all."""
+    rnd = np.random.default_rng(8)
+    fps = sorted({int(x) << 48 for x in rnd.integers(0, 2**16, 300)} | {int(x) for x in rnd.integers(0, 2**16, 300)})
+    df = spark.createDataFrame([(x - 2**64 if x >> 63 else x,) for x in fps], "fp long")
+    want = groups({x: x for x in fps}, 3)
+    root = {r.node % 2**64: r.root for r in S.components(S.link_forest(df, 3, 40, 4)).collect()}
+    assert len({(want[x], root.get(x, x)) for x in fps}) == len(set(want.values())) == len({root.get(x, x) for x in fps})
+    assert S.link_forest(df.limit(0), 3, turns=4).count() == 0
