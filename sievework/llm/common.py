@@ -44,21 +44,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextlib.contextmanager
-def narrow_rows(spark: SparkSession) -> Iterator[None]:
-    """While it lasts, Arrow batches are bounded by their number of rows alone: Spark then needn't sum up the batch's bytes after each row.
-
-    For actions whose rows are a few numbers; the session's setting returns afterwards.
-    """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(2**31 - 1))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a folder of the shared file system, when nothing lazy reads it any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

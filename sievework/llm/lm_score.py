@@ -1,9 +1,9 @@
 """Language-model scores: a causal self-attention model over subword ids, trained in numpy, beside a word unigram base.
 
 The corpus is read once into chunks: the words of some documents, numbered within the chunk by Arrow, with their subword
-ids. Counts of a word meet in a window over its rows. A word has one row per chunk, as chunks are summed first; so of the
-rows that are shuffled no word has more than one in as many as a chunk has distinct words, and nothing of the size of the
-vocabulary of words is broadcast or collected.
+ids. Counts of a word meet in a part of the words, which its subword ids tell. A chunk sends one row to each part, with its
+words of that part, each once, as chunks are summed first; there are as many more parts as there are more chunks, so a part
+stays as large, and nothing of the size of the vocabulary of words is broadcast or collected.
 
 The model gives the next subword in two steps: a class, by self-attention over the window added to the logarithm of the
 class's share, in the whole training corpus, after the subword before and the class before that; and the subword within its class by its
@@ -34,15 +34,17 @@ import pyarrow.compute as pc
 import sentencepiece
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import narrow_rows, release_memory, stored, table
+from sievework.llm.common import release_memory, stored, table
 
 #: Bytes of text in a chunk, about, and words of a chunk that are opened at a time.
 CHUNK, OPEN = 12_000_000, 150_000
 WINDOW, OVERLAP, WIDTH, CLASSES, SINGLE, TOP = 32, 6, 16, 64, 52, 1024
 ROUNDS, BATCH, RATE = 3, 96, 0.003
+#: Numbers of a table that are sent as one, and chunks for each of the parts in which words meet.
+PART, CHUNKS_A_PART = 1 << 16, 4
 CHUNK_ROW = "chunk long, doc_ids array<long>, held_out array<boolean>, ends array<int>, words array<string>, counts array<int>, seq binary, sub binary, sub_ends binary, id_counts binary"
 
 
@@ -192,6 +194,7 @@ class Attention:
 
     SHAPES = {"E": (TOP + 2, WIDTH), "P": (WINDOW, WIDTH), "Q": (WIDTH, WIDTH), "K": (WIDTH, WIDTH), "V": (WIDTH, WIDTH), "U": (WIDTH, CLASSES)}
     MASK = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+    PLACES = np.arange((TOP + 2) * WIDTH).reshape(TOP + 2, WIDTH)
 
     def __init__(self, trigrams: np.ndarray, flat: np.ndarray | None = None):
         """trigrams: ln P(class | class two places before, subword before), by (TOP + 2) * the first + the second."""
@@ -268,8 +271,7 @@ class Attention:
         de = dh + dq @ self.Q.T
         de += dk @ self.K.T
         de += dv @ self.V.T
-        across, flat = np.ascontiguousarray(de.T, np.float64), x.ravel()
-        grad_e = np.stack([np.bincount(flat, row, TOP + 2) for row in across], 1).astype(np.float32)
+        grad_e = np.bincount(self.PLACES.take(x.ravel(), 0).ravel(), de.ravel(), self.PLACES.size).astype(np.float32)
         grads = (grad_e, de.reshape(n, w, WIDTH).sum(0), e2.T @ dq, e2.T @ dk, e2.T @ dv, u)
         return np.concatenate([g.ravel() for g in grads])
 
@@ -330,19 +332,37 @@ def _collected(places: DataFrame, size: int) -> np.ndarray:
 
 
 def _counted(read: DataFrame, add, size: int) -> np.ndarray:
-    """The sum of what add(batch, total) adds to ``size`` numbers over all chunks; tasks send what isn't zero."""
+    """The sum of what add(batch, total) adds to ``size`` numbers over all chunks; tasks send parts of them, packed, that aren't zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for b in batches:
             add(b, total)
-        at = np.flatnonzero(total)
-        for k in range(0, len(at), 500_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 500_000]), pa.array(total[at[k : k + 500_000]])], ["i", "v"])
-        del total, at
+        for k in range(0, size, PART):
+            if total[k : k + PART].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([squeeze(total[k : k + PART], "<i8")], pa.binary())], ["k", "x"])
+        del total
         release_memory()
 
-    return _collected(read.mapInArrow(run, "i long, v long"), size)
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in order of k."""
+        key, total = None, None
+        for b in batches:
+            for k, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if k == key:
+                    total += unsqueeze(x, "<i8")
+                    continue
+                if key is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([squeeze(total, "<i8")], pa.binary())], ["k", "x"])
+                key, total = k, unsqueeze(x, "<i8").copy()
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([squeeze(total, "<i8")], pa.binary())], ["k", "x"])
+
+    kind, out = "k long, x binary", np.zeros(size)
+    rows = read.mapInArrow(run, kind).repartition("k").sortWithinPartitions("k").mapInArrow(summed, kind).toArrow()
+    for k, x in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+        out[k : k + PART] = unsqueeze(x, "<i8")
+    return out
 
 
 def add_ids(batch: pa.RecordBatch, total: np.ndarray) -> None:
@@ -458,46 +478,80 @@ def trained(read: DataFrame, model_path: str) -> Model:
     return train(read, np.array([*(own.id_to_piece(i).startswith("▁") for i in range(own.get_piece_size())), True]))
 
 
-def word_counts(read: DataFrame) -> DataFrame:
-    """(chunk, c, n, v): training counts of all words of a chunk, in their order; n and v are the sum and number of those that this chunk has first."""
-    each = read.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select("chunk", "pos", "w.words", "w.counts")
-    same = Window.partitionBy("words")  # a chunk has a word once, so the least chunk tells one row of each word
-    counts = each.select("chunk", "pos", F.sum("counts").over(same).alias("c"), (F.min("chunk").over(same) == F.col("chunk")).alias("first"))
+def word_parts(sub: np.ndarray, ends: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each word, which its subword ids tell."""
+    x = sub.astype(np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((x * x + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ (x << np.uint64(32)))])
+    h = np.diff(sums[np.concatenate([[0], ends])])
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
 
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows ordered by chunk; their places tell the order within."""
 
-        def batch() -> pa.RecordBatch:
-            pos, count, first = (np.concatenate(x) for x in zip(*held, strict=True))
-            c = np.empty(len(pos), np.int64)
-            c[pos] = count
-            own = count[first & (count > 0)]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((key, pa.int64()), (squeeze(c, "<i8"), pa.binary()), (int(own.sum()), pa.int64()), (len(own), pa.int64()))], ["chunk", "c", "n", "v"])
+def dealt_words(read: DataFrame, parts: int) -> DataFrame:
+    """(part, chunk, words, counts, pos): a chunk's words of a part with spaces between, their training counts and their places, as numbers of 32 bits."""
 
-        key, held = None, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            chunk, *rest = (x.to_numpy(zero_copy_only=False) for x in b.columns)
-            cut = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1), len(chunk)]
-            for i, j in zip(cut, cut[1:]):  # noqa: B905
-                if i < j:
-                    if held and key != chunk[i]:
-                        yield batch()
-                        held = []
-                    key = int(chunk[i])
-                    held.append([x[i:j].copy() for x in rest])
+            for chunk, words, counts, sub, sub_ends in zip(*b.columns, strict=True):
+                words, counts = words.values, np.asarray(counts.values)
+                of = word_parts(unsqueeze(sub.as_py(), "<u2"), unsqueeze(sub_ends.as_py(), "<u4"), parts)[: len(words)]
+                pos = np.argsort(of, kind="stable")
+                ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=parts))])
+                some = np.flatnonzero(np.diff(ends))
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words.take(pa.array(pos))), " ")
+                blobs = [pa.Array.from_buffers(pa.binary(), parts, [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(x.astype("<u4"))]) for x in (counts[pos], pos)]
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), chunk.as_py())), *(x.take(pa.array(some)) for x in (joined, *blobs))], ["part", "chunk", "words", "counts", "pos"])
+
+    return read.select("chunk", "words", "counts", "sub", "sub_ends").mapInArrow(run, "part long, chunk long, words string, counts binary, pos binary")
+
+
+def word_counts(read: DataFrame) -> DataFrame:
+    """(chunk, c, n, v): training counts of all words of a chunk, in their order; n and v are the sum and number of those that this row tells for all."""
+    parts = -(-read.count() // CHUNKS_A_PART)
+    if not parts:
+        return read.sparkSession.createDataFrame([], "chunk long, c binary, n long, v long")
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        """Rows in order of the first column, those of one value at a time."""
+        held: list[tuple] = []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and held[0][0] != row[0]:
+                    yield held
+                    held = []
+                held.append(row)
         if held:
-            yield batch()
+            yield held
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups(batches):
+            _, chunk, words, counts, pos = zip(*rows, strict=True)
+            coded = pc.split_pattern(pa.array(words, pa.large_string()), " ").flatten().dictionary_encode()
+            at = coded.indices.to_numpy()
+            total = np.bincount(at, np.frombuffer(b"".join(counts), "<u4"), len(coded.dictionary)).astype("<i8")
+            known, ends = total[total > 0], np.cumsum([len(x) // 4 for x in pos])
+            c = [x.tobytes() for x in np.split(total[at], ends[:-1])]
+            told = [[x, *[0] * (len(rows) - 1)] for x in (int(known.sum()), len(known))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in ((chunk, pa.int64()), (c, pa.binary()), (pos, pa.binary()), (told[0], pa.int64()), (told[1], pa.int64()))], ["chunk", "c", "pos", "n", "v"])
+        release_memory()
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups(batches):
+            chunk, c, pos, n, v = zip(*rows, strict=True)
+            c, pos = np.frombuffer(b"".join(c), "<i8"), np.frombuffer(b"".join(pos), "<u4")
+            whole = np.empty(len(c), np.int64)
+            whole[pos] = c
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((chunk[0], pa.int64()), (squeeze(whole, "<i8"), pa.binary()), (sum(n), pa.int64()), (sum(v), pa.int64()))], ["chunk", "c", "n", "v"])
 
-    in_order = counts.repartition("chunk").sortWithinPartitions("chunk")
-    return in_order.mapInArrow(gathered, "chunk long, c binary, n long, v long")
+    met = dealt_words(read, parts).repartition("part").sortWithinPartitions("part", "chunk").mapInArrow(counted, "chunk long, c binary, pos binary, n long, v long")
+    return met.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(gathered, "chunk long, c binary, n long, v long")
 
 
 def scores(docs: DataFrame, model_path: str, folds: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     read = stored(chunks(docs, model_path, folds), "chunks")
     model = trained(read, model_path)
-    with narrow_rows(docs.sparkSession):
-        of_chunk = stored(word_counts(read), "counts")
+    of_chunk = stored(word_counts(read), "counts")
     train_docs = read.select(F.explode("held_out").alias("h")).filter("not h").count()
     n, v = of_chunk.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     n, v = n + train_docs, v + (train_docs > 0)

@@ -145,3 +145,27 @@ def test_every_window_trains_in_one_round():
     assert covered.tolist() == list(range(ends[-1]))  # each token is a target once
     document = np.cumsum(k == 0)
     assert all(set(document[np.isin(document, np.flatnonzero(np.bincount(document) >= L.ROUNDS))]) <= set(document[r]) for r in rounds)
+
+
+def test_words_are_counted_in_parts_and_sent_in_bulk(spark):
+    """Counts of words over several chunks against a plain count; a chunk sends a row to each part, not one of each word."""
+    rnd = random.Random(9)
+    vocabulary = ["The", "the", "é", "﻿", " x", "日本", "a\x1cb", *(f"w{i}" for i in range(300))]
+    rows = [(i, " ".join(rnd.choices(vocabulary, k=rnd.randrange(60))), "", 0) for i in range(200)] + [(200, "", "", 0), (201, None, "", 0)]
+    read = stored(L.chunks(spark.createDataFrame(rows, DOCS).repartition(9), PATH, 10), "chunks")
+    want = collections.Counter(w.decode() for i, t, *_ in rows if not L.held_out(i, 10) for w in words(t or ""))
+    got = {r.chunk: r for r in L.word_counts(read).collect()}
+    held = read.select("chunk", "words").collect()
+    assert len(held) > 4 and len(got) == len(held)
+    for r in held:
+        assert L.unsqueeze(got[r.chunk].c, "<i8").tolist() == [want[w] for w in r.words]
+    assert sum(r.n for r in got.values()) == sum(want.values()) and sum(r.v for r in got.values()) == len(want)
+    dealt = L.dealt_words(read, 3).collect()
+    assert len(dealt) <= 3 * len(held) < sum(len(r.words) for r in held)
+    parts = collections.defaultdict(set)
+    for r in dealt:
+        for w in r.words.split(" "):
+            parts[w].add(r.part)
+    assert all(len(x) == 1 for x in parts.values()) and len(set.union(*parts.values())) == 3
+    assert L.word_counts(read.limit(0)).collect() == []
+    assert L._counted(read.select("id_counts"), L.add_ids, L.pieces(PATH).get_piece_size() + 1).sum() == sum(L.unsqueeze(r[0], "<u4").sum() for r in read.select("id_counts").collect())
