@@ -45,7 +45,9 @@ WINDOW, OVERLAP, WIDTH, CLASSES, SINGLE, TOP = 32, 6, 16, 64, 52, 1024
 ROUNDS, BATCH, RATE = 3, 96, 0.003
 #: Numbers of a table that are sent as one, and chunks for each of the parts in which words meet.
 PART, CHUNKS_A_PART = 1 << 16, 4
-CHUNK_ROW = "chunk long, doc_ids array<long>, held_out array<boolean>, ends array<int>, words array<string>, counts array<int>, seq binary, sub binary, sub_ends binary, id_counts binary"
+#: Rows of a long, narrow product that are multiplied at a time.
+ROWS = 512
+CHUNK_ROW = "chunk long, doc_ids array<long>, held_out array<boolean>, ends array<int>, words string, counts binary, seq binary, sub binary, sub_ends binary, id_counts binary"
 
 
 def squeeze(x: np.ndarray, kind: str) -> bytes:
@@ -78,9 +80,9 @@ def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 
 def chunks(docs: DataFrame, model_path: str, folds: int) -> DataFrame:
-    """Rows of CHUNK_ROW: the documents of a chunk as numbers of its words, the end token as number len(words).
+    """Rows of CHUNK_ROW: the documents of a chunk as numbers of its words, the end token as number of words.
 
-    ``counts`` and ``id_counts`` are how often its words and all subword ids stand in its training documents.
+    ``words`` has spaces between; ``counts`` and ``id_counts`` are how often its words and all subword ids stand in its training documents.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,8 +105,9 @@ def chunks(docs: DataFrame, model_path: str, folds: int) -> DataFrame:
             often = np.append(counts, len(out) - sum(out))
             id_counts = np.bincount(sub_flat, np.repeat(often, np.diff(sub_ends, prepend=0)), minlength=end_id + 1)
             one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
-            blobs = [pa.array([squeeze(x, kind)], pa.binary()) for x, kind in ((seq, "<u4"), (sub_flat, "<u2"), (sub_ends, "<u4"), (id_counts, "<u4"))]
-            columns = [pa.array([chunk], pa.int64()), one(ids, pa.int64()), one(out, pa.bool_()), one(ends, pa.int32()), one(unique.cast(pa.string()), pa.string()), one(counts, pa.int32()), *blobs]
+            blobs = [pa.array([squeeze(x, kind)], pa.binary()) for x, kind in ((counts, "<u4"), (seq, "<u4"), (sub_flat, "<u2"), (sub_ends, "<u4"), (id_counts, "<u4"))]
+            joined = pc.binary_join(one(unique.cast(pa.string()), pa.string()), " ")
+            columns = [pa.array([chunk], pa.int64()), one(ids, pa.int64()), one(out, pa.bool_()), one(ends, pa.int32()), joined, *blobs]
             chunk += 1
             return pa.RecordBatch.from_arrays(columns, ["chunk", "doc_ids", "held_out", "ends", "words", "counts", "seq", "sub", "sub_ends", "id_counts"])
 
@@ -133,27 +136,33 @@ def chunks(docs: DataFrame, model_path: str, folds: int) -> DataFrame:
 class Chunk:
     """Subword ids of some documents of a chunk, one after the other, and where each ends."""
 
-    def __init__(self, ends: np.ndarray, seq: np.ndarray, sub: np.ndarray, stop: np.ndarray):
-        start = np.concatenate([[0], stop[:-1]])
-        sizes = (stop - start)[seq]
+    def __init__(self, ends: np.ndarray, seq: np.ndarray, sub: np.ndarray, start: np.ndarray, size: np.ndarray):
+        """start, size: of each word's ids in sub."""
+        seq = seq.astype(np.intp)  # what numpy takes without a copy
+        sizes = size.take(seq)
         after = np.cumsum(sizes)
-        shift = start[seq] - after + sizes
-        kind = np.int32 if max(len(sub), int(after[-1])) < 1 << 31 else np.int64
-        at = np.repeat(shift.astype(kind), sizes)
-        at += np.arange(len(at), dtype=kind)
-        self.ids = sub.take(at).astype(np.int32)
+        shift = start.take(seq)
+        shift -= after
+        shift += sizes
+        at = np.repeat(shift, sizes)
+        at += np.arange(len(at))
+        self.ids = sub.take(at)
         self.id_ends = after[ends - 1]
 
 
-def opened(ends: np.ndarray, seq: bytes, sub: bytes, sub_ends: bytes) -> Iterator[tuple[int, int, np.ndarray, Chunk]]:
-    """(first, last, numbers of the words, ids) of as many documents at a time as keep the arrays small."""
-    whole, sub, stop = unsqueeze(seq, "<u4"), unsqueeze(sub, "<u2"), unsqueeze(sub_ends, "<u4").astype(np.int64)
-    first = 0
+def opened(ends: np.ndarray, seq: bytes, sub: bytes, sub_ends: bytes, mine: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, Chunk]]:
+    """(first, last, numbers of the words, ids) of as many documents at a time as keep the arrays small; of those marked in ``mine``, if given."""
+    whole, sub, stop = unsqueeze(seq, "<u4"), unsqueeze(sub, "<u2").astype(np.int32), unsqueeze(sub_ends, "<u4").astype(np.int64)
+    size = np.diff(stop, prepend=0)
+    start, first = stop - size, 0
+    if mine is not None:
+        sizes = np.diff(ends, prepend=0)
+        whole, ends = whole[np.repeat(mine, sizes)], np.cumsum(sizes[mine])
     while first < len(ends):
         begin = int(ends[first - 1]) if first else 0
         last = max(first + 1, int(np.searchsorted(ends, begin + OPEN)))
         own = whole[begin : ends[last - 1]]
-        yield first, last, own, Chunk(ends[first:last] - begin, own, sub, stop)
+        yield first, last, own, Chunk(ends[first:last] - begin, own, sub, start, size)
         first = last
 
 
@@ -163,11 +172,8 @@ TRAIN = ("held_out", "ends", "seq", "sub", "sub_ends")
 def train_parts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, ends) of documents that aren't held out, of rows (held_out, ends, seq, sub, sub_ends)."""
     for out, ends, seq, sub, sub_ends in zip(*batch.columns, strict=True):
-        out = np.asarray(out.values)
-        for first, last, _, c in opened(np.asarray(ends.values).astype(np.int64), seq.as_py(), sub.as_py(), sub_ends.as_py()):
-            sizes, mine = np.diff(c.id_ends, prepend=0), ~out[first:last]
-            if mine.any():
-                yield c.ids[np.repeat(mine, sizes)], np.cumsum(sizes[mine])
+        for _, _, _, c in opened(np.asarray(ends.values).astype(np.int64), seq.as_py(), sub.as_py(), sub_ends.as_py(), ~np.asarray(out.values)):
+            yield c.ids, c.id_ends
 
 
 def windows(ends: np.ndarray, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -254,11 +260,15 @@ class Attention:
         e2, q, k, v, a, over, z, d = self.forward(x, before)
         weight = valid.ravel().astype(np.float32) / np.float32(max(1, valid.sum()))
         np.exp(d, out=d)
-        d *= (weight / (d @ self.ONES))[:, None]
+        sums = d @ self.ONES
         told, flat_d = np.arange(0, d.size, CLASSES) + y.ravel(), d.reshape(-1)
-        flat_d[told] = flat_d.take(told) - weight
-        u = (z.reshape(n * w, WIDTH) + e2).T @ d
+        flat_d[told] = flat_d.take(told) - sums
+        share = (weight / sums)[:, None]  # of which d lacks the factor
+        h = z.reshape(n * w, WIDTH) + e2
+        h *= share
+        u = sum(h[i : i + ROWS].T @ d[i : i + ROWS] for i in range(0, n * w, ROWS))
         dh = d @ self.U.T
+        dh *= share
         dz = dh.reshape(n, w, WIDTH)
         mean = ((dz * z).reshape(n * w, WIDTH) @ np.ones(WIDTH, np.float32)).reshape(n, w, 1)
         ds = dz @ np.ascontiguousarray(v.transpose(0, 2, 1))
@@ -307,7 +317,7 @@ class Adam:
             self.seen += len(part)
 
 
-def score_classes(model: Attention, y: np.ndarray, x: np.ndarray, before: np.ndarray, ends: np.ndarray, together: int = 64) -> np.ndarray:
+def score_classes(model: Attention, y: np.ndarray, x: np.ndarray, before: np.ndarray, ends: np.ndarray, together: int = 32) -> np.ndarray:
     """ln P of every token's class, each from the one window that scores it."""
     out = np.zeros(len(y))
     start, stop, first, _ = windows(ends)
@@ -493,7 +503,10 @@ def dealt_words(read: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, words, counts, sub, sub_ends in zip(*b.columns, strict=True):
-                words, counts = words.values, np.asarray(counts.values)
+                counts = unsqueeze(counts.as_py(), "<u4")
+                if not len(counts):
+                    continue
+                words = pc.split_pattern(pa.array([words.as_py()], pa.string()), " ").flatten()
                 of = word_parts(unsqueeze(sub.as_py(), "<u2"), unsqueeze(sub_ends.as_py(), "<u4"), parts)[: len(words)]
                 pos = np.argsort(of, kind="stable")
                 ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=parts))])

@@ -158,10 +158,10 @@ def test_words_are_counted_in_parts_and_sent_in_bulk(spark):
     held = read.select("chunk", "words").collect()
     assert len(held) > 4 and len(got) == len(held)
     for r in held:
-        assert L.unsqueeze(got[r.chunk].c, "<i8").tolist() == [want[w] for w in r.words]
+        assert L.unsqueeze(got[r.chunk].c, "<i8").tolist() == [want[w] for w in r.words.split(" ")]
     assert sum(r.n for r in got.values()) == sum(want.values()) and sum(r.v for r in got.values()) == len(want)
     dealt = L.dealt_words(read, 3).collect()
-    assert len(dealt) <= 3 * len(held) < sum(len(r.words) for r in held)
+    assert len(dealt) <= 3 * len(held) < sum(len(r.words.split(" ")) for r in held)
     parts = collections.defaultdict(set)
     for r in dealt:
         for w in r.words.split(" "):
@@ -169,3 +169,15 @@ def test_words_are_counted_in_parts_and_sent_in_bulk(spark):
     assert all(len(x) == 1 for x in parts.values()) and len(set.union(*parts.values())) == 3
     assert L.word_counts(read.limit(0)).collect() == []
     assert L._counted(read.select("id_counts"), L.add_ids, L.pieces(PATH).get_piece_size() + 1).sum() == sum(L.unsqueeze(r[0], "<u4").sum() for r in read.select("id_counts").collect())
+
+
+def test_training_opens_the_ids_of_training_documents_alone(spark):
+    own = L.pieces(PATH)
+    rows = [(i, " ".join(f"w{i} x{j}" for j in range(i % 7)), "", 0) for i in range(60)]
+    read = stored(L.chunks(spark.createDataFrame(rows, DOCS).repartition(3), PATH, 10), "chunks")
+    got = []
+    for b in read.select(*L.TRAIN).toArrow().to_batches():
+        for ids, ends in L.train_parts(b):
+            got += [x.tolist() for x in np.split(ids, ends[:-1])]
+    want = [[k for w in words(t) for k in own.encode(w.decode())] + [own.get_piece_size()] for i, t, *_ in rows if not L.held_out(i, 10)]
+    assert sorted(got) == sorted(want) and len(want) < 60
