@@ -45,6 +45,8 @@ WINDOW, OVERLAP, WIDTH, CLASSES, SINGLE, TOP = 32, 6, 16, 64, 52, 1024
 ROUNDS, BATCH, RATE = 3, 96, 0.003
 #: Numbers of a table that are sent as one, and chunks for each of the parts in which words meet.
 PART, CHUNKS_A_PART = 1 << 16, 4
+#: Of the attention's scores.
+SCALE = np.float32(WIDTH**-0.5)
 #: Rows of a long, narrow product that are multiplied at a time.
 ROWS = 512
 CHUNK_ROW = "chunk long, doc_ids array<long>, held_out array<boolean>, ends array<int>, words string, counts binary, seq binary, sub binary, sub_ends binary, id_counts binary"
@@ -217,34 +219,36 @@ class Attention:
         scale = {"E": 0.5, "P": 0.2, "U": 0.02}
         return np.concatenate([(rnd.standard_normal(s) * scale.get(k, WIDTH**-0.5)).ravel() for k, s in cls.SHAPES.items()]).astype(np.float32)
 
-    def forward(self, x: np.ndarray, before: np.ndarray, skip: int = 0) -> tuple:
+    def forward(self, x: np.ndarray, before: np.ndarray, skip: int = 0, room: np.ndarray | None = None) -> tuple:
         """Arrays of windows: x the numbers of the subwords before each place, ``before`` the classes two places before.
 
-        The attention's weights stay without their sums, by which the mixed values are divided. The first ``skip`` places
-        are looked at, but get no logits.
+        Queries go through both of Q and K, and what the places' inputs are mixed to goes through V, so the inputs themselves
+        are keys and values. The attention's weights, put into ``room`` if given, stay without their sums, by which the mixed
+        inputs are divided. The first ``skip`` places are looked at, but get no logits.
         """
         n, w = x.shape
         e = self.E.take(x, 0)
         e += self.P
-        e2 = e.reshape(n * w, WIDTH)
-        k, v = (y.reshape(n, w, WIDTH) for y in (e2 @ self.K, e2 @ self.V))
+        own, top = w - skip, e
         if skip:
-            e, x, before = np.ascontiguousarray(e[:, skip:]), x[:, skip:], before[:, skip:]
-        own = w - skip
-        q = (e.reshape(n * own, WIDTH) @ (self.Q * np.float32(WIDTH**-0.5))).reshape(n, own, WIDTH)
-        a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
+            top, x, before = np.ascontiguousarray(e[:, skip:]), x[:, skip:], before[:, skip:]
+        top = top.reshape(n * own, WIDTH)
+        q = (top @ (self.Q @ self.K.T * SCALE)).reshape(n, own, WIDTH)
+        a = np.matmul(q, np.ascontiguousarray(e.transpose(0, 2, 1)), out=room)
         if a.max() > 60:
             a -= a.max(2, keepdims=True)
         np.exp(a, out=a)
         a *= self.MASK[skip:w, :w]
-        over = np.float32(1) / (a.reshape(n * own, w) @ np.ones((w, 1), np.float32)).reshape(n, own, 1)
-        z = a @ v
+        over = np.float32(1) / (a @ np.ones(w, np.float32))[:, :, None]
+        z = a @ e
         z *= over
-        logits = (z + e).reshape(n * own, WIDTH) @ self.U
+        h = z.reshape(n * own, WIDTH) @ self.V
+        h += top
+        logits = h @ self.U
         logits += self.trigrams.take((before * (TOP + 2) + x).ravel(), 0)
         if logits.max() > 60:
             logits -= logits.max(1, keepdims=True)
-        return e2, q, k, v, a, over, z, logits
+        return e, q, a, over, z, h, logits
 
     ONES = np.ones(CLASSES, np.float32)
 
@@ -257,32 +261,31 @@ class Attention:
     def gradient(self, x: np.ndarray, before: np.ndarray, y: np.ndarray, valid: np.ndarray) -> np.ndarray:
         """Of the mean of -ln P over valid places."""
         n, w = x.shape
-        e2, q, k, v, a, over, z, d = self.forward(x, before)
+        both = np.empty((n, 2 * w, w), np.float32)  # the scores' gradient over the weights, which go back to the keys together
+        e, q, a, over, z, h, d = self.forward(x, before, 0, both[:, w:])
+        e2, z2 = e.reshape(n * w, WIDTH), z.reshape(n * w, WIDTH)
         weight = valid.ravel().astype(np.float32) / np.float32(max(1, valid.sum()))
         np.exp(d, out=d)
         sums = d @ self.ONES
         told, flat_d = np.arange(0, d.size, CLASSES) + y.ravel(), d.reshape(-1)
         flat_d[told] = flat_d.take(told) - sums
         share = (weight / sums)[:, None]  # of which d lacks the factor
-        h = z.reshape(n * w, WIDTH) + e2
         h *= share
         u = sum(h[i : i + ROWS].T @ d[i : i + ROWS] for i in range(0, n * w, ROWS))
         dh = d @ self.U.T
         dh *= share
-        dz = dh.reshape(n, w, WIDTH)
+        dz = (dh @ self.V.T).reshape(n, w, WIDTH)
+        dz *= over
         mean = ((dz * z).reshape(n * w, WIDTH) @ np.ones(WIDTH, np.float32)).reshape(n, w, 1)
-        ds = dz @ np.ascontiguousarray(v.transpose(0, 2, 1))
+        ds = np.matmul(dz, np.ascontiguousarray(e.transpose(0, 2, 1)), out=both[:, :w])
         ds -= mean
         ds *= a
-        dv = (a.transpose(0, 2, 1) @ (dz * over)).reshape(n * w, WIDTH)
-        dq = ((ds @ k) * over).reshape(n * w, WIDTH)
-        dq *= np.float32(WIDTH**-0.5)
-        dk = (ds.transpose(0, 2, 1) @ (q * over)).reshape(n * w, WIDTH)
-        de = dh + dq @ self.Q.T
-        de += dk @ self.K.T
-        de += dv @ self.V.T
+        dq = (ds @ e).reshape(n * w, WIDTH)
+        de = dh + dq @ (self.K @ self.Q.T * SCALE)
+        de += (both.transpose(0, 2, 1) @ np.concatenate([q, dz], 1)).reshape(n * w, WIDTH)
+        qk = e2.T @ dq * SCALE
         grad_e = np.bincount(self.PLACES.take(x.ravel(), 0).ravel(), de.ravel(), self.PLACES.size).astype(np.float32)
-        grads = (grad_e, de.reshape(n, w, WIDTH).sum(0), e2.T @ dq, e2.T @ dk, e2.T @ dv, u)
+        grads = (grad_e, de.reshape(n, w, WIDTH).sum(0), qk @ self.K, qk.T @ self.Q, z2.T @ dh, u)
         return np.concatenate([g.ravel() for g in grads])
 
 
