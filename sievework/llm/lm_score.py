@@ -219,12 +219,12 @@ class Attention:
         scale = {"E": 0.5, "P": 0.2, "U": 0.02}
         return np.concatenate([(rnd.standard_normal(s) * scale.get(k, WIDTH**-0.5)).ravel() for k, s in cls.SHAPES.items()]).astype(np.float32)
 
-    def forward(self, x: np.ndarray, before: np.ndarray, skip: int = 0, room: np.ndarray | None = None) -> tuple:
+    def forward(self, x: np.ndarray, before: np.ndarray, skip: int = 0) -> tuple:
         """Arrays of windows: x the numbers of the subwords before each place, ``before`` the classes two places before.
 
         Queries go through both of Q and K, and what the places' inputs are mixed to goes through V, so the inputs themselves
-        are keys and values. The attention's weights, put into ``room`` if given, stay without their sums, by which the mixed
-        inputs are divided. The first ``skip`` places are looked at, but get no logits.
+        are keys and values. The attention's weights stay without their sums, by which the mixed inputs are divided. The first
+        ``skip`` places are looked at, but get no logits.
         """
         n, w = x.shape
         e = self.E.take(x, 0)
@@ -234,7 +234,8 @@ class Attention:
             top, x, before = np.ascontiguousarray(e[:, skip:]), x[:, skip:], before[:, skip:]
         top = top.reshape(n * own, WIDTH)
         q = (top @ (self.Q @ self.K.T * SCALE)).reshape(n, own, WIDTH)
-        a = np.matmul(q, np.ascontiguousarray(e.transpose(0, 2, 1)), out=room)
+        keys = np.ascontiguousarray(e.transpose(0, 2, 1))
+        a = q @ keys
         if a.max() > 60:
             a -= a.max(2, keepdims=True)
         np.exp(a, out=a)
@@ -248,7 +249,7 @@ class Attention:
         logits += self.trigrams.take((before * (TOP + 2) + x).ravel(), 0)
         if logits.max() > 60:
             logits -= logits.max(1, keepdims=True)
-        return e, q, a, over, z, h, logits
+        return e, keys, q, a, over, z, h, logits
 
     ONES = np.ones(CLASSES, np.float32)
 
@@ -261,8 +262,7 @@ class Attention:
     def gradient(self, x: np.ndarray, before: np.ndarray, y: np.ndarray, valid: np.ndarray) -> np.ndarray:
         """Of the mean of -ln P over valid places."""
         n, w = x.shape
-        both = np.empty((n, 2 * w, w), np.float32)  # the scores' gradient over the weights, which go back to the keys together
-        e, q, a, over, z, h, d = self.forward(x, before, 0, both[:, w:])
+        e, keys, q, a, over, z, h, d = self.forward(x, before)
         e2, z2 = e.reshape(n * w, WIDTH), z.reshape(n * w, WIDTH)
         weight = valid.ravel().astype(np.float32) / np.float32(max(1, valid.sum()))
         np.exp(d, out=d)
@@ -277,12 +277,14 @@ class Attention:
         dz = (dh @ self.V.T).reshape(n, w, WIDTH)
         dz *= over
         mean = ((dz * z).reshape(n * w, WIDTH) @ np.ones(WIDTH, np.float32)).reshape(n, w, 1)
-        ds = np.matmul(dz, np.ascontiguousarray(e.transpose(0, 2, 1)), out=both[:, :w])
+        ds = dz @ keys
         ds -= mean
         ds *= a
         dq = (ds @ e).reshape(n * w, WIDTH)
-        de = dh + dq @ (self.K @ self.Q.T * SCALE)
-        de += (both.transpose(0, 2, 1) @ np.concatenate([q, dz], 1)).reshape(n * w, WIDTH)
+        de = dq @ (self.K @ self.Q.T * SCALE)
+        de += dh
+        de += (ds.transpose(0, 2, 1) @ q).reshape(n * w, WIDTH)
+        de += (a.transpose(0, 2, 1) @ dz).reshape(n * w, WIDTH)
         qk = e2.T @ dq * SCALE
         grad_e = np.bincount(self.PLACES.take(x.ravel(), 0).ravel(), de.ravel(), self.PLACES.size).astype(np.float32)
         grads = (grad_e, de.reshape(n, w, WIDTH).sum(0), qk @ self.K, qk.T @ self.Q, z2.T @ dh, u)
@@ -325,14 +327,18 @@ def score_classes(model: Attention, y: np.ndarray, x: np.ndarray, before: np.nda
     out = np.zeros(len(y))
     start, stop, first, _ = windows(ends)
     for skip in (0, OVERLAP):  # what an earlier window has scored is only looked at
-        kind = np.flatnonzero(first - start == skip)
-        for i in range(0, len(kind), together):
-            part = kind[i : i + together]
-            at = start[part][:, None] + np.arange(WINDOW)
-            xs, bs, ys = _placed(at, x, before, y)
-            scored = at[:, skip:]
-            mine = scored < stop[part][:, None]
-            out[scored[mine]] = model.log_p(xs, bs, ys, skip)[mine]
+        for whole in (True, False):  # windows that a document fills need no masks
+            kind = np.flatnonzero((first - start == skip) & ((start + WINDOW <= stop) == whole))
+            for i in range(0, len(kind), together):
+                part = kind[i : i + together]
+                at = start[part][:, None] + np.arange(WINDOW)
+                xs, bs, ys = _placed(at, x, before, y)
+                scored, ln = at[:, skip:], model.log_p(xs, bs, ys, skip)
+                if whole:
+                    out[scored] = ln
+                else:
+                    mine = scored < stop[part][:, None]
+                    out[scored[mine]] = ln[mine]
     return out
 
 
@@ -414,7 +420,11 @@ class Tables:
         return y, inputs(self.number[ids], ends, TOP + 1), inputs(y, ends, CLASSES, 2)
 
     def ln_within(self, ids: np.ndarray, y: np.ndarray, x: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return np.log(self.share[x, self.number[ids]] + self.rest[x, y] * self.within[inputs(y, ends, CLASSES), ids])
+        x = x.astype(np.intp)
+        p = self.rest.take(x * CLASSES + y)
+        p *= self.within.take(inputs(y, ends, CLASSES).astype(np.intp) * self.within.shape[1] + ids)
+        p += self.share.take(x * (TOP + 1) + self.number.take(ids))
+        return np.log(p)
 
 
 class Model:

@@ -171,6 +171,26 @@ def test_words_are_counted_in_parts_and_sent_in_bulk(spark):
     assert L._counted(read.select("id_counts"), L.add_ids, L.pieces(PATH).get_piece_size() + 1).sum() == sum(L.unsqueeze(r[0], "<u4").sum() for r in read.select("id_counts").collect())
 
 
+def test_keys_and_values_need_no_products_of_their_own():
+    """All places go through the joined weights of queries and keys, and through V once mixed; K meets weights alone."""
+    rnd, met = np.random.default_rng(11), []
+
+    class Counted(np.ndarray):
+        def __array_ufunc__(self, ufunc, method, *args, out=None, **options):
+            if ufunc is np.matmul:
+                met.append(max(np.shape(x)[0] for x in args))
+            plain = [np.asarray(x) for x in args]
+            return getattr(ufunc, method)(*plain, **options) if out is None else getattr(ufunc, method)(*plain, out=out, **options)
+
+    model = some_model(rnd)
+    x, before, y = rnd.integers(0, L.CLASSES, (3, 4, L.WINDOW))
+    want = model.log_p(x, before, y)
+    model.K = model.K.view(Counted)
+    assert np.array_equal(model.log_p(x, before, y), want)
+    model.gradient(x, before, y, np.ones(x.shape, bool))
+    assert met and max(met) == L.WIDTH
+
+
 def test_training_opens_the_ids_of_training_documents_alone(spark):
     own = L.pieces(PATH)
     rows = [(i, " ".join(f"w{i} x{j}" for j in range(i % 7)), "", 0) for i in range(60)]
